@@ -37,5 +37,11 @@ FROM marked GROUP BY doc_id
 """
 
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op8_packing)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_line_dedup, op8_packing, op10_near_duplicates)}
 ORACLE_SQL = {"op5_line_dedup": OP5_SQL}
