@@ -14,6 +14,32 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op1_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bit_sliced import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s
+)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10
+"""
+
+
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .permutations import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -43,5 +69,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op8_packing, op10_near_duplicates)}
-ORACLE_SQL = {"op5_line_dedup": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_bit_sliced_top_k, op3_permutation_index, op5_line_dedup, op8_packing, op10_near_duplicates)}
+ORACLE_SQL = {"op1_bit_sliced_top_k": OP1_SQL, "op5_line_dedup": OP5_SQL}
