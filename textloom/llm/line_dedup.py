@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import pick, stored
 
@@ -147,23 +148,26 @@ def _digest(k: str) -> bytes:
     return hashlib.blake2b(k.encode(), digest_size=16).digest()
 
 
-def _cleaned(batches: Iterator, least: int, loses) -> Iterator:
-    """loses: whether a key's lines go, from row number and key."""
+def _cleaned(batches: Iterator, least: int, loses, carried: int) -> Iterator:
+    """loses: whether a key's lines go, from row number and key. The `carried` columns after
+    doc_id and text come last."""
     import pyarrow as pa
 
     for batch in batches:
-        out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "n_lines": [], "n_dropped": [], "kept": []}
+        out: dict[str, list] = {"n_lines": [], "n_dropped": [], "kept": []}
         for i, text in enumerate(batch.column(1).to_pylist()):
             lines = (text or "").split("\n")
             kept = [x for x in lines if not (len(x) >= least and len(k := key(x)) >= least and loses(batch, i, k))]
             out["n_lines"].append(len(lines))
             out["n_dropped"].append(len(lines) - len(kept))
             out["kept"].append("\n".join(kept))
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())]))
+        arrays = [batch.column(0), pa.array(out["n_lines"], pa.int64()), pa.array(out["n_dropped"], pa.int64()), pa.array(out["kept"], pa.string())]
+        more = range(2, 2 + carried)
+        yield pa.RecordBatch.from_arrays(arrays + [batch.column(k) for k in more], names=["doc_id", *out, *[batch.schema.names[k] for k in more]])
 
 
-def dedup_lines(docs: DataFrame, *, least_chars: int = 40, least_docs: int = 5, most_bits: int = 1 << 31, most_sent: int = 1_000_000) -> DataFrame:
-    """doc_id, n_lines (before), n_dropped and kept (the text left) for each row.
+def dedup_lines(docs: DataFrame, *, carry: tuple[str, ...] = (), least_chars: int = 40, least_docs: int = 5, most_bits: int = 1 << 31, most_sent: int = 1_000_000) -> DataFrame:
+    """doc_id, n_lines (before), n_dropped and kept (the text left) for each row, then the columns in `carry`.
 
     A null or empty text is one empty line. A row counts as a document: rows that repeat
     count each, and rows of the doc_id that keeps a key all keep it. A null doc_id counts,
@@ -171,8 +175,9 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = 40, least_docs: int = 5,
     A text that loses all lines becomes empty.
     """
     spark = docs.sparkSession
-    docs = pick(docs, doc_id="doc_id", text="text").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    schema = "doc_id long, n_lines long, n_dropped long, kept string"
+    names = [f"carried_{i}" for i in range(len(carry))]
+    docs = pick(docs, doc_id="doc_id", text="text", **dict(zip(names, carry))).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *names)
+    schema = T.StructType([*[T.StructField(n, T.LongType()) for n in ("doc_id", "n_lines", "n_dropped")], T.StructField("kept", T.StringType()), *docs.select(names).schema.fields])
     bitmap, bits = twice_seen(docs, least_chars, most_bits)
     sent = spark.sparkContext.broadcast(bitmap)
     suspects = docs.mapInArrow(_suspects(sent, bits, least_chars), "doc_id long, key string")
@@ -193,15 +198,15 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = 40, least_docs: int = 5,
                     d = keeper.get(_digest(k))
                     return d is not None and d != ids[i]
 
-                yield from _cleaned(iter([batch]), least_chars, loses)
+                yield from _cleaned(iter([batch]), least_chars, loses, len(carry))
 
-        return docs.mapInArrow(by_table, schema)
+        return docs.mapInArrow(by_table, schema).toDF("doc_id", "n_lines", "n_dropped", "kept", *carry)
     lost = suspects.join(found, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("at")).agg(F.collect_set("key").alias("lost"))
-    with_lost = docs.join(lost, docs["doc_id"].eqNullSafe(lost["at"]), "left").select("doc_id", "text", "lost")
+    with_lost = docs.join(lost, docs["doc_id"].eqNullSafe(lost["at"]), "left").select("doc_id", "text", *names, "lost")
 
     def by_join(batches: Iterator) -> Iterator:
         for batch in batches:
-            sets = [set(x or ()) for x in batch.column(2).to_pylist()]
-            yield from _cleaned(iter([batch]), least_chars, lambda _, i, k, sets=sets: k in sets[i])
+            sets = [set(x or ()) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield from _cleaned(iter([batch]), least_chars, lambda _, i, k, sets=sets: k in sets[i], len(carry))
 
-    return with_lost.mapInArrow(by_join, schema)
+    return with_lost.mapInArrow(by_join, schema).toDF("doc_id", "n_lines", "n_dropped", "kept", *carry)

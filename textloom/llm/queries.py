@@ -34,6 +34,20 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10
 """
 
 
+def op2_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .languages import fit, label
+
+    docs = table(spark, sf_dir, "documents")
+    return label(docs, fit(docs))
+
+
 def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .permutations import nearest
 
@@ -69,5 +83,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_sliced_top_k, op3_permutation_index, op5_line_dedup, op8_packing, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_bit_sliced_top_k, op2_rule_quality, op3_permutation_index, op4_language_spans, op5_line_dedup, op8_packing, op10_near_duplicates)}
 ORACLE_SQL = {"op1_bit_sliced_top_k": OP1_SQL, "op5_line_dedup": OP5_SQL}
