@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import table, tokenizer_path
 
 
+def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -83,5 +89,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_sliced_top_k, op2_rule_quality, op3_permutation_index, op4_language_spans, op5_line_dedup, op8_packing, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_bit_sliced_top_k, op2_rule_quality, op3_permutation_index, op4_language_spans, op5_line_dedup, op7_html_blocks, op8_packing, op10_near_duplicates)}
 ORACLE_SQL = {"op1_bit_sliced_top_k": OP1_SQL, "op5_line_dedup": OP5_SQL}
