@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tokenizer_path
+from .common import shared_dir, table, tokenizer_path
+
+
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_file
+
+    path = f"{shared_dir(spark)}/textloom-tokens-{uuid.uuid4().hex}"
+    token_file.write(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_file.read(spark, path).drop("ids")
 
 
 def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,11 +93,17 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentence_pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_sliced_top_k, op2_rule_quality, op3_permutation_index, op4_language_spans, op5_line_dedup, op7_html_blocks, op8_packing, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_bit_sliced_top_k, op2_rule_quality, op3_permutation_index, op4_language_spans, op5_line_dedup, op6_token_file, op7_html_blocks, op8_packing, op9_sentence_pieces, op10_near_duplicates)}
 ORACLE_SQL = {"op1_bit_sliced_top_k": OP1_SQL, "op5_line_dedup": OP5_SQL}
