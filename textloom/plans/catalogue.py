@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import agent, annotation, retrieval
 
-QUERIES = {**retrieval.book.queries}
-ORACLE_SQL = {**retrieval.book.sql}
+_BOOKS = [retrieval.book, annotation.book, agent.book]
+QUERIES = {k: f for b in _BOOKS for k, f in b.queries.items()}
+ORACLE_SQL = {k: s for b in _BOOKS for k, s in b.sql.items()}
