@@ -207,3 +207,24 @@ def test_agent_stream(spark, tmp_path):
 def test_cooldown_is_sequential(spark):
     rows = spark.createDataFrame([("u", f"2024-01-01 00:0{m}:00", m) for m in range(8)], "user string, ts string, id long").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["id"] for r in trade.allowed_sends(rows, 180).collect()) == [0, 3, 6]
+
+
+def test_report(spark):
+    from textloom.operators import report
+
+    rows = spark.createDataFrame([("l1", 1, 0, "pi", "pi"), ("l1", 1, 1, "o", "o"), ("l2", 2, 0, "o", "pi"), ("l2", 2, 1, "o", "o")], "lote string, sentence long, pos int, a string, b string")
+    found = report.tables(rows)
+    assert [(r["lote"], r["sentences"]) for r in found["agreement"].collect()] == [("l1", 1), ("l2", 1), (None, 2)]
+    assert "<h2>worst</h2>" in report.page(found)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from textloom import cli
+
+    (tmp_path / "t.txt").write_text("en un lugar")
+    assert cli.main(["encode", str(tmp_path / "t.txt")]) == 0
+    assert capsys.readouterr().out.strip() == "1821" + "0b" + "2821" + "0b" + "1f281a1425"
+    (tmp_path / "p.html").write_text("<h3>Capitulo I</h3>" + "".join(f"<p>{'molino viento ' * 15} parrafo {i}</p>" for i in range(5)))
+    assert cli.main(["search", str(tmp_path / "p.html"), "molino", "--index", str(tmp_path / "i"), "--min-words", "20"]) == 0
+    assert "[" in capsys.readouterr().out
+    assert cli.main(["stats", str(tmp_path / "p.html"), "--index", str(tmp_path / "i"), "--min-words", "20"]) == 0
