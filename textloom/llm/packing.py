@@ -95,7 +95,7 @@ class Packer:
         }, first + len(windows)
 
 
-def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 0, window: int = 1024, sentence: float = 4, hard: float = 24, stride: int = 32, segment: int = 4_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 0, window: int = 1024, sentence: float = 2, hard: float = 12, stride: int = 16, segment: int = 4_000_000) -> DataFrame:
     """A row for each piece of a document: which ids (start, length), their
     crc32, the document's ids with the end id, the sequence and the place there.
 
