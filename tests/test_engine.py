@@ -228,3 +228,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["search", str(tmp_path / "p.html"), "molino", "--index", str(tmp_path / "i"), "--min-words", "20"]) == 0
     assert "[" in capsys.readouterr().out
     assert cli.main(["stats", str(tmp_path / "p.html"), "--index", str(tmp_path / "i"), "--min-words", "20"]) == 0
+
+
+def test_front_matter_names_a_chapter_until_the_first(spark):
+    page = "<h2>Tasa</h2><p>uno dos</p><h2>El Rey</h2><p>tres cuatro</p><h3>Capitulo I</h3><p>cinco seis</p><h3>Segunda parte</h3><p>siete ocho</p>"
+    rows = corpus.headed_blocks(corpus.html_blocks(spark.createDataFrame([(1, page)], "id long, html string"))).orderBy("pos").collect()
+    assert [r["chapter"] for r in rows if r["tag"] == "p"] == ["Tasa", "Tasa", "Capitulo I", "Segunda parte | Capitulo I"]

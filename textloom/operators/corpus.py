@@ -13,6 +13,8 @@ from ..functions import text as T
 #: Marks of text that isn't the book's, and of where the book starts and ends (fixed values).
 NOISE_MARKS = ["project gutenberg", "this ebook", "produced by", "html version by", "updated editions"]
 START, END = "*** START OF THE PROJECT GUTENBERG", "*** END OF THE PROJECT GUTENBERG"
+#: Headings of the front matter, normalized (fixed values).
+FRONT = ["tasa", "testimonio de las erratas", "el rey", "prologo", "al libro de don quijote de la mancha"]
 #: Tags of blocks and headings (fixed values).
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 BLOCKS = ["div", "p", "li", "blockquote", *HEADINGS]
@@ -106,7 +108,11 @@ def headed_blocks(blocks: DataFrame) -> DataFrame:
     inside = inside.where((~F.col("both") | F.col("started")) & ~F.col("ended") & ~F.col("starts") & ~is_noise(F.col("text")))
     part = heading & F.col("text").rlike(r"(?iU)^(primera|segunda)\s+parte\b")
     chapter = heading & ~part & F.col("text").rlike(r"(?iU)^(cap[ii]tulo|pr[oó]logo)\b")
-    headed = inside.withColumn("part", F.last(F.when(part, F.col("text")), ignorenulls=True).over(before)).withColumn("chapter", F.last(F.when(chapter, F.col("text")), ignorenulls=True).over(before))
+    first = heading & ~part & ~chapter & T.normalize(F.col("text")).isin(*FRONT)
+    headed = inside.withColumn("part", F.last(F.when(part, F.col("text")), ignorenulls=True).over(before))
+    # front matter names a chapter only until the first real one
+    named = F.coalesce(F.last(F.when(chapter, F.col("text")), ignorenulls=True).over(before), F.first(F.when(first, F.col("text")), ignorenulls=True).over(before))
+    headed = headed.withColumn("chapter", named)
     return headed.select("id", "pos", "tag", "text", "part", T.chapter_label(F.col("part"), F.col("chapter")).alias("chapter"))
 
 
