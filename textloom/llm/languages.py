@@ -58,35 +58,41 @@ class Model:
 class Labeller:
     """Keeps the scores of the words it has seen, at most CACHE."""
 
-    CACHE = 400_000
+    CACHE = 1_000_000
 
     def __init__(self, model: Model, switch: float):
         self.m, self.switch = model, switch
         self.at: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.langs)), np.float32)
+        self.users = {k: u for k, u in model.scripts.items() if u.any()}
+        self.gram = {g: i for i, g in enumerate(model.weights)}
+        self.rows = np.stack([*model.weights.values(), model.missing]).astype(np.float32)  # the last for what isn't known
 
     def scores(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word."""
-        new = {w for w in words if w not in self.at}
+        new = [w for w in set(words) if w not in self.at]
         if len(self.at) + len(new) > self.CACHE:
             self.at.clear()
-            new = set(words)
+            new = list(set(words))
         if len(self.at) + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(new)), self.table.shape[1]), np.float32)])
-        for w in new:
-            self.table[len(self.at)] = self._score(w)
-            self.at[w] = len(self.at)
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            self.table[len(self.at) : len(self.at) + len(part)] = self._score(part)
+            self.at.update(zip(part, range(len(self.at), len(self.at) + len(part))))
         return self.table[np.fromiter(map(self.at.__getitem__, words), np.int32, len(words))]
 
-    def _score(self, word: str) -> np.ndarray:
-        low = word.lower()
-        g = grams(low, self.m.most)
-        known = [x for k in g if (x := self.m.weights.get(k)) is not None]
-        s = np.sum(known, axis=0) if known else np.zeros(len(self.m.langs))
-        s = (s + (len(g) - len(known)) * self.m.missing) / self.m.most
-        used = self.m.scripts.get(script(low[0]))
-        # where no language is known to use the script, all remain
-        return s if used is None or not used.any() else np.where(used, s, s.max() - 50.0)
+    def _score(self, words: list[str]) -> np.ndarray:
+        known, unknown, most = self.gram.get, len(self.rows) - 1, self.m.most
+        ids: list[int] = []
+        starts = []
+        for w in words:
+            starts.append(len(ids))
+            ids += [known(g, unknown) for g in grams(w.lower(), most)]
+        s = np.add.reduceat(self.rows[ids], starts, axis=0) / most
+        every = np.ones(s.shape[1], bool)  # where no language is known to use the script, all remain
+        narrow = np.array([self.users.get(script(w[0]), every) for w in words])
+        return np.where(narrow, s, s.max(1, keepdims=True) - 50.0)
 
     def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The language number of each word of each text, on the best path."""
@@ -122,14 +128,15 @@ class Labeller:
         return [label[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist())]
 
 
-def fit(docs: DataFrame, *, per_language: int = 300, most: int = 4, most_grams: int = 300_000) -> Model:
+def fit(docs: DataFrame, *, per_language: int = 300, most: int = 3, most_grams: int = 300_000) -> Model:
     """Learns from text and lang of the rows with neither null whose crc32(doc_id as text) mod
     4 isn't 2; of each language about `per_language` whole texts (those whose
     hash lies under that share), of their n-grams the `most_grams` most frequent that occur at least 3 times."""
     rows = pick(docs, doc_id="doc_id", text="text", lang="lang").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang")
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out("doc_id"), F.lit(False)))
+    # a row for each language is sent
     share = rows.groupBy("lang").agg(F.count("*").alias("n")).withColumn("least", F.lit(float(per_language)) / F.col("n"))
-    picked = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) < F.col("least") * (1 << 20)).select("lang", "text")
+    picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) < F.col("least") * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
