@@ -12,14 +12,19 @@ whose sets have 100 * intersection >= percent * union are linked; a component is
 3. Star round: each band bucket's smallest id is its leader; the others are candidates with
    it. A bucket of any size gives one row for each member. Candidates whose sketches rule
    the similarity out go; the rest are confirmed on full sets.
-4. Rest round: within buckets that still hold several components, candidates are
-   all pairs across components, joined by bucket with the sketch test inside the join. What is
-   already linked makes no pairs, and no pair is left untried that shares a bucket.
-5. Components by least label over the confirmed links, with pointer jumping; each step
+4. Drawn rounds: buckets that still hold several components draw another leader; between two components
+   the likeliest candidate is confirmed. Large groups whose members lie about the threshold grow together
+   here, at a row for each member, until a round links nothing, `most_rounds` are over,
+   or all pairs left are at most twice the members that shared a bucket.
+5. Rest round: what buckets still hold of several components meets in all pairs across
+   them, joined by bucket with the sketch test inside the join. What is already linked makes
+   no pairs, and no pair is left untried that shares a bucket.
+6. Components by least label over the confirmed links, with pointer jumping; each step
    is written to the shared folder.
 
 With five samples in a band and 44 bands, a pair of similarity 0.75 shares no bucket once in
-150,000. The sketch test lets a pair through unless its estimate lies five deviations under the threshold.
+150,000. The sketch test lets a pair through unless its estimate lies DEVIATIONS under the threshold
+(once in 300,000 for a pair just at it).
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Longs of an odd sketch.
 LONGS = 16
+#: How far over its mean at the threshold a sketches' distance may lie.
+DEVIATIONS = 4.5
 
 
 class Hashes(dict):
@@ -154,17 +161,24 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("node", "component")
 
 
+def _apart():
+    """Column: the bits in which sketches sa, sb differ."""
+    return sum((F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))) for k in range(LONGS)), F.lit(0))
+
+
 def _likely(percent: int, samples: int):
     """Column: whether sketches sa, sb may belong to similar enough sets."""
+    # at the threshold, samples that differ are binomial; each flips a bit on either side, and flips in one place undo each other
     bits, j = 64 * LONGS, percent / 100
-    worst = 2 * samples * (1 - max(0.0, j - 5 * (j * (1 - j) / samples) ** 0.5))  # samples that differ, of both sides
-    flips = bits / 2 * (1 - (1 - 2 / bits) ** worst)
-    most = flips + 5 * (bits / 4 * (1 - np.exp(-4 * worst / bits))) ** 0.5
-    apart = sum((F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))) for k in range(LONGS)), F.lit(0))
-    return apart <= F.lit(int(most))
+    flips = 2 * samples * (1 - j)
+    left = np.exp(-2 * flips / bits)
+    sampling = (2 * left) ** 2 * samples * j * (1 - j)
+    folding = bits / 4 * (1 - left**2) - flips * left**2
+    most = bits / 2 * (1 - left) + DEVIATIONS * (sampling + max(folding, 0.0)) ** 0.5
+    return _apart() <= F.lit(int(most))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands: int = 44, rows: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands: int = 44, rows: int = 5, most_rounds: int = 3, most_sent: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row.
 
     Texts that are null, empty or without words have no set and no links. Rows that repeat a
@@ -176,26 +190,27 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
     full = signed.where("n_shingles > 0 and doc_id is not null")
 
     # classes of equal sets; the smallest id stands for each
-    heads = stored(full.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("id")), "classes")
-    head_docs = full.join(heads, ["fp_a", "fp_b"]).where("doc_id = id")
-    alone = stored(head_docs.select("id", "n_shingles", "keys", "sketch").dropDuplicates(["id", "keys"]), "heads")
-    copies = full.join(heads, ["fp_a", "fp_b"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    one = F.min(F.struct("doc_id", "n_shingles", "keys", "sketch")).alias("h")
+    alone = stored(full.groupBy("fp_a", "fp_b").agg(one).select("fp_a", "fp_b", F.col("h.doc_id").alias("id"), "h.n_shingles", "h.keys", "h.sketch"), "heads")
+    copies = full.select("doc_id", "fp_a", "fp_b").join(alone.select("id", "fp_a", "fp_b"), ["fp_a", "fp_b"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
 
     buckets = stored(alone.select("id", F.explode("keys").alias("bucket")), "buckets")
     leaders = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("bucket", "leader")
     shared = stored(buckets.join(stored(leaders, "leaders"), "bucket"), "shared")
     sketches = alone.select("id", "sketch", "n_shingles")
 
-    def with_sketches(pairs: DataFrame) -> DataFrame:
+    def with_sketches(pairs: DataFrame, *more: str, distance: bool = False) -> DataFrame:
         left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
         right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
         fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        return pairs.join(left, "a").join(right, "b").where(fits & _likely(percent, bands * rows)).select("a", "b")
+        return pairs.join(left, "a").join(right, "b").where(fits & _likely(percent, bands * rows)).select("a", "b", *more, *([_apart().alias("distance")] if distance else []))
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose full sets are similar enough."""
         pairs = stored(pairs, f"pairs-{name}")
-        needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"needed-{name}")
+        if needed.count() <= most_sent:  # ids only, so the texts needn't move
+            needed = F.broadcast(needed)
         texts = docs.join(needed, docs["doc_id"] == needed["id"], "left_semi")
         sets = stored(texts.mapInArrow(_sets(words), "id long, shingles array<long>"), f"sets-{name}")
         one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa"))
@@ -205,19 +220,37 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
         return stored(pairs.join(one, "a").join(two, "b").where(near).select("a", "b").distinct(), f"linked-{name}")
 
     star = shared.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    first = confirmed(with_sketches(star), "star")
-    grouped = components(first)
-
-    placed = shared.select("bucket", "id").join(grouped, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    placed = stored(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rest = stored(placed.join(stored(mixed, "mixed"), "bucket", "left_semi").join(sketches, "id"), "rest")
+    links = confirmed(with_sketches(star), "star")
+    tried, shared, n, members = star, shared.select("bucket", "id"), 0, shared.count()
+    while True:
+        # what buckets still hold of several components; the rest is settled
+        grouped = components(links)
+        placed = stored(shared.join(grouped, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "placed")
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        rest = stored(placed.join(stored(mixed, "mixed"), "bucket", "left_semi"), "rest")
+        # where all pairs that are left are about as few as the members were, they are tried as they are
+        sizes = rest.groupBy("bucket").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
+        if n == most_rounds or sizes <= 2 * members:
+            break
+        n += 1
+        # every bucket draws another leader; of the candidates between two components, the likeliest is tried
+        draw = F.struct(F.xxhash64("bucket", "id", F.lit(n)).alias("h"), "id", "component")
+        drawn = stored(rest.groupBy("bucket").agg(F.min(draw).alias("l")).select("bucket", F.col("l.id").alias("leader"), F.col("l.component").alias("leads")), "drawn")
+        apart = rest.join(drawn, "bucket").where("component <> leads").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), F.least("component", "leads").alias("ca"), F.greatest("component", "leads").alias("cb")).distinct()
+        likely = with_sketches(apart, "ca", "cb", distance=True).join(tried, ["a", "b"], "left_anti")
+        best = stored(likely.groupBy("ca", "cb").agg(F.min(F.struct("distance", "a", "b")).alias("p")).select("p.a", "p.b"), "likeliest")
+        new = confirmed(best, "drawn")
+        tried = tried.union(best)
+        if new.isEmpty():
+            break
+        links, shared = links.union(new), rest.select("bucket", "id")
+
+    rest = stored(rest.join(sketches, "id"), "left")
     sides = [rest.select("bucket", F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "ab"]
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     across = sides[0].join(sides[1], (sides[0]["bucket"] == sides[1]["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits & _likely(percent, bands * rows)).select("a", "b").distinct()
-    untried = across.join(star, ["a", "b"], "left_anti")
-    second = confirmed(untried, "rest")
+    second = confirmed(across.join(tried, ["a", "b"], "left_anti"), "rest")
 
-    final = components(first.union(second).union(copies))
+    final = components(links.union(second).union(copies))
     out = signed.join(final, signed["doc_id"] == final["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
