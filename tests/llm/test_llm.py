@@ -96,7 +96,7 @@ def test_odd_sketches_follow_similarity():
     signer, known = minhash.Signer(44, 5), minhash.Hashes()
     a, b, c = (minhash.shingles(t, 5, known) for t in (BASE[0], near(BASE[0], 1), BASE[1]))
     x, y, z = (signer.sketch(signer.samples(s)) for s in (a, b, c))
-    apart = lambda p, q: int(np.bitwise_count(p ^ q).sum())
+    apart = lambda p, q: int(np.bitwise_count((p ^ q).view(np.uint64)).sum())
     assert apart(x, x) == 0 < apart(x, y) < apart(x, z)
 
 
