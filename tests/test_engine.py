@@ -234,3 +234,23 @@ def test_front_matter_names_a_chapter_until_the_first(spark):
     page = "<h2>Tasa</h2><p>uno dos</p><h2>El Rey</h2><p>tres cuatro</p><h3>Capitulo I</h3><p>cinco seis</p><h3>Segunda parte</h3><p>siete ocho</p>"
     rows = corpus.headed_blocks(corpus.html_blocks(spark.createDataFrame([(1, page)], "id long, html string"))).orderBy("pos").collect()
     assert [r["chapter"] for r in rows if r["tag"] == "p"] == ["Tasa", "Tasa", "Capitulo I", "Segunda parte | Capitulo I"]
+
+
+def lines_of(text, passage):
+    """(place from 1, line) of every place of a passage, by trying each."""
+    at = [i for i in range(len(text)) if passage and text.startswith(passage, i)]
+    starts = [0, *[i + 1 for i, c in enumerate(text) if c == "\n"]]
+    sizes = [len(x) for x in text.split("\n")]
+    return [(i + 1, no) for i in at for no, (s, n) in enumerate(zip(starts, sizes)) if s < i + len(passage) and s + n > i]
+
+
+def test_offset_range_join_searches_every_passage(spark, tmp_path):
+    from textloom.plans.retrieval import offset_range_join
+
+    asked = [(i, f"passage number {i} of\nthe benchmark") for i in range(12)] + [(150, "una frase entera aquí")]
+    docs = [(0, "x\nthen passage number 3 of\nthe benchmark ends"), (1, "ñ passage number 11 of\nthe benchmark\nand una frase entera aquí"), (2, "nothing")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((i, d, no, at) for i, p in asked for d, t in docs for at, no in lines_of(t, p))
+    assert {i for i, *_ in want} == {3, 11, 150}
+    assert sorted(map(tuple, offset_range_join(spark, str(tmp_path)).collect())) == want
