@@ -254,3 +254,11 @@ def test_offset_range_join_searches_every_passage(spark, tmp_path):
     want = sorted((i, d, no, at) for i, p in asked for d, t in docs for at, no in lines_of(t, p))
     assert {i for i, *_ in want} == {3, 11, 150}
     assert sorted(map(tuple, offset_range_join(spark, str(tmp_path)).collect())) == want
+
+
+def test_overlapping_lines_give_every_place(spark):
+    asked = [(0, "aa"), (1, "word"), (2, "one two three four five"), (3, "\nb c\n"), (4, "."), (5, "\\E q\\Q"), (6, ""), (7, "a b a b a b a"), (8, "two three"), (9, "\n")]
+    docs = [(0, "aaaa\n\nword, a \"one two three four five\" and\tone two three four five."), (1, "\nb c\n\nb c\nb c\n"), (2, "x \\E q\\Q y\\E q\\Q"), (3, "é😀 a b a b a b a b a b a"), (4, "swords one two three\nfour"), (5, ""), (6, None)]
+    got = corpus.overlapping_lines(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, passage string"))
+    want = sorted((i, d, no, at) for i, p in asked for d, t in docs for at, no in lines_of(t or "", p))
+    assert sorted(map(tuple, got.select("item_id", "doc_id", "line_no", "at").collect())) == want

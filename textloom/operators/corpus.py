@@ -202,21 +202,52 @@ def word_windows(docs: DataFrame, n: int) -> DataFrame:
     return pieces.select("doc_id", "piece", F.array_join(F.slice("w", F.col("piece") * n + 1, n), " ").alias("text"))
 
 
+def places(text: Column, sought: Column) -> Column:
+    """Every place (from 1) at which a string stands in a text, places that overlap included.
+
+    The text is cut before each of them, and the pieces' lengths are summed.
+    """
+    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(sought, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    none = F.array().cast("array<long>")
+    begun = F.when(F.startswith(text, sought), F.array(F.lit(1).cast("long"))).otherwise(none)
+    state = F.struct(F.lit(1).cast("long").alias("next"), begun.alias("at"))
+
+    def move(s: Column, piece: Column) -> Column:
+        after = s["next"] + F.length(piece)
+        return F.struct(after.alias("next"), F.concat(s["at"], F.array(after)).alias("at"))
+
+    pieces = F.split(text, quoted, -1)
+    cut = F.slice(pieces, F.lit(1), F.size(pieces) - 1)  # the last piece has no place after it
+    return F.when(F.length(sought) > 0, F.aggregate(cut, state, move, lambda s: s["at"])).otherwise(none)
+
+
 def overlapping_lines(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(item_id, doc_id, line_no, at): asked passages found in texts, with each line whose characters they overlap.
+    """(item_id, doc_id, line_no, at): asked passages found in texts, at every place, with each line whose characters they overlap.
 
-    Passages and texts meet on a shared first word run, so each text is only held against passages that may be in it.
+    Passages and texts meet on the longest pair of a passage's inner words, which stand whole wherever it does; its first and last
+    word may be parts of longer ones. Passages without such a pair are held against every text.
     """
-    def pairs(x: Column) -> Column:
-        w = F.filter(F.split(x, r"[ \n]"), lambda t: t != "")
-        return F.zip_with(w, F.slice(w, 2, 1_000_000_000), lambda a, b: F.concat_ws(" ", a, b))
-
-    first = F.get(pairs(F.col("passage")), F.lit(0))
-    keyed = docs.select("doc_id", F.explode(F.array_distinct(pairs(F.col("text")))).alias("k"))
-    may = keyed.join(asked.select("item_id", first.alias("k")), "k").select("doc_id", "item_id").distinct()
-    hits = may.join(docs, "doc_id").join(asked, "item_id").where(F.col("text").contains(F.col("passage")))
-    hits = hits.select("item_id", "doc_id", F.instr("text", F.col("passage")).cast("long").alias("at"), F.length("passage").alias("n"), F.split("text", "\n").alias("lines"))
-    # a line's start: the lengths before it and a line feed for each
-    starts = F.transform("lines", lambda line, i: F.struct(i.cast("long").alias("no"), F.aggregate(F.slice("lines", F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p) + 1).alias("start"), F.length(line).alias("size")))
-    spread = hits.select("item_id", "doc_id", "at", "n", F.explode(starts).alias("p"))
-    return spread.where((F.col("p.start") < F.col("at") - 1 + F.col("n")) & (F.col("p.start") + F.col("p.size") > F.col("at") - 1)).select("item_id", "doc_id", F.col("p.no").alias("line_no"), "at")
+    def words(x: Column) -> Column:
+        return F.filter(F.split(x, r"[ \n]"), lambda t: t != "")
+
+    def pairs(w: Column) -> Column:
+        return F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, 1_000_000_000), lambda a, b: F.concat_ws(" ", a, b))
+
+    w = words(F.col("passage"))
+    inner = pairs(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))
+    longest = F.array_max(F.transform(inner, lambda p: F.struct(F.length(p).alias("n"), p.alias("k"))))["k"]
+    asked = asked.where("passage <> ''").withColumn("k", longest)
+    keyed = docs.select("doc_id", F.explode(F.array_distinct(pairs(words(F.col("text"))))).alias("k"))
+    may = keyed.join(asked.where("k is not null").select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
+    found = F.col("text").contains(F.col("passage"))
+    hits = may.join(docs, "doc_id").join(asked, "item_id").where(found).select("item_id", "doc_id", "passage", "text")
+    hits = hits.union(docs.join(asked.where("k is null"), found).select("item_id", "doc_id", "passage", "text"))
+    spread = hits.select("item_id", "doc_id", "passage", "text", F.explode(places(F.col("text"), F.col("passage"))).alias("at"))
+    # lines from the one after the line feeds before the place to the one before the passage's end; a line feed at either end is of no line
+    feed = F.lit("\n")
+    feeds = lambda x: F.length(x) - F.length(F.replace(x, feed))
+    before = feeds(F.substring(F.col("text"), F.lit(1), (F.col("at") - 1).cast("int")))
+    first = before + F.startswith(F.col("passage"), feed).cast("int")
+    last = before + feeds(F.col("passage")) - F.endswith(F.col("passage"), feed).cast("int")
+    lines = F.when(first <= last, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<long>"))
+    return spread.select("item_id", "doc_id", F.explode(lines).alias("line_no"), "at")
