@@ -262,3 +262,61 @@ def test_overlapping_lines_give_every_place(spark):
     got = corpus.overlapping_lines(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, passage string"))
     want = sorted((i, d, no, at) for i, p in asked for d, t in docs for at, no in lines_of(t or "", p))
     assert sorted(map(tuple, got.select("item_id", "doc_id", "line_no", "at").collect())) == want
+
+
+def trained_by_hand(rows, size):
+    """Vocabulary and encoder of bpe by counting every pair anew."""
+    seqs, vocab, merges = [list(t) for _, t in sorted(rows)], sorted(set("".join(t for _, t in rows))), []
+
+    def put(s, a, b):
+        r, i = [], 0
+        while i < len(s):
+            two = s[i : i + 2] == [a, b]
+            r.append(a + b if two else s[i])
+            i += 1 + two
+        return r
+
+    while len(vocab) < size:
+        n = {}
+        for s in seqs:
+            for p in zip(s, s[1:]):
+                n[p] = n.get(p, 0) + 1
+        if not n:
+            break
+        a, b = max(n, key=n.get)  # the first seen on ties, as a dict keeps its order
+        merges.append((a, b))
+        vocab.append(a + b)
+        seqs = [put(s, a, b) for s in seqs]
+
+    def encode(text):
+        s = [c if c in vocab else vocab[0] for c in text]
+        for m in merges:
+            s = put(s, *m)
+        return s
+
+    return vocab, encode
+
+
+@pytest.mark.parametrize("runs", [bpe.RUNS, 20])
+def test_bpe_queries_train_on_whole_documents(spark, tmp_path, monkeypatch, runs):
+    from textloom.plans.models import bpe_encode_stats, bpe_train_k_merges
+
+    monkeypatch.setattr(bpe, "RUNS", runs)
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("aáeinortsñ😀", k=rng.randint(1, 6))) for _ in range(60)] + ["aaaa", "aaaaaaa"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 120)))) for i in rng.sample(range(1000), 40)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    vocab, encode = trained_by_hand(docs, 300)
+    assert [r["token"] for r in bpe_train_k_merges(spark, str(tmp_path)).orderBy("id").collect()] == vocab and len(vocab) == 300
+    got = {r["doc_id"]: (r["n_chars"], r["n_tokens"], r["round_trip"]) for r in bpe_encode_stats(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(t), len(encode(t)), True) for i, t in docs}
+
+
+def test_bpe_encoded_equals_encode(spark):
+    texts = [(0, "the then then"), (1, "aaaaa aaa")]
+    tok = bpe.train(spark.createDataFrame(texts, "id long, text string"), 12)
+    rows = spark.createDataFrame([(0, "then xyz aaaa"), (1, ""), (2, None), (3, "aaaaa")], "id long, text string")
+    out = bpe.encoded(rows, tok).select("id", "tokens", tok.encode(F.col("text")).alias("same"), "back", tok.decode(tok.encode(F.col("text"))).alias("text")).collect()
+    assert len(out) == 4 and all(r["tokens"] == r["same"] and r["back"] == r["text"] for r in out)
+    assert "".join(trained_by_hand(texts, 12)[1]("then xyz")) == bpe.encoded(rows.limit(1).select("id", F.lit("then xyz").alias("text")), tok).first()["back"]

@@ -19,8 +19,8 @@ def bpe_pair_counts(spark, sf_dir):
 
 
 def _trained(spark, sf_dir) -> bpe.Bpe:
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return bpe.train(rows, 96)
+    """Of all documents, with the vocabulary size of the reference."""
+    return bpe.train(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 300)
 
 
 @book()
@@ -32,9 +32,9 @@ def bpe_train_k_merges(spark, sf_dir):
 @book()
 def bpe_encode_stats(spark, sf_dir):
     tok = _trained(spark, sf_dir)
-    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", tok.encode(F.col("text")).alias("tokens"))
+    rows = bpe.encoded(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), tok)
     n = F.length("tokens")
-    return rows.select("item_id", F.length("text").alias("n_chars"), n.alias("n_tokens"), F.try_divide(F.length("text"), n).alias("ratio"), (tok.decode(F.col("tokens")) == F.col("text")).alias("round_trip"))
+    return rows.select(F.col("id").alias("doc_id"), F.length("text").alias("n_chars"), n.alias("n_tokens"), F.try_divide(F.length("text"), n).alias("ratio"), (F.col("back") == F.col("text")).alias("round_trip"))
 
 
 @book("""WITH d AS (SELECT doc_id, length(text) AS n FROM documents)
