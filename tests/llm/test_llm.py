@@ -341,6 +341,11 @@ def test_languages_and_spans(spark, none):
     assert languages.label(none, languages.fit(none)).count() == 0 == languages.accepted(none, languages.fit(none)).count()
 
 
+def test_languages_learn_from_runs_of_four_letters(spark):
+    docs = spark.createDataFrame([(i, "abcd efgh " * 5, "aa") for i in range(20)], "doc_id long, text string, lang string")
+    assert {"abcd", "efgh"} <= set(languages.fit(docs).weights)
+
+
 def test_viterbi_matches_brute_force():
     weights = {"a": np.array([0.0, -1.0], np.float32), "b": np.array([-1.0, 0.0], np.float32)}
     lab = languages.Labeller(languages.Model(["x", "y"], weights, np.array([-0.5, -0.5]), {}, 1), 1.2)
