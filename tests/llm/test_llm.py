@@ -100,6 +100,17 @@ def test_odd_sketches_follow_similarity():
     assert apart(x, x) == 0 < apart(x, y) < apart(x, z)
 
 
+def test_sketch_bound_holds_by_the_exact_tail():
+    tail, bound = minhash._tail(75, 220), minhash._bound(75, 220)
+    assert abs(tail[149] - 8.2e-6) < 1e-7  # what the bound of 4.5 deviations missed
+    assert tail[bound] <= 2.867e-7 < tail[bound - 1]
+    rng = np.random.default_rng(0)
+    flips = rng.integers(0, 64 * minhash.LONGS, (4000, 440))
+    n = rng.binomial(220, 0.25, 4000)
+    apart = [int((np.bincount(f[: 2 * k]) & 1).sum()) for f, k in zip(flips, n)]
+    assert abs(np.mean(np.array(apart) > 110) - tail[110]) < 0.03
+
+
 # lines
 
 

@@ -23,8 +23,8 @@ whose sets have 100 * intersection >= percent * union are linked; a component is
    is written to the shared folder.
 
 With five samples in a band and 44 bands, a pair of similarity 0.75 shares no bucket once in
-150,000. The sketch test lets a pair through unless its estimate lies DEVIATIONS under the threshold
-(once in 300,000 for a pair just at it).
+150,000. The sketch test lets a pair through unless its sketches differ in more bits than all but MISS
+of the pairs just at the threshold do (by the exact tail, at most one pair in 3,400,000 is missed).
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Longs of an odd sketch.
 LONGS = 16
-#: How far over its mean at the threshold a sketches' distance may lie.
-DEVIATIONS = 4.5
+#: The most of the pairs just at the threshold that the sketch test may miss: what lies beyond 5 deviations.
+MISS = 2.867e-7
 
 
 class Hashes(dict):
@@ -166,16 +166,31 @@ def _apart():
     return sum((F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))) for k in range(LONGS)), F.lit(0))
 
 
+def _tail(percent: int, samples: int) -> np.ndarray:
+    """At i: the chance that sketches of two sets just at the threshold differ in more than i bits.
+
+    Samples that differ are binomial; each flips a bit on either side, and flips in one place undo each other.
+    """
+    bits, differ = 64 * LONGS, 1 - percent / 100
+    count = np.arange(bits + 1)
+    odd = np.zeros(bits + 1)  # the chance of so many bits that differ
+    odd[0] = 1.0
+    out, chance = np.zeros(bits + 1), (1 - differ) ** samples
+    for k in range(samples + 1):
+        out += chance * odd
+        chance *= (samples - k) / (k + 1) * differ / (1 - differ)
+        for _ in range(2):
+            odd = np.r_[0.0, (odd * (1 - count / bits))[:-1]] + np.r_[(odd * count / bits)[1:], 0.0]
+    return np.r_[np.cumsum(out[::-1])[::-1][1:], 0.0]
+
+
+def _bound(percent: int, samples: int) -> int:
+    return int(np.argmax(_tail(percent, samples) <= MISS))
+
+
 def _likely(percent: int, samples: int):
     """Column: whether sketches sa, sb may belong to similar enough sets."""
-    # at the threshold, samples that differ are binomial; each flips a bit on either side, and flips in one place undo each other
-    bits, j = 64 * LONGS, percent / 100
-    flips = 2 * samples * (1 - j)
-    left = np.exp(-2 * flips / bits)
-    sampling = (2 * left) ** 2 * samples * j * (1 - j)
-    folding = bits / 4 * (1 - left**2) - flips * left**2
-    most = bits / 2 * (1 - left) + DEVIATIONS * (sampling + max(folding, 0.0)) ** 0.5
-    return _apart() <= F.lit(int(most))
+    return _apart() <= F.lit(_bound(percent, samples))
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands: int = 44, rows: int = 5, most_rounds: int = 3, most_sent: int = 2_000_000) -> DataFrame:
