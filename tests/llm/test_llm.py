@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, empty and long texts, ties,
 repeated rows, no rows, and columns whose names clash."""
 
+import inspect
 import itertools
 import random
 import re
@@ -293,6 +294,33 @@ def test_added_bitmaps_are_sums():
     assert all(sum(s << b for b, s in bit_sliced.signed_digits(v)) == v for v in range(-70, 70))
 
 
+def test_permutation_index_recall_of_the_query(spark, monkeypatch):
+    """With the query's own parameters, on one block of more than `least` rows; fewer are all reranked."""
+    rng = np.random.default_rng(11)
+    x = (rng.normal(size=(40, 64))[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 64))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    drawn = np.array([x[i] for i in rng.choice(2000, 256, replace=False)], np.float32)
+
+    class Sent:
+        value = {64: drawn}
+
+    called, foot = [], permutations.Index.footrule
+    monkeypatch.setattr(permutations.Index, "footrule", lambda self, order: called.append(1) or foot(self, order))
+    own = {k: p.default for k, p in inspect.signature(permutations.nearest).parameters.items()}
+    found = {}
+    for n in (500, 2000):
+        ask = np.arange(0, n, 20)
+        monkeypatch.setattr(permutations, "pairs_of", lambda batch, n=n, ask=ask: [(np.arange(n), x[:n], ask, x[ask])])
+        (out,) = permutations._work(own["k"], Sent, own["near"], own["share"], own["least"])([None])
+        score = x[:n].astype(np.float64) @ x[:n].T.astype(np.float64)
+        np.fill_diagonal(score, -np.inf)
+        want = {(q, v) for q in ask.tolist() for v in np.argsort(-score[q])[: own["k"]].tolist()}
+        got = set(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
+        found[n] = len(got & want) / len(want), len(called)
+    assert found[500] == (1.0, 0)  # plain brute force
+    assert 0.85 < found[2000][0] < 1.0 and found[2000][1] == 100
+
+
 def test_permutation_index_finds_the_nearest(vectors, none):
     rows = _usable(vectors, False)
     want = _best(rows, 20, 20, lambda v, w: float((v * w).sum()))

@@ -6,8 +6,8 @@ that have it, and at what place. A query walks the files of its own nearest pivo
 how far apart the places are (footrule distance; a pivot missing on one side counts as place `near`).
 The rows of least footrule are reranked by the inner product on the original vectors.
 
-Each block reranks a fixed share of its rows, so the recall is the same at any size
-(measured against brute force: README).
+Each block reranks a fixed share of its rows, `least` at least: a block of no more rows than that is plain brute
+force, with recall 1, and the index decides in larger blocks only (recall against brute force: README).
 """
 
 from __future__ import annotations
