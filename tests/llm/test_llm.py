@@ -226,6 +226,18 @@ def test_pieces_match_the_library(docs, none):
     assert sentence_pieces.encode(none, path).count() == 0
 
 
+def test_models_with_another_normaliser_are_refused(tmp_path):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    proto = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model")).serialized_model_proto()
+    assert sentence_pieces._other_normaliser(proto) == []
+    sentence_pieces.Codec(tokenizer_path("piece_bpe_32k.model"))
+    # a message that is given once more is merged into the first
+    path = tmp_path / "other.model"
+    path.write_bytes(proto + bytes([3 << 3 | 2, 2, 4 << 3, 1]))
+    with pytest.raises(ValueError, match="removal of extra spaces"):
+        sentence_pieces.Codec(str(path))
+
+
 def test_shortest_path_is_the_best_segmentation():
     rng = random.Random(2)
     pieces = {p: (i, -rng.random() * 5) for i, p in enumerate(["a", "b", "c", "ab", "bc", "abc", "ca", "bca"])}

@@ -1,18 +1,15 @@
 """SentencePiece encoding and decoding by weighted transducers.
 
-The normaliser (a space becomes ▁, one ▁ leads), the pieces and the byte fallback compile into transducers over
-characters: the lexicon is a trie whose final states carry a piece and its weight (its negated score), and a
+The normaliser is a replacement: a space becomes ▁, one ▁ leads. A model whose normalizer_spec asks for more is refused.
+
+Unigram models: the lexicon is a trie whose final states carry a piece and its weight (its negated score), and a
 character outside all pieces takes the path of its bytes. Composing them with an input gives an acyclic graph over
 the input's positions; the tropical-semiring shortest path is its best segmentation. That is
-exact for unigram models, whose scores are log-probabilities.
+exact, as the scores are log-probabilities.
 
 A BPE model's scores are merge ranks, and the shortest path by their sum isn't the library's
-result: it merges best pair first. For those models the composed graph of a unit is searched by merges
-instead: the arcs taken, best score first and leftmost on ties, join neighbouring arcs into one that the lexicon
-accepts. Both are exact against the library (README).
-
-No piece joins a ▁ to a character before it, so units that start with ▁ are encoded apart, and each
-worker keeps those it has seen.
+result: it merges best pair first. Those models take a plain merge with a priority queue, best score first and
+leftmost on ties, without transducers. It is exact against the library (README).
 """
 
 from __future__ import annotations
@@ -58,6 +55,8 @@ class Lexicon:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 pieces[sp.id_to_piece(i)] = (i, sp.get_score(i))
         proto = sp.serialized_model_proto()
+        if other := _other_normaliser(proto):
+            raise ValueError(f"{path}: its normaliser isn't the one here: {', '.join(other)}")
         return cls(pieces, byte_ids, sp.unk_id(), _is_bpe(proto))
 
     def arcs(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
@@ -157,6 +156,14 @@ def _is_bpe(proto: bytes) -> bool:
     return next((v for k, v in _fields(spec) if k == 3), 1) == 2
 
 
+def _other_normaliser(proto: bytes) -> list[str]:
+    """What normalizer_spec (field 3) asks for besides a space as ▁ and one ▁ that leads."""
+    spec = dict(_fields(next((v for k, v in _fields(proto) if k == 3), b"")))
+    trainer = dict(_fields(next((v for k, v in _fields(proto) if k == 2), b"")))
+    found = {"a character map": spec.get(2), "no dummy prefix": not spec.get(3, 1), "removal of extra spaces": spec.get(4, 1), "spaces kept": not spec.get(5, 1), "spaces as suffixes": trainer.get(24)}
+    return [x for x, there in found.items() if there]
+
+
 class Codec:
     def __init__(self, path: str):
         self.lex = Lexicon.load(path)
