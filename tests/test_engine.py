@@ -320,3 +320,14 @@ def test_bpe_encoded_equals_encode(spark):
     out = bpe.encoded(rows, tok).select("id", "tokens", tok.encode(F.col("text")).alias("same"), "back", tok.decode(tok.encode(F.col("text"))).alias("text")).collect()
     assert len(out) == 4 and all(r["tokens"] == r["same"] and r["back"] == r["text"] for r in out)
     assert "".join(trained_by_hand(texts, 12)[1]("then xyz")) == bpe.encoded(rows.limit(1).select("id", F.lit("then xyz").alias("text")), tok).first()["back"]
+
+
+def test_lm_windows_counts_the_windows_themselves(spark, tmp_path, monkeypatch):
+    from textloom.plans.models import lm_windows
+
+    asked, windows = [], lm.windows
+    monkeypatch.setattr(lm, "windows", lambda ids, length: asked.append(length) or windows(ids, length))
+    docs = [(0, ""), (1, "a" * 64), (2, "ñ😀" * 40), (3, "x" * 9000)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, lm_windows(spark, str(tmp_path)).collect()))
+    assert got == [(0, 0, 0), (1, 0, 57), (2, 16, 72), (3, 8936, 8100)] and asked == [64]

@@ -44,8 +44,8 @@ def lm_windows(spark, sf_dir):
     ids = F.filter(F.split("text", ""), lambda c: c != "")
     rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
     training = F.size(F.filter(F.when(F.size("ids") > 0, F.sequence(F.lit(0), F.size("ids") - 1)).otherwise(F.array().cast("array<int>")), lambda i: lm.is_training(i, F.size("ids"))))
-    starts = F.greatest(F.size("ids") - 64, F.lit(0))
-    return rows.select("doc_id", starts.cast("long").alias("examples"), training.cast("long").alias("training"))
+    examples = F.size(lm.windows(F.col("ids"), 64))
+    return rows.select("doc_id", examples.cast("long").alias("examples"), training.cast("long").alias("training"))
 
 
 @book("""WITH b AS (SELECT item_id, string_split(text, '') AS c FROM benchmark), s AS (SELECT item_id, c, unnest(range(1, len(c) - 7)) AS i FROM b)
