@@ -4,7 +4,7 @@ Each task takes the documents of its partition as one stream of ids (a
 document's own and an end id) and cuts it into windows of at most `window` ids.
 A window may end after any document at no cost, after any sentence (an id whose
 text ends in . ! ? or a line feed) at `sentence` and, where a sentence runs on for
-long, every `stride` ids at `hard`. Dynamic programming over these places finds
+long (4 * stride ids, or a window's), every `stride` ids at `hard`. Dynamic programming over these places finds
 the cuts of least padding plus costs: with f the best cost up to a place and p
 its position, f(j) = cost(j) + min over p(j) - p(i) <= window of
 f(i) + window - (p(j) - p(i)). What depends on i is f(i) + p(i), and the range of
@@ -34,13 +34,15 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def cuts(places: list[int], costs: list[float], window: int) -> list[int]:
-    """Positions of the window ends for ascending places (the last is the end,
-    gaps at most window) and the costs of cutting there."""
+    """Positions of the window ends for ascending places (the last is the end) and the
+    costs of cutting there. A gap of more than window ids between places is an error."""
     best, back = [0.0], [0]
     at, queue, base = [0, *places], deque([(0.0, 0, 0)]), 0.0
     for j, (p, c) in enumerate(zip(places, costs), 1):
-        while queue[0][1] < p - window:
+        while queue and queue[0][1] < p - window:
             queue.popleft()
+        if not queue:
+            raise ValueError(f"no place to cut within {window} ids before {p}")
         base, _, i = queue[0]
         back.append(i)
         best.append(base + window - p + c)
@@ -57,10 +59,10 @@ def cuts(places: list[int], costs: list[float], window: int) -> list[int]:
 
 class Packer:
     def __init__(self, path: str, end_id: int, window: int, sentence: float, hard: float, stride: int):
-        self.enc, self.end, self.window = encoder(path), np.array([end_id], "<u4").tobytes(), window
+        self.enc, self.window = encoder(path), window
         self.sentence, self.hard, self.stride = sentence, hard, max(1, min(stride, window))
         vocab = self.enc.tok.get_vocab()
-        self.stops = np.zeros(max(vocab.values()) + 1, bool)
+        self.stops = np.zeros(max(max(vocab.values()), end_id) + 1, bool)
         self.stops[[i for t, i in vocab.items() if t.endswith((".", "!", "?", "Ċ"))]] = True  # Ċ is the vocabulary's line feed
 
     def places(self, ids: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[float]]:
@@ -68,22 +70,21 @@ class Packer:
         cost[np.flatnonzero(self.stops[ids]) + 1] = self.sentence
         cost[ends] = 0
         known = np.concatenate([[0], np.flatnonzero(cost[1:] < np.inf) + 1])
-        for i in np.flatnonzero(np.diff(known) > 4 * self.stride):
+        for i in np.flatnonzero(np.diff(known) > min(4 * self.stride, self.window)):
             a, b = int(known[i]), int(known[i + 1])
             cost[np.arange(a + self.stride, b, self.stride)] = self.hard
         at = np.flatnonzero(cost[1:] < np.inf) + 1
         return at.tolist(), cost[at].tolist()
 
-    def pack(self, doc_ids: list, blobs: list[bytes], first: int) -> tuple[dict, int]:
-        """Columns of SCHEMA for the documents' ids (with end ids), and the next sequence's number."""
-        data = b"".join(blobs)
-        ids, ends = np.frombuffer(data, "<u4"), np.cumsum([len(b) // 4 for b in blobs])
+    def pack(self, doc_ids: list, ids: np.ndarray, sizes: np.ndarray, first: int) -> tuple[dict, int]:
+        """Columns of SCHEMA for the documents' ids (with end ids, end to end), and the next sequence's number."""
+        ends = np.cumsum(sizes)
         windows = np.array(cuts(*self.places(ids, ends), self.window))
         stop = np.union1d(ends, windows)
         start = np.concatenate([[0], stop[:-1]])
         doc, seq = np.searchsorted(ends, start, "right"), np.searchsorted(windows, start, "right")
         begin = np.concatenate([[0], ends])
-        view = memoryview(data)
+        view = memoryview(ids).cast("B")
         return {
             "doc_id": [doc_ids[i] for i in doc.tolist()],
             "start": start - begin[doc],
@@ -101,7 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 0, window: int = 1024
 
     Null or empty text: the end id alone. A null doc_id stays null; rows that
     repeat are packed each; no rows give none. Other columns play no part.
-    Very long texts are cut at sentences, and where these run on, in between.
+    Very long texts are cut at sentences, and where these run on, in between. Any window of 1 or more will do.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
@@ -111,26 +112,27 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 0, window: int = 1024
         from pyspark import TaskContext
 
         packer, number = Packer(tokenizer, end_id, window, sentence, hard, stride), TaskContext.get().partitionId() << 32
-        held_ids, held, size = [], [], 0
+        held_docs, held_ids, held_sizes, size = [], [], [], 0
         schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
         def settle():
             nonlocal number, size
-            columns, number = packer.pack(held_ids, held, number)
-            held_ids.clear(), held.clear()
+            columns, number = packer.pack(held_docs, np.concatenate(held_ids), np.concatenate(held_sizes), number)
+            held_docs.clear(), held_ids.clear(), held_sizes.clear()
             size = 0
             return pa.RecordBatch.from_pydict(columns, schema=schema)
 
         for batch in batches:
-            ids, texts = (batch.column(k).to_pylist() for k in (0, 1))
+            docs, texts = (batch.column(k).to_pylist() for k in (0, 1))
             for i, j in runs(texts):
-                for d, blob in zip(ids[i:j], packer.enc.encode(texts[i:j])):
-                    held_ids.append(d)
-                    held.append(blob + packer.end)
-                    size += len(blob) // 4 + 1
-                    if size >= segment:
-                        yield settle()
-        if held:
+                ids, sizes = packer.enc.encode(texts[i:j], end_id)
+                held_docs += docs[i:j]
+                held_ids.append(ids)
+                held_sizes.append(sizes)
+                size += len(ids)
+                if size >= segment:
+                    yield settle()
+        if held_docs:
             yield settle()
 
     return pick(docs, doc_id="doc_id", text="text").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(work, SCHEMA)

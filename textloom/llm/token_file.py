@@ -36,29 +36,40 @@ def blocks(docs: DataFrame, tokenizer: str, *, end_id: int = 0, block_tokens: in
 
         from .coder import write_block
 
-        part, enc, end = TaskContext.get().partitionId(), encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        part, enc = TaskContext.get().partitionId(), encoder(tokenizer)
         vocabulary = max(enc.tok.get_vocab_size(), end_id + 1)
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("documents", pa.int32()), ("tokens", pa.int64()), ("payload", pa.binary())])
-        held_ids, held, size, number = [], [], 0, 0
-
-        def settle():
-            nonlocal size, number
-            row = {"part": [part], "block": [number], "documents": [len(held)], "tokens": [size], "payload": [write_block(held_ids, held, vocabulary)]}
-            held_ids.clear(), held.clear()
-            size, number = 0, number + 1
-            return pa.RecordBatch.from_pydict(row, schema=schema)
+        held_docs, held_ids, held_sizes, held, number = [], [], [], 0, 0
+
+        def settled(last: bool):
+            """The blocks that the documents held fill, and, at last, the one that they begin."""
+            nonlocal held, number
+            docs, ids, sizes = held_docs.copy(), np.concatenate(held_ids), np.concatenate(held_sizes)
+            ends, first, at = np.cumsum(sizes), 0, 0
+            while first < len(docs):
+                stop = int(np.searchsorted(ends, at + block_tokens)) + 1
+                if stop > len(docs) and not last:
+                    break
+                stop = min(stop, len(docs))
+                own, to = sizes[first:stop], int(ends[stop - 1])
+                row = {"part": [part], "block": [number], "documents": [stop - first], "tokens": [to - at], "payload": [write_block(docs[first:stop], ids[at:to], own, vocabulary)]}
+                yield pa.RecordBatch.from_pydict(row, schema=schema)
+                first, at, number = stop, to, number + 1
+            held_docs[:], held_ids[:], held_sizes[:] = docs[first:], [ids[at:]], [sizes[first:]]
+            held = len(ids) - at
 
         for batch in batches:
-            ids, texts = (batch.column(k).to_pylist() for k in (0, 1))
+            docs, texts = (batch.column(k).to_pylist() for k in (0, 1))
             for i, j in runs(texts):
-                for d, blob in zip(ids[i:j], enc.encode(texts[i:j])):
-                    held_ids.append(d)
-                    held.append(blob + end)
-                    size += len(blob) // 4 + 1
-                    if size >= block_tokens:
-                        yield settle()
-        if held:
-            yield settle()
+                ids, sizes = enc.encode(texts[i:j], end_id)
+                held_docs += docs[i:j]
+                held_ids.append(ids)
+                held_sizes.append(sizes)
+                held += len(ids)
+                if held >= block_tokens:
+                    yield from settled(False)
+        if held_docs:
+            yield from settled(True)
 
     docs = pick(docs, doc_id="doc_id", text="text").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(work, BLOCKS)
@@ -89,8 +100,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             for first, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                names, blobs = read_block(payload.as_py())
-                n = np.array([len(b) // 4 for b in blobs], np.int64)
-                yield pa.RecordBatch.from_pydict({"doc_id": names, "start": first + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": [zlib.crc32(b) for b in blobs], "ids": blobs}, schema=schema)
+                names, ids, n = read_block(payload.as_py())
+                ends, view = np.cumsum(n), memoryview(ids).cast("B")
+                crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip((ends - n).tolist(), ends.tolist())]
+                blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(0, 4 * ends)), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(first + ends - n), pa.array(n), pa.array(crc, pa.int64()), blobs], schema=schema)
 
     return rows.join(start, ["part", "block"]).select("start", "payload").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
