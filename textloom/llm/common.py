@@ -49,7 +49,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Removes what stored() wrote for these, which nothing may read any more."""
+    for df in dfs:
+        if path := getattr(df, "_stored_at", None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            df._stored_at = None
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -10,9 +10,10 @@ lose their lines everywhere but in the largest doc_id that holds them.
    twice = twice of either side, or once of both.
 2. Only lines whose hash is in the twice-seen filter are suspects. They alone shuffle,
    with their text, and are counted exactly, pre-aggregated on the map side, so that a
-   line in a third of all documents is a few rows for each task.
-3. Confirmed keys reach the documents as a broadcast where they are at most `most_sent`,
-   else through joins.
+   line in a third of all documents is a few rows for each task. A doc_id in several rows counts once: the suspects of
+   such ids, which are few or none, are made distinct first.
+3. Of the confirmed keys the `most_sent` commonest reach the documents as a broadcast, the others, none of which is
+   common then, through joins.
 
 The filters have 16 bits for each line, `most_bits` at most: the broadcast has that
 bound, and beyond it the filter lets more lines through to the exact count, with the same result.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pick, stored
+from .common import discard, pick, stored
 
 #: Stripped from a line's ends for its key (fixed value).
 BLANKS = " \t\n\x0b\x0c\r"
@@ -124,7 +125,7 @@ def twice_seen(docs: DataFrame, least: int, most_bits: int) -> tuple[bytes, int]
 
 
 def _suspects(sent, bits: int, least: int):
-    """(doc_id, text) -> (doc_id, key) of the lines that the filter has."""
+    """(doc_id, own, text) -> (doc_id, own, key) of the lines that the filter has."""
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -132,14 +133,15 @@ def _suspects(sent, bits: int, least: int):
         bitmap = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
             keys, owners = [], []
-            for d, text in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 own = _keys(text, least)
                 keys += own
-                owners += [d] * len(own)
+                owners += [i] * len(own)
             if keys:
                 at = _positions(keys, bits)
                 hit = np.flatnonzero((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(1)).tolist()
-                yield pa.RecordBatch.from_pydict({"doc_id": [owners[i] for i in hit], "key": [keys[i] for i in hit]}, schema=pa.schema([("doc_id", pa.int64()), ("key", pa.string())]))
+                rows = pa.array([owners[i] for i in hit], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([keys[i] for i in hit], pa.string())], names=["doc_id", "own", "key"])
 
     return work
 
@@ -169,9 +171,9 @@ def _cleaned(batches: Iterator, least: int, loses, carried: int) -> Iterator:
 def dedup_lines(docs: DataFrame, *, carry: tuple[str, ...] = (), least_chars: int = 40, least_docs: int = 5, most_bits: int = 1 << 31, most_sent: int = 1_000_000) -> DataFrame:
     """doc_id, n_lines (before), n_dropped and kept (the text left) for each row, then the columns in `carry`.
 
-    A null or empty text is one empty line. A row counts as a document: rows that repeat
-    count each, and rows of the doc_id that keeps a key all keep it. A null doc_id counts,
-    is never the largest, and its row stays with doc_id null. No rows give none. Other columns play no part.
+    A null or empty text is one empty line. Rows that repeat a doc_id count as one document, and those of the doc_id
+    that keeps a key all keep it. A row without a doc_id counts as none and keeps no repeated key; it
+    stays, with doc_id null. No rows give none. Other columns play no part.
     A text that loses all lines becomes empty.
     """
     spark = docs.sparkSession
@@ -180,33 +182,44 @@ def dedup_lines(docs: DataFrame, *, carry: tuple[str, ...] = (), least_chars: in
     schema = T.StructType([*[T.StructField(n, T.LongType()) for n in ("doc_id", "n_lines", "n_dropped")], T.StructField("kept", T.StringType()), *docs.select(names).schema.fields])
     bitmap, bits = twice_seen(docs, least_chars, most_bits)
     sent = spark.sparkContext.broadcast(bitmap)
-    suspects = docs.mapInArrow(_suspects(sent, bits, least_chars), "doc_id long, key string")
-    found = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-    found = stored(found.where((F.col("n") >= least_docs) & F.col("keeper").isNotNull()).select("key", "keeper"), "lines")
-    if found.count() <= most_sent:
-        # a digest and a number for each key: at most most_sent times 24 bytes
-        small = spark.sparkContext.broadcast({_digest(k): d for k, d in found.toLocalIterator()})
-
-        def by_table(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            keeper = small.value
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-
-                def loses(_, i, k, ids=ids):
-                    d = keeper.get(_digest(k))
-                    return d is not None and d != ids[i]
-
-                yield from _cleaned(iter([batch]), least_chars, loses, len(carry))
+    # a text's hash tells rows of one doc_id, or of none, apart, so that what a row loses is no more than its own lines
+    owned = docs.select("doc_id", F.xxhash64("text").alias("own"), "text")
+    every = owned.mapInArrow(_suspects(sent, bits, least_chars), "doc_id long, own long, key string")
+    suspects = every.where("doc_id is not null").select("doc_id", "key")
+    again = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("id")), "again")
+    counted = [F.count("*").alias("n"), F.max("doc_id").alias("keeper")]
+    if again.isEmpty():
+        found = suspects.groupBy("key").agg(*counted)
+    else:
+        marked = suspects.join(again, F.col("doc_id") == F.col("id"), "left")
+        each = marked.where("id is null").groupBy("key").agg(*counted)
+        once = marked.where("id is not null").select("key", "doc_id").distinct().groupBy("key").agg(*counted)
+        found = each.union(once).groupBy("key").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+    found = stored(found.where(F.col("n") >= least_docs), "lines")
+    discard(again)
+    many = found.count() > most_sent
+    top = found.orderBy(F.desc("n"), "key").limit(most_sent) if many else found
+    # a digest and a number for each key: at most most_sent times 24 bytes
+    small = spark.sparkContext.broadcast({_digest(r["key"]): r["keeper"] for r in top.select("key", "keeper").toLocalIterator()})
+    if many:
+        rest = found.join(top.select("key"), "key", "left_anti").select("key", "keeper")
+        held = every.join(rest, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        lost = held.groupBy(F.col("doc_id").alias("at"), "own").agg(F.collect_set("key").alias("lost"))
+        hashed = docs.withColumn("hash", F.xxhash64("text"))
+        docs = hashed.join(lost, hashed["doc_id"].eqNullSafe(lost["at"]) & (F.col("hash") == F.col("own")), "left").select("doc_id", "text", *names, "lost")
+    else:
+        discard(found)
+
+    def clean(batches: Iterator) -> Iterator:
+        keeper = small.value
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            sets = [set(x or ()) for x in batch.column(batch.num_columns - 1).to_pylist()] if many else None
 
-        return docs.mapInArrow(by_table, schema).toDF("doc_id", "n_lines", "n_dropped", "kept", *carry)
-    lost = suspects.join(found, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("at")).agg(F.collect_set("key").alias("lost"))
-    with_lost = docs.join(lost, docs["doc_id"].eqNullSafe(lost["at"]), "left").select("doc_id", "text", *names, "lost")
+            def loses(_, i, k, ids=ids, sets=sets):
+                d = keeper.get(_digest(k))
+                return d is not None and d != ids[i] or bool(sets) and k in sets[i]
 
-    def by_join(batches: Iterator) -> Iterator:
-        for batch in batches:
-            sets = [set(x or ()) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield from _cleaned(iter([batch]), least_chars, lambda _, i, k, sets=sets: k in sets[i], len(carry))
+            yield from _cleaned(iter([batch]), least_chars, loses, len(carry))
 
-    return with_lost.mapInArrow(by_join, schema).toDF("doc_id", "n_lines", "n_dropped", "kept", *carry)
+    return docs.mapInArrow(clean, schema).toDF("doc_id", "n_lines", "n_dropped", "kept", *carry)
