@@ -17,19 +17,22 @@ product, ties to the smaller vec_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import clean, pairs_of, search
+from .vectors import best, clean, met, spread
 
 SCHEMA = "query_id long, vec_id long, score long"
 
 
 def quantised(x: np.ndarray, scale: int) -> np.ndarray:
-    return np.floor(x * scale).astype(np.int64)
+    """floor(scale * x) as doubles, which hold each such integer exactly. A product beyond the doubles is an error."""
+    with np.errstate(over="ignore"):
+        out = np.floor(x * float(scale))
+    if not np.isfinite(out).all():
+        raise OverflowError("a quantised component is beyond the range of a double")
+    return out
 
 
 def signed_digits(v: int) -> list[tuple[int, int]]:
@@ -159,28 +162,42 @@ class Index:
         return more | same
 
 
-def _work(k: int, scale: int, coarse: int):
-    def work(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def _exact(values: np.ndarray, query: np.ndarray) -> list[int]:
+    """Products by integers of any size; one that no long holds is an error."""
+    q = [int(x) for x in query.tolist()]
+    out = [sum(a * int(b) for a, b in zip(q, row)) for row in values.tolist()]
+    if any(not -(1 << 63) <= v < 1 << 63 for v in out):
+        raise OverflowError("a score is beyond the range of a long")
+    return out
+
 
-        last, index = None, None
-        for batch in batches:
-            for ids, vectors, q_ids, q_vectors in pairs_of(batch):
-                mark = (len(ids), ids[0], ids[-1], vectors[0].tobytes())
-                if mark != last:
-                    last, index = mark, Index(quantised(vectors, scale), coarse)
-                out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-                for q_id, q in zip(q_ids.tolist(), quantised(q_vectors, scale)):
-                    at = index.candidates(q, k + int((ids == q_id).sum()))
-                    at = at[ids[at] != q_id]
-                    score = index.values[at] @ q
-                    best = np.lexsort((ids[at], -score))[:k]
-                    out["query_id"] += [q_id] * len(best)
-                    out["vec_id"] += ids[at[best]].tolist()
-                    out["score"] += score[best].tolist()
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in out]))
-
-    return work
+class Block:
+    """A block's ids, the bit-sliced index of its rows, and apart from it those with components beyond +-limit."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, scale: int, coarse: int):
+        values = quantised(vectors, scale)
+        self.limit = 1 << (62 - values.shape[1].bit_length()) // 2  # so that sums of products stay within 62 bits
+        wide = (np.abs(values) > self.limit).any(1)
+        self.ids, self.wide_ids, self.wide = ids[~wide], ids[wide], values[wide]
+        self.index = Index(values[~wide].astype(np.int64), coarse) if len(self.ids) else None
+
+    def find(self, q_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(score, vec_id) of the k highest, best first, without the query's own id."""
+        found: list[tuple[int, int]] = []
+        if self.index and (np.abs(query) > self.limit).any():
+            keep = self.ids != q_id
+            found += zip(_exact(self.index.values[keep], query), self.ids[keep].tolist())
+        elif self.index:
+            q = query.astype(np.int64)
+            at = self.index.candidates(q, k + int((self.ids == q_id).sum()))
+            at = at[self.ids[at] != q_id]
+            score = self.index.values[at] @ q
+            top = np.lexsort((self.ids[at], -score))[:k]
+            found += zip(score[top].tolist(), self.ids[at[top]].tolist())
+        if len(self.wide):
+            keep = self.wide_ids != q_id
+            found += zip(_exact(self.wide[keep], query), self.wide_ids[keep].tolist())
+        return sorted(found, key=lambda f: (-f[0], f[1]))[:k]
 
 
 def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 1024, coarse: int = 4, block: int = 8192) -> DataFrame:
@@ -190,8 +207,27 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
     Rows with a null vec_id, a null or empty vector or one with null or non-finite components take no part; vectors
     are held against those of their own length. Equal scores rank by vec_id. A vec_id that repeats as a
     candidate ranks once for each row; repeated query rows are one query for each distinct vector,
-    ranked together. No rows give none; other columns play no part.
+    ranked together. Components of any finite size are exact: large ones are multiplied as integers of any
+    size, and a score that a long can't hold is an error. No rows give none; other columns play no part.
     """
     rows = clean(vectors)
+    blocks, place, count = spread(rows, block)
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "embedding"])
-    return search(rows, queries, k, _work(k, scale, coarse), SCHEMA, [F.col("score").desc(), F.col("vec_id")], block=block, query_block=1024, name="bits")
+    # every row is a candidate, so every query goes to every block of its length
+    asked = queries.join(place, F.size("embedding") == F.col("dim")).select(F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias("block"), F.lit(0).alias("mark"), F.col("vec_id").alias("id"), "embedding")
+
+    def index(ids, _, x):
+        return Block(ids, x, scale, coarse)
+
+    def ask(made, ids, _, x):
+        import pyarrow as pa
+
+        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        for q_id, q in zip(ids.tolist(), quantised(x, scale)):
+            got = made.find(q_id, q, k)
+            out["query_id"] += [q_id] * len(got)
+            out["vec_id"] += [v for _, v in got]
+            out["score"] += [s for s, _ in got]
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in out]))
+
+    return best(met(blocks, asked, count, index, ask, SCHEMA), k, [F.col("score").desc(), F.col("vec_id")])

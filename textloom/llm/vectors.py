@@ -1,22 +1,23 @@
-"""Vectors in blocks: a table of block rows against a stated query set, block by block.
+"""Vectors in numbered blocks, met by queries.
 
-Tasks pack their rows into blocks; the query set, packed likewise, is dealt to each block
-by an equi-join on the block's number. Every task so holds one block and one block of queries,
-however many rows there are, and each gives at most k rows for a query. The
-merge keeps a query's k best in map-side order.
+Rows and queries carry the number of a block. Each block is one partition's, sorted so that its rows come first and
+its queries stream past them: a block's rows are sent once, however many queries it gets, a task holds one
+block at a time, and each query leaves at most k rows there. The merge keeps a query's k best.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import pick
 
-PACKED = "block long, n int, dim int, ids binary, vectors binary"
+#: Partitions at most; beyond it, several blocks share one, one after the other.
+MOST_PARTITIONS = 20_000
+MET = "block int, asks boolean, mark int, id long, embedding array<double>"
 
 
 def clean(vectors: DataFrame) -> DataFrame:
@@ -27,72 +28,67 @@ def clean(vectors: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite)
 
 
-def _pack(size: int):
-    def work(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        from pyspark import TaskContext
+def matrices(batch, at: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Runs of rows of an Arrow batch whose vectors, in column `at`, have one length: first, end, vectors."""
+    col = batch.column(at)
+    flat, sizes = col.flatten().to_numpy(zero_copy_only=False), col.value_lengths().to_numpy(zero_copy_only=False)
+    if not len(sizes):
+        return
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]
+    for a, b in zip(edges, edges[1:]):
+        yield a, b, flat[offsets[a] : offsets[b]].reshape(b - a, -1)
+
 
-        number, held, count = TaskContext.get().partitionId() << 32, {}, 0
-        schema = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
+def met(rows: DataFrame, queries: DataFrame, count: int, index: Callable, ask: Callable, schema: str) -> DataFrame:
+    """rows and queries: (block int from 0 below count, mark int, id long, embedding), one vector length in a block.
 
-        def out(dim):
-            nonlocal number, count
-            ids, rows = held.pop(dim)
-            x = np.stack(rows)
-            number += 1
-            count -= len(ids)
-            return pa.RecordBatch.from_pydict({"block": [number - 1], "n": [len(ids)], "dim": [dim], "ids": [np.array(ids, "<i8").tobytes()], "vectors": [x.tobytes()]}, schema=schema)
+    index(ids, marks, vectors) makes what is kept of a block's rows; ask(index, ids, marks, vectors) yields Arrow
+    batches for some of its queries.
+    """
 
+    def work(batches: Iterator) -> Iterator:
+        at, held, made = None, [], None
         for batch in batches:
-            col = batch.column(1)
-            flat, at = col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))])
-            for i, v in enumerate(batch.column(0).to_pylist()):
-                x = flat[at[i] : at[i + 1]]
-                ids, rows = held.setdefault(len(x), ([], []))
-                ids.append(v)
-                rows.append(np.asarray(x, "<f8").copy())
-                if len(ids) == size:
-                    yield out(len(x))
-        for dim in list(held):
-            yield out(dim)
-
-    return work
-
-
-def numbered(rows: DataFrame, size: int, name: str, parts: int | None = None) -> tuple[DataFrame, int]:
-    """Stored blocks of at most `size` rows of one length each, numbered from 0, and how many.
-    The numbering gathers only the blocks' own numbers, one for `size` rows or a task."""
-    packed = stored((rows.repartition(parts) if parts else rows).mapInArrow(_pack(size), PACKED), name)
-    # consecutive numbers within a task: block = (task << 32) + k
-    tasks = packed.groupBy(F.shiftright("block", 32).alias("task")).agg(F.count("*").alias("n")).orderBy("task")
-    first, total = [], 0
-    for r in tasks.toLocalIterator():
-        first.append((r["task"], total))
-        total += r["n"]
-    if not total:
-        return packed.withColumn("no", F.lit(0)), 0
-    base = packed.sparkSession.createDataFrame(first, "task long, base long")
-    return packed.join(base, F.shiftright("block", 32) == F.col("task")).withColumn("no", (F.col("base") + F.col("block").bitwiseAND(0xFFFFFFFF)).cast("int")), total
-
-
-def search(rows: DataFrame, queries: DataFrame, k: int, work, schema: str, order: list, *, block: int = 8192, query_block: int = 256, name: str = "vectors") -> DataFrame:
-    """rows and queries as clean() gives them; work maps Arrow batches of (n, dim, ids, vectors, q_n,
-    q_ids, q_vectors) to rows with query_id; the first k of each query in `order`, ranked from 1."""
-    blocks, count = numbered(rows, block, f"{name}-blocks", max(1, rows.sparkSession.sparkContext.defaultParallelism))
-    asked, _ = numbered(queries, query_block, f"{name}-queries", max(1, rows.sparkSession.sparkContext.defaultParallelism // 2))
-    dealt = asked.select(F.col("n").alias("q_n"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(max(0, count - 1)))).alias("q_no"))
-    pairs = blocks.join(dealt, (blocks["no"] == dealt["q_no"]) & (blocks["dim"] == dealt["q_dim"])).select("n", "dim", "ids", "vectors", "q_n", "q_ids", "q_vectors")
-    found = pairs.mapInArrow(work, schema)
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), *[c for c in found.columns if c != "query_id"])
-
-
-def pairs_of(batch) -> Iterator[tuple]:
-    """(ids, vectors, query ids, query vectors) of each row of a batch of search()."""
-    for r in batch.to_pylist():
-        yield (
-            np.frombuffer(r["ids"], "<i8"),
-            np.frombuffer(r["vectors"], "<f8").reshape(r["n"], r["dim"]),
-            np.frombuffer(r["q_ids"], "<i8"),
-            np.frombuffer(r["q_vectors"], "<f8").reshape(r["q_n"], r["dim"]),
-        )
+            block, asks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            mark, ids = (batch.column(k).to_numpy() for k in (2, 3))
+            edges = set((np.flatnonzero((np.diff(block) != 0) | (asks[1:] != asks[:-1])) + 1).tolist())
+            for first, end, x in matrices(batch, 4):
+                cuts = [first, *sorted(e for e in edges if first < e < end), end]
+                for a, b in zip(cuts, cuts[1:]):
+                    own = (ids[a:b], mark[a:b], x[a - first : b - first])
+                    if block[a] != at:
+                        at, held, made = block[a], [], None
+                    if not asks[a]:
+                        held.append(tuple(v.copy() for v in own))
+                        continue
+                    if made is None and held:
+                        made = index(*(np.concatenate(v) for v in zip(*held)))
+                        held = []
+                    if made is not None:
+                        yield from ask(made, *own)
+
+    sides = [df.select("block", F.lit(asks).alias("asks"), F.col("mark").cast("int").alias("mark"), "id", "embedding") for df, asks in ((rows, False), (queries, True))]
+    dealt = sides[0].union(sides[1]).repartitionById(max(1, min(count, MOST_PARTITIONS)), F.col("block")).sortWithinPartitions("block", "asks")
+    return dealt.mapInArrow(work, schema)
+
+
+def best(found: DataFrame, k: int, order: list[Column]) -> DataFrame:
+    """The first k of each query_id in `order`, ranked from 1."""
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), *[c for c in found.columns if c != "query_id"])
+
+
+def spread(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows with a block number, dealt evenly by a running count within each task so that repeated rows don't gather;
+    (dim, first, blocks) of each vector length; and how many blocks there are. `size`: rows in a block, about."""
+    dims = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim")
+    table, total = [], 0
+    for r in dims.toLocalIterator():  # a row for each vector length
+        table.append((r["dim"], total, -(-r["n"] // size)))
+        total += table[-1][2]
+    place = rows.sparkSession.createDataFrame(table, "dim int, first int, blocks int")
+    turn = F.monotonically_increasing_id()  # partition << 33 | row
+    numbered = rows.withColumn("turn", turn.bitwiseAND((1 << 33) - 1) + F.xxhash64(F.shiftright(turn, 33)).bitwiseAND(0xFFFFF)).withColumn("dim", F.size("embedding"))
+    blocked = numbered.join(place, "dim").withColumn("block", (F.col("first") + F.pmod("turn", F.col("blocks"))).cast("int"))
+    return blocked.select("block", F.lit(0).alias("mark"), F.col("vec_id").alias("id"), "embedding"), place, total
