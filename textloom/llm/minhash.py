@@ -16,34 +16,45 @@ whose sets have 100 * intersection >= percent * union are linked; a component is
    the likeliest candidate is confirmed. Large groups whose members lie about the threshold grow together
    here, at a row for each member, until a round links nothing, `most_rounds` are over,
    or all pairs left are at most twice the members that shared a bucket.
-5. Rest round: what buckets still hold of several components meets in all pairs across
-   them, joined by bucket with the sketch test inside the join. What is already linked makes
-   no pairs, and no pair is left untried that shares a bucket.
+5. Rest round, over the buckets that still hold several components. A shingle that only one of their documents
+   has can be in no intersection, so a document's other shingles bound its similarity to all it shares
+   a bucket with; those that the bound keeps under the threshold go, again and again, as the fewer left have fewer
+   shingles in common. Those that stay get a sketch of eight times the samples, and in each bucket the members of all
+   but its commonest component meet the others, in parts of bounded size, with both sketch tests inside the join
+   and each pair in the first bucket that it shares. What is already linked makes no pairs, and no pair is
+   left untried that shares a bucket and may be similar enough.
 6. Components by least label over the confirmed links, with pointer jumping; each step
    is written to the shared folder.
 
+Pairs are confirmed where the second one's set lies; an id in very many pairs, such as the leader of a large group, has its set
+sent in as many copies as its pairs fill parts of PART.
+
 With five samples in a band and 44 bands, a pair of similarity 0.75 shares no bucket once in
-150,000. The sketch test lets a pair through unless its sketches differ in more bits than all but MISS
+150,000. A sketch test lets a pair through unless its sketches differ in more bits than all but MISS
 of the pairs just at the threshold do (by the exact tail, at most one pair in 3,400,000 is missed).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import discard, pick, stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space to str.split, but not between words here (fixed values).
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Longs of an odd sketch.
-LONGS = 16
+#: Longs of an odd sketch, and how many times its samples and longs the rest round's has.
+LONGS, FINE = 16, 8
+#: Pairs of one id, or members of a bucket, that a task takes at a time.
+PART = 2000
 #: The most of the pairs just at the threshold that the sketch test may miss: what lies beyond 5 deviations.
 MISS = 2.867e-7
 
@@ -83,9 +94,9 @@ def shingles(text: str | None, words: int, known: Hashes) -> np.ndarray:
 
 
 class Signer:
-    def __init__(self, bands: int, rows: int, seed: int = 7):
+    def __init__(self, bands: int, rows: int, longs: int = LONGS, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.bands, self.rows = bands, rows
+        self.bands, self.rows, self.bits = bands, rows, 64 * longs
         self.mul = (rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
         self.add = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
         self.place = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
@@ -107,8 +118,8 @@ class Signer:
         return x.view(np.int64)
 
     def sketch(self, samples: np.ndarray) -> np.ndarray:
-        at = _mixed(samples.astype(np.uint64) ^ self.place) % np.uint64(64 * LONGS)
-        odd = np.bincount(at.astype(np.int64), minlength=64 * LONGS).astype(np.uint8) & 1
+        at = _mixed(samples.astype(np.uint64) ^ self.place) % np.uint64(self.bits)
+        odd = np.bincount(at.astype(np.int64), minlength=self.bits).astype(np.uint8) & 1
         return np.packbits(odd, bitorder="little").view(np.int64)
 
 
@@ -147,6 +158,22 @@ def _sets(words: int):
     return work
 
 
+def _fine(bands: int, rows: int):
+    """(id, shingles) -> (id, fine): the sketch of more samples."""
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        signer = Signer(bands * FINE, rows, LONGS * FINE, seed=8)
+        for batch in batches:
+            col = batch.column(1)
+            flat, ends = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))
+            found = [signer.sketch(signer.samples(flat[b - n : b])) for b, n in zip(ends.tolist(), np.diff(ends, prepend=0).tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "fine"])
+
+    return work
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for links (a, b): the least node that links reach."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
@@ -156,36 +183,44 @@ def components(links: DataFrame) -> DataFrame:
         step = label.join(near, label["node"] == near["a"]).select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         up = step.select(F.col("node").alias("up"), F.col("component").alias("over"))
         new = stored(step.join(up, step["component"] == up["up"]).select("node", F.least("component", "over").alias("component"), "was"), "labels")
+        discard(label)
         if new.where("component <> was").isEmpty():
-            return new.select("node", "component")
+            discard(both)
+            out = new.select("node", "component")
+            out._stored_at = new._stored_at
+            return out
         label = new.select("node", "component")
+        label._stored_at = new._stored_at
 
 
-def _apart():
-    """Column: the bits in which sketches sa, sb differ."""
-    return sum((F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))) for k in range(LONGS)), F.lit(0))
+def _apart(longs: int = LONGS, a: str = "sa", b: str = "sb"):
+    """Column: the bits in which two sketches differ."""
+    return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(longs)), F.lit(0))
 
 
-def _tail(percent: int, samples: int) -> np.ndarray:
+def _tail(percent: int, samples: int, bits: int = 64 * LONGS) -> np.ndarray:
     """At i: the chance that sketches of two sets just at the threshold differ in more than i bits.
 
     Samples that differ are binomial; each flips a bit on either side, and flips in one place undo each other.
     """
-    bits, differ = 64 * LONGS, 1 - percent / 100
+    differ = 1 - percent / 100
     count = np.arange(bits + 1)
     odd = np.zeros(bits + 1)  # the chance of so many bits that differ
     odd[0] = 1.0
-    out, chance = np.zeros(bits + 1), (1 - differ) ** samples
+    out = np.zeros(bits + 1)
+    chance = samples * math.log1p(-differ)
     for k in range(samples + 1):
-        out += chance * odd
-        chance *= (samples - k) / (k + 1) * differ / (1 - differ)
+        out += math.exp(chance) * odd
+        if k < samples:
+            chance += math.log((samples - k) / (k + 1) * differ / (1 - differ))
         for _ in range(2):
             odd = np.r_[0.0, (odd * (1 - count / bits))[:-1]] + np.r_[(odd * count / bits)[1:], 0.0]
     return np.r_[np.cumsum(out[::-1])[::-1][1:], 0.0]
 
 
-def _bound(percent: int, samples: int) -> int:
-    return int(np.argmax(_tail(percent, samples) <= MISS))
+@lru_cache(8)
+def _bound(percent: int, samples: int, bits: int = 64 * LONGS) -> int:
+    return int(np.argmax(_tail(percent, samples, bits) <= MISS))
 
 
 def _likely(percent: int, samples: int):
@@ -193,7 +228,24 @@ def _likely(percent: int, samples: int):
     return _apart() <= F.lit(_bound(percent, samples))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands: int = 44, rows: int = 5, most_rounds: int = 3, most_sent: int = 2_000_000) -> DataFrame:
+def _sizes_fit(percent: int):
+    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+
+
+def with_sets(pairs: DataFrame, key: str, sets: DataFrame, name: str, part: int) -> DataFrame:
+    """pairs with the column `name`: the shingles of the id in `key`. The pairs of an id in more than `part` of them
+    are dealt to several tasks, and its set with them."""
+    hot = stored(pairs.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n")).where(F.col("n") > part).select("id", F.ceil(F.col("n") / part).cast("int").alias("parts")), "hot")
+    own = sets.select("id", F.col("shingles").alias(name))
+    if hot.isEmpty():
+        return pairs.join(own, pairs[key] == own["id"]).drop("id")
+    # at most a row for each `part` pairs
+    left = pairs.join(hot, pairs[key] == hot["id"], "left").drop("id").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    right = own.join(hot, "id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left.join(right, (F.col(key) == F.col("id")) & (left["salt"] == right["salt"])).drop("id", "salt")
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands: int = 44, rows: int = 5, most_rounds: int = 3, most_sent: int = 2_000_000, part: int = PART) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row.
 
     Texts that are null, empty or without words have no set and no links. Rows that repeat a
@@ -210,39 +262,53 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
     copies = full.select("doc_id", "fp_a", "fp_b").join(alone.select("id", "fp_a", "fp_b"), ["fp_a", "fp_b"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
 
     buckets = stored(alone.select("id", F.explode("keys").alias("bucket")), "buckets")
-    leaders = buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("bucket", "leader")
-    shared = stored(buckets.join(stored(leaders, "leaders"), "bucket"), "shared")
+    leaders = stored(buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("bucket", "leader"), "leaders")
+    shared = stored(buckets.join(leaders, "bucket"), "shared")
+    discard(buckets, leaders)
+    # a doc_id that repeats with other texts heads several classes, each with its own set
     sketches = alone.select("id", "sketch", "n_shingles")
+    used = [alone, shared]
 
     def with_sketches(pairs: DataFrame, *more: str, distance: bool = False) -> DataFrame:
         left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
         right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
-        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        return pairs.join(left, "a").join(right, "b").where(fits & _likely(percent, bands * rows)).select("a", "b", *more, *([_apart().alias("distance")] if distance else []))
+        fits = _sizes_fit(percent) & _likely(percent, bands * rows)
+        return pairs.join(left, "a").join(right, "b").where(fits).select("a", "b", *more, *([_apart().alias("distance")] if distance else []))
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        """(id, shingles) of the documents with these ids."""
+        needed = stored(ids.distinct(), f"needed-{name}")
+        few = needed.count() <= most_sent  # ids only, so the texts needn't move
+        texts = docs.join(F.broadcast(needed) if few else needed, docs["doc_id"] == needed["id"], "left_semi")
+        sets = stored(texts.mapInArrow(_sets(words), "id long, shingles array<long>"), f"sets-{name}")
+        discard(needed)
+        return sets
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+    def confirmed(pairs: DataFrame, name: str, sets: DataFrame | None = None) -> DataFrame:
         """The pairs whose full sets are similar enough."""
         pairs = stored(pairs, f"pairs-{name}")
-        needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"needed-{name}")
-        if needed.count() <= most_sent:  # ids only, so the texts needn't move
-            needed = F.broadcast(needed)
-        texts = docs.join(needed, docs["doc_id"] == needed["id"], "left_semi")
-        sets = stored(texts.mapInArrow(_sets(words), "id long, shingles array<long>"), f"sets-{name}")
-        one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa"))
-        two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))
+        own = sets or sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), name)
+        both = with_sets(with_sets(pairs, "b", own, "xb", part), "a", own, "xa", part)
         common = F.size(F.array_intersect("xa", "xb"))
         near = common * 100 >= (F.size("xa") + F.size("xb") - common) * percent
-        return stored(pairs.join(one, "a").join(two, "b").where(near).select("a", "b").distinct(), f"linked-{name}")
+        out = stored(both.where(near).select("a", "b").distinct(), f"linked-{name}")
+        discard(pairs, *([] if sets else [own]))
+        used.append(out)
+        return out
 
-    star = shared.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    star = stored(shared.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "star")
     links = confirmed(with_sketches(star), "star")
-    tried, shared, n, members = star, shared.select("bucket", "id"), 0, shared.count()
+    tried, n, members = star, 0, shared.count()
+    shared = shared.select("bucket", "id")
+    used.append(star)
     while True:
         # what buckets still hold of several components; the rest is settled
         grouped = components(links)
         placed = stored(shared.join(grouped, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        rest = stored(placed.join(stored(mixed, "mixed"), "bucket", "left_semi"), "rest")
+        mixed = stored(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"), "mixed")
+        rest = stored(placed.join(mixed, "bucket", "left_semi"), "rest")
+        discard(grouped, placed, mixed)
+        used.append(rest)
         # where all pairs that are left are about as few as the members were, they are tried as they are
         sizes = rest.groupBy("bucket").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
         if n == most_rounds or sizes <= 2 * members:
@@ -255,17 +321,72 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
         likely = with_sketches(apart, "ca", "cb", distance=True).join(tried, ["a", "b"], "left_anti")
         best = stored(likely.groupBy("ca", "cb").agg(F.min(F.struct("distance", "a", "b")).alias("p")).select("p.a", "p.b"), "likeliest")
         new = confirmed(best, "drawn")
+        discard(drawn)
+        used.append(best)
         tried = tried.union(best)
         if new.isEmpty():
             break
         links, shared = links.union(new), rest.select("bucket", "id")
 
-    rest = stored(rest.join(sketches, "id"), "left")
-    sides = [rest.select("bucket", F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "ab"]
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    across = sides[0].join(sides[1], (sides[0]["bucket"] == sides[1]["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits & _likely(percent, bands * rows)).select("a", "b").distinct()
-    second = confirmed(across.join(tried, ["a", "b"], "left_anti"), "rest")
-
-    final = components(links.union(second).union(copies))
+    if sizes:
+        sets = None
+        if sizes > 2 * members:  # many pairs: those that can't be similar enough go first
+            sets = sets_of(rest.select("id"), "rest")
+            used.append(sets)
+            rest = _possible(rest, sets, percent, used)
+        across = stored(_across(rest, alone, sets, percent, bands, rows, part), "across")
+        used.append(across)
+        links = links.union(confirmed(across.join(tried, ["a", "b"], "left_anti"), "rest", sets))
+
+    final = components(links.union(copies))
+    discard(*used)
     out = signed.join(final, signed["doc_id"] == final["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _possible(rest: DataFrame, sets: DataFrame, percent: int, used: list[DataFrame]) -> DataFrame:
+    """The rows (bucket, id, component) whose shingles that others of the rows have too don't rule out a link."""
+    before = None
+    while True:
+        ids = rest.select("id").distinct()
+        n = ids.count()
+        if not n or (before is not None and n > 0.9 * before):
+            return rest
+        before = n
+        own = sets.join(ids, "id", "left_semi")
+        # an id in several rows has its largest count; a shingle that only rows of one id have is its own
+        held = own.select("id", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+        lone = held.groupBy("id").agg(F.count("*").alias("lone"))
+        size = own.groupBy("id").agg(F.max(F.size("shingles")).alias("n"), F.min(F.size("shingles")).alias("m"), F.count("*").alias("k"))
+        bound = size.join(lone, "id", "left").select("id", "n", "m", F.when(F.col("k") == 1, F.col("n") - F.coalesce("lone", F.lit(0))).otherwise(F.col("n")).alias("s"))
+        sized = rest.join(bound, "id")
+        least = sized.groupBy("bucket").agg(F.min("m").alias("low"))
+        best = sized.join(least, "bucket").groupBy("id").agg(F.min("low").alias("low"), F.first("n").alias("n"), F.first("s").alias("s"))
+        stay = best.where(F.col("s") * 100 >= (F.col("n") + F.greatest("low", "s") - F.col("s")) * percent).select("id")
+        kept = rest.join(stay, "id", "left_semi").select("bucket", "id", "component")
+        mixed = kept.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        rest = stored(kept.join(mixed, "bucket", "left_semi"), "possible")
+        used.append(rest)
+
+
+def _across(rest: DataFrame, heads: DataFrame, sets: DataFrame | None, percent: int, bands: int, rows: int, part: int) -> DataFrame:
+    """(a, b): pairs that share a bucket, across components, that the sketches let through."""
+    known = heads.select("id", "sketch", "n_shingles", "keys")
+    if sets is not None:
+        fine = sets.join(rest.select("id").distinct(), "id", "left_semi").mapInArrow(_fine(bands, rows), "id long, fine array<long>")
+        known = known.join(fine, "id")
+    else:
+        known = known.withColumn("fine", F.lit(None).cast("array<long>"))
+    # each bucket's commonest component; the others' members meet its and each other's
+    count = rest.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    most = count.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.ceil(F.sum("c") / part).cast("int").alias("parts"))
+    full = rest.join(most, "bucket").join(known, "id").withColumn("minor", F.col("component") != F.col("major"))
+    sides = [full.select("bucket", "parts", *[F.col(c).alias(f"{n}{x}") for c, n in (("id", "i"), ("component", "c"), ("sketch", "s"), ("n_shingles", "n"), ("keys", "k"), ("fine", "f"), ("minor", "m"))]) for x in "ab"]
+    few = sides[0].where("ma").withColumn("salt", F.pmod(F.xxhash64("ia"), F.col("parts")).cast("int")).drop("parts")
+    every = sides[1].withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    meet = (few["bucket"] == every["bucket"]) & (few["salt"] == every["salt"]) & (F.col("ca") != F.col("cb")) & (~F.col("mb") | (F.col("ia") < F.col("ib"))) & (F.col("ia") != F.col("ib"))
+    first = F.element_at(F.filter(F.zip_with("ka", "kb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
+    fits = _sizes_fit(percent) & _likely(percent, bands * rows)
+    if sets is not None:
+        fits &= _apart(LONGS * FINE, "fa", "fb") <= F.lit(_bound(percent, bands * rows * FINE, 64 * LONGS * FINE))
+    return few.join(every, meet & fits & (first == few["bucket"])).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
