@@ -560,6 +560,28 @@ def test_languages_learn_from_runs_of_four_letters(spark):
     assert {"abcd", "efgh"} <= set(languages.fit(docs).weights)
 
 
+def test_a_language_with_little_text_is_learnt(spark):
+    rng = random.Random(8)
+    say = lambda c, n: " ".join("".join(rng.choice(c) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    rows = [(i, say("abcdefghijklmnop", 300), "much") for i in range(60)] + [(1001, "zuvyx", "little"), (1000, "wyqz", "little")]
+    model = languages.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_grams=3000, least_grams=20)
+    assert model.langs == ["little", "much"] and len(model.weights) > 1000
+    got = languages.label(spark.createDataFrame([(1, "zuvyx wyqz zuvyx"), (2, say("abcdefghijklmnop", 9))], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == ["little", "much"]
+    with pytest.raises(ValueError, match="more than 1 values"):
+        languages.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=1)
+
+
+def test_letters_and_scripts(spark):
+    """Numerals that aren't digits are no letters; marks don't cut words; a script that training lacks leaves all languages."""
+    model = languages.fit(spark.createDataFrame([(i, "kota meto", "aa") for i in range(20)] + [(i, "дмпл влрп", "bb") for i in range(30, 50)], "doc_id long, text string, lang string"))
+    rows = [(1, "½ ² ② Ⅷ ㉈ 12 _"), (2, "\u0301 \u20dd"), (3, "हिन्दी भाषा"), (4, "kдмплв"), (5, "e\u0301te"), (6, "kota ½")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in languages.label(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1] == got[2] == ("und", 0.0)
+    assert got[3][0] in ("aa", "bb") and got[4] == ("bb", 1.0) and got[6] == ("aa", 1.0)
+    assert languages.words("हिन्दी ภาษาไทย e\u0301te ab1cd_e") == ["हिन्दी", "ภาษาไทย", "e\u0301te", "ab", "cd", "e"]
+
+
 def test_viterbi_matches_brute_force():
     weights = {"a": np.array([0.0, -1.0], np.float32), "b": np.array([-1.0, 0.0], np.float32)}
     lab = languages.Labeller(languages.Model(["x", "y"], weights, np.array([-0.5, -0.5]), {}, 1), 1.2)

@@ -1,7 +1,8 @@
 """Languages of words, spans and documents.
 
 Learning counts the letter n-grams of each language's words on a bounded sample, and the scripts its
-letters come from. A word's script leaves the languages that use it; of these, the word's
+letters come from. A word is a run of letters with the marks that combine with them. The script of most of its
+letters leaves the languages that use it; of these, the word's
 score is the log-likelihood of its n-grams. Viterbi's best path over a document's words,
 each change of language costing `switch`, labels spans of mixed-language text; the
 documents of a batch go through the recursion side by side. A document's
@@ -13,18 +14,41 @@ from __future__ import annotations
 import bisect
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick
 from .tokens import runs
 
-WORD = re.compile(r"[^\W\d_]+")
+
+def _ranges(kinds: str) -> str:
+    """The code points whose Unicode category starts with one of the letters, as the inside of a character class."""
+    found, start = [], None
+    for n in range(sys.maxunicode + 2):
+        inside = n <= sys.maxunicode and unicodedata.category(chr(n))[0] in kinds
+        if inside and start is None:
+            start = n
+        elif not inside and start is not None:
+            found.append(f"\\U{start:08x}-\\U{n - 1:08x}")
+            start = None
+    return "".join(found)
+
+
+_LETTERS, _MARKS = _ranges("L"), _ranges("M")
+WORD = re.compile(f"[{_LETTERS}][{_LETTERS}{_MARKS}]*")
+_PLAIN = re.compile("[A-Za-z]+")
+
+
+def words(text: str) -> list[str]:
+    return (_PLAIN if text.isascii() else WORD).findall(text)
+
 #: First code points of script ranges in order, with the script (fixed values, Unicode blocks).
 SCRIPTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"),
@@ -40,6 +64,13 @@ def script(letter: str) -> str:
     return SCRIPTS[bisect.bisect_right(_STARTS, ord(letter)) - 1][1]
 
 
+def main_script(word: str) -> str:
+    """The script of most of its characters, the first on ties."""
+    if word.isascii() or max(word) < "\u0370":
+        return "Latin"
+    return Counter(map(script, word)).most_common(1)[0][0]
+
+
 def grams(word: str, most: int) -> list[str]:
     """The n-grams of 1 to `most` letters of the word between marks of its ends."""
     w = f"^{word}$"
@@ -91,7 +122,7 @@ class Labeller:
             ids += [known(g, unknown) for g in grams(w.lower(), most)]
         s = np.add.reduceat(self.rows[ids], starts, axis=0) / most
         every = np.ones(s.shape[1], bool)  # where no language is known to use the script, all remain
-        narrow = np.array([self.users.get(script(w[0]), every) for w in words])
+        narrow = np.array([self.users.get(main_script(w), every) for w in words])
         return np.where(narrow, s, s.max(1, keepdims=True) - 50.0)
 
     def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
@@ -128,15 +159,18 @@ class Labeller:
         return [label[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist())]
 
 
-def fit(docs: DataFrame, *, per_language: int = 300, most: int = 4, most_grams: int = 300_000) -> Model:
+def fit(docs: DataFrame, *, per_language: int = 300, most: int = 4, most_grams: int = 300_000, least_grams: int = 2_000, most_langs: int = 5_000) -> Model:
     """Learns from text and lang of the rows with neither null whose crc32(doc_id as text) mod
     4 isn't 2; of each language about `per_language` whole texts (those whose
-    hash lies under that share), of their n-grams the `most_grams` most frequent that occur at least 3 times."""
+    hash lies under that share). Each language keeps its most frequent n-grams: its part of `most_grams`, at least `least_grams`, and
+    so every language of which a sampled text has letters can be predicted. More than `most_langs` values of lang are an error."""
     rows = pick(docs, doc_id="doc_id", text="text", lang="lang").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang")
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out("doc_id"), F.lit(False)))
-    # a row for each language is sent
-    share = rows.groupBy("lang").agg(F.count("*").alias("n")).withColumn("least", F.lit(float(per_language)) / F.col("n"))
-    picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) < F.col("least") * (1 << 20)).select("lang", "text")
+    share = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_langs + 1).toPandas()
+    if len(share) > most_langs:
+        raise ValueError(f"more than {most_langs} values of lang")
+    sizes = docs.sparkSession.createDataFrame([(x, per_language / n) for x, n in zip(share["lang"], share["n"])], "lang string, least double")
+    picked = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) < F.col("least") * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -144,8 +178,7 @@ def fit(docs: DataFrame, *, per_language: int = 300, most: int = 4, most_grams:
         seen: Counter = Counter()
         for batch in batches:
             for lang, text in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
-                words = Counter(WORD.findall(text.lower()))
-                for w, n in words.items():
+                for w, n in Counter(words(text.lower())).items():
                     for g in grams(w, most):
                         seen[lang, g] += n
                     for c in w:
@@ -153,8 +186,10 @@ def fit(docs: DataFrame, *, per_language: int = 300, most: int = 4, most_grams:
         if seen:
             yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in seen], "gram": [k[1] for k in seen], "n": list(seen.values())}, schema=pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())]))
 
-    counts = picked.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n >= 3")
-    got = counts.orderBy(F.col("n").desc(), "lang", "gram").limit(most_grams).toPandas()
+    counts = picked.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    own = max(least_grams, most_grams // max(1, len(share)))
+    ranked = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("gram").startswith("script ").desc(), F.desc("n"), "gram")))
+    got = ranked.where(F.col("k") <= own).orderBy("lang", "gram").select("lang", "gram", "n").toPandas()
     langs = sorted(got["lang"].unique().tolist())
     place = {x: i for i, x in enumerate(langs)}
     table: dict[str, np.ndarray] = {}
@@ -165,8 +200,10 @@ def fit(docs: DataFrame, *, per_language: int = 300, most: int = 4, most_grams:
     total = np.sum([v for g, v in table.items() if len(g) == 1], axis=0) if table else np.zeros(len(langs))
     letters = np.sum(list(scripts.values()), axis=0) if scripts else np.zeros(len(langs))
     add = 0.5
-    weights = {g: (np.log(v + add) - np.log(total + 1)).astype(np.float32) for g, v in table.items()}
-    missing = np.full(len(langs), math.log(add) - math.log(float(total.mean()) + 1) if len(langs) else 0.0)
+    # what isn't seen counts as `add` each, so that a language with little text isn't sure of what it lacks
+    whole = np.log(total + add * len(table) / most + 1)
+    weights = {g: (np.log(v + add) - whole).astype(np.float32) for g, v in table.items()}
+    missing = np.full(len(langs), math.log(add) - float(whole.mean()) if len(langs) else 0.0)
     return Model(langs, weights, missing, {s: v >= 0.01 * letters for s, v in scripts.items()}, most)
 
 
@@ -194,8 +231,8 @@ def label(docs: DataFrame, model: Model, *, switch: float = 6.0, spans: bool = F
             texts = batch.column(1).to_pylist()
             out: dict[str, list] = {"lang_pred": [], "score": [], "spans": []}
             for i, j in runs(texts, 4_000_000):
-                words = [WORD.findall(t) if t and langs else [] for t in texts[i:j]]
-                for t, own, path in zip(texts[i:j], words, labeller.paths(words) if langs else words):
+                found = [words(t) if t and langs else [] for t in texts[i:j]]
+                for t, own, path in zip(texts[i:j], found, labeller.paths(found) if langs else found):
                     if not own:
                         out["lang_pred"].append("und")
                         out["score"].append(0.0)
@@ -220,7 +257,7 @@ def label(docs: DataFrame, model: Model, *, switch: float = 6.0, spans: bool = F
 
 
 def _runs(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
-    at = [m.span() for m in WORD.finditer(text)]
+    at = [m.span() for m in (_PLAIN if text.isascii() else WORD).finditer(text)]
     edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
     return [{"lang": langs[path[a]], "start": at[a][0], "length": at[b - 1][1] - at[a][0]} for a, b in zip(edges, edges[1:])]
 
@@ -238,8 +275,8 @@ def accepted(docs: DataFrame, model: Model, *, least: float = 0.4, switch: float
         for batch in batches:
             texts, keep = batch.column(at).to_pylist(), []
             for i, j in runs(texts, 4_000_000):
-                words = [WORD.findall(t) if t and langs else [] for t in texts[i:j]]
-                for own, path in zip(words, labeller.paths(words) if langs else words):
+                found = [words(t) if t and langs else [] for t in texts[i:j]]
+                for own, path in zip(found, labeller.paths(found) if langs else found):
                     share = np.bincount(path, np.fromiter(map(len, own), np.int64, len(own))) if own else np.zeros(1)
                     keep.append(bool(share.max() >= least * share.sum() > 0))
             yield batch.filter(pa.array(keep, pa.bool_()))
