@@ -610,17 +610,44 @@ def test_article_text(spark, none):
 
 
 def test_page_labels_hold_out():
-    pages = html_text.labelled_pages(260, seed=5)
-    model = html_text.train(pages[:200])
-    right = [a == b for found, labels in pages[200:] for a, b in zip(model.decode(found), labels)]
+    pages = html_text.labelled_pages(660, seed=5)
+    model = html_text.train(pages[:500])
+    right = [a == b for found, labels in pages[500:] for a, b in zip(model.decode(found), labels)]
     assert np.mean(right) > 0.97
 
 
+ONE, TWO = "It was a bright cold day in April, and the clocks were striking thirteen.", "Winston Smith, his chin nuzzled into his breast to escape the vile wind, slipped quickly through the glass doors, though not quickly enough to keep a swirl of gritty dust from entering along with him."
+#: Pages written by hand, apart from those that the model is trained on, with their texts.
+PAGES = {
+    "unnamed containers": (f"<div class='x'><p>{ONE}</p><p>{TWO}</p></div><div class='footer'>Contact us</div>", [ONE, TWO]),
+    "no tag that tells": (f"<div><div><a href=/>Home</a> <a href=/b>Blog</a> <a href=/c>About</a></div></div><div class='zzz'><p>{ONE}</p><p>{TWO}</p></div><div>&copy; 2020 Someone</div>", [ONE, TWO]),
+    "generated names": (f"<div id=a1><ul class=qx7><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></div><div class=qx9><div class=rt><h2>A heading of it</h2><p>{ONE}<p>{TWO}<p>{ONE}</div></div><div class=k2><a href=/x>Next post</a></div>", ["A heading of it", ONE, TWO, ONE]),
+    "no heading": (f"<html><body><nav><a href=1>Home</a></nav><main><p>{ONE}</p><p>{TWO}</p></main><footer><p>Terms and conditions apply.</p></footer>", [ONE, TWO]),
+    "a weblog": (f"<header class='site-header'><h1><a href=/>My site</a></h1><nav class='menu'><ul><li><a href=1>Home</a></li></ul></nav></header><div id='content'><article class='post'><h1 class='entry-title'>The title</h1><div class='entry-content'><p>{ONE}</p><p>{TWO}</p></div></article><div id='comments'><h3>2 comments</h3><ol><li>Great post, thanks!</li><li>I agree with all of it.</li></ol></div></div><aside id='sidebar'><h3>Recent posts</h3><ul><li><a href=1>Older one</a></li></ul></aside><footer>&copy; 2021 My site</footer>", ["The title", ONE, TWO]),
+    "a layout table": (f"<table><tr><td><ul><li><a href=1>Start</a></li><li><a href=2>News</a></li></ul></td><td><h1>Headline</h1><p>{ONE}</p><p>{TWO}</p></td></tr></table>", ["Headline", ONE, TWO]),
+    "deep markup": (f"<article><h1>Head</h1>{'<span class=a>' * 3000}<p>{ONE}</p>{'<div>' * 3000}<p>{TWO}</p></article>", ["Head", ONE, TWO]),
+    "references": (f"<main><h1>Caf&eacute; &#169; &lt;b&gt;</h1><p>{ONE}\n\t {TWO}</p></main>", ["Café © <b>", f"{ONE} {TWO}"]),
+    "hidden parts": (f"<article><h1>T</h1><script>var a = '<p>no</p>';</script><style>p {{}}</style><p>{TWO}</p><form><label>Mail</label><input></form><!-- <p>no</p> --></article>", ["T", TWO]),
+}
+
+
+@pytest.mark.parametrize("kind", PAGES)
+def test_pages_of_other_layouts(kind):
+    page, want = PAGES[kind]
+    assert html_text.main_text(html_text.default_model(), page).split("\n") == want
+
+
+def test_very_deep_pages_take_time_by_their_length():
+    for page in ("<div>" * 100_000 + ONE, "<div><p>x" * 50_000, "<ul><li>" * 50_000 + "</b>" * 50_000, "<a href=x>" * 50_000 + "</section>" * 50_000):
+        found = html_text.blocks(page)
+        assert len(html_text.features(found)) == len(found)
+
+
 def test_page_viterbi_is_the_best_path():
     model = html_text.Model({"all": 0.2, "words 1": -0.9, "words 2": 0.7}, [[0.4, -0.3], [-0.5, 0.6]])
     for seed in range(20):
         rng = random.Random(seed)
-        page = [html_text.Block("w " * rng.randint(1, 4), (), 0.0) for _ in range(rng.randint(1, 7))]
+        page = [html_text.Block("w " * rng.randint(1, 4), html_text.Node(None, "", ""), 0.0) for _ in range(rng.randint(1, 7))]
         s = model.scores(page)
         value = lambda p: sum(x for x, y in zip(s, p) if y) + sum(model.turn[int(a)][int(b)] for a, b in zip(p, p[1:]))
         assert abs(value(model.decode(page)) - max(value(p) for p in itertools.product((False, True), repeat=len(page)))) < 1e-9
