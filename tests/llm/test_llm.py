@@ -94,6 +94,59 @@ def test_near_duplicates_match_brute_force(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def _components(sets):
+    top = {d: d for d in sets}
+
+    def find(d):
+        while top[d] != d:
+            d = top[d]
+        return d
+
+    index = {}
+    for d, s in sets.items():
+        for x in s:
+            index.setdefault(x, []).append(d)
+    flat = list(sets.items())
+    for i, (a, x) in enumerate(flat):
+        for b, y in flat[i + 1 :]:
+            if len(x) * 75 <= len(y) * 100 and len(y) * 75 <= len(x) * 100 and 100 * len(x & y) >= 75 * len(x | y):
+                a_, b_ = find(a), find(b)
+                top[max(a_, b_)] = min(a_, b_)
+    return {d: find(d) for d in sets}
+
+
+@pytest.mark.parametrize("options", [{}, {"most_rounds": 0, "part": 7}, {"most_sent": 0, "part": 50, "most_rounds": 1}])
+def test_large_groups_about_the_threshold(spark, options, monkeypatch):
+    """Hundreds of copies of one text, changed more or less: whether two are linked is open until their sets are compared."""
+    rng = random.Random(12)
+    base = prose(90, rng)
+    rows = [(i, near(base, rng.randint(0, 9), rng)) for i in range(500)]
+    rows += [(1000 + i, near(near(base, 14, rng), rng.randint(0, 2), rng)) for i in range(60)]
+    rows += [(2000 + i, base) for i in range(300)] + [(3000 + i, prose(40, rng)) for i in range(50)]
+    seen = []
+    possible = minhash._possible
+    monkeypatch.setattr(minhash, "_possible", lambda *a: seen.append(1) or possible(*a))
+    want = _components({d: shingle_set(t) for d, t in rows})
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **options).collect()}
+    assert got == want and len(set(want.values())) > 80
+    assert seen or options == {}
+
+
+def test_shared_shingles_bound_similarity(spark):
+    """Documents go only where nothing in their buckets can be similar enough."""
+    rng = random.Random(3)
+    base = prose(60, rng)
+    texts = {i: near(base, rng.randint(0, 8), rng) for i in range(80)}
+    known = minhash.Hashes()
+    sets = {i: minhash.shingles(t, 5, known) for i, t in texts.items()}
+    rest = spark.createDataFrame([(0, i, i) for i in sets], "bucket long, id long, component long")
+    held = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in sets.items()], "id long, shingles array<long>")
+    left = {r["id"] for r in minhash._possible(rest, held, 75, []).collect()}
+    true = {i: set(s.tolist()) for i, s in sets.items()}
+    linked = {i for i, j in itertools.permutations(true, 2) if 100 * len(true[i] & true[j]) >= 75 * len(true[i] | true[j])}
+    assert linked <= left < set(sets)
+
+
 def test_odd_sketches_follow_similarity():
     signer, known = minhash.Signer(44, 5), minhash.Hashes()
     a, b, c = (minhash.shingles(t, 5, known) for t in (BASE[0], near(BASE[0], 1), BASE[1]))
@@ -528,6 +581,64 @@ def test_rules_separate_and_score_as_fitted(spark, none):
     assert empty.rules == () and quality.score(none, empty).count() == 0
 
 
+def _statistics(t):
+    t = t or ""
+    n, words, lines = max(1, len(t)), t.split(" "), t.split("\n")
+    share = lambda chars: sum(c in chars for c in t) / n
+    return {
+        "chars": float(len(t)), "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits": share("0123456789"), "symbols": share("#$%&*@^~<>{}[]\\/_=+`"), "bars": share("|•·"),
+        "cries": share("!?"), "stops": share(".,;:"), "word_chars": n / len(words), "new_words": len(set(words)) / len(words), "lines": float(len(lines)), "new_lines": len(set(lines)) / len(lines),
+    }
+
+
+def test_scores_are_the_rules_of_the_whole_texts(spark, docs):
+    """Statistics, rules, weights and scores, worked out again without Spark."""
+    rng = random.Random(2)
+    labels = [(d, rng.randint(0, 1)) for d, _ in DOCS if d is not None] + [(99_999, 1)] * 5
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    rows = sorted({(d, q) for d, q in labels if d in {i for i, _ in DOCS} and zlib.crc32(str(d).encode()) % 3 != 1})
+    texts = {d: [t for i, t in DOCS if i == d] for d, _ in rows}
+    if model.rules:  # the same rows, but for which of a repeated doc_id's texts counts
+        assert any(quality.fit_arrays(list(_statistics("")), np.array([list(_statistics(pick_.get(d, texts[d][0])).values()) for d, _ in rows]), np.array([float(q) for _, q in rows])) == model for pick_ in ({}, {300: texts.get(300, [""])[-1]}))
+    scores = {}
+    for d, t in DOCS:
+        s = _statistics(t)
+        total = model.bias + sum(w for w, tests in model.rules if all(s[k] <= at if under else s[k] > at for k, under, at in tests))
+        scores.setdefault(d, []).append(1 / (1 + np.exp(-total)))
+    for r in quality.score(docs, model).collect():
+        assert min(abs(r["score"] - x) for x in scores[r["doc_id"]]) < 1e-9
+
+
+def test_lasso_weights_are_optimal():
+    """The subgradient conditions: at a weight that isn't zero the slope is the penalty, elsewhere at most that."""
+    rng = np.random.default_rng(4)
+    z = rng.integers(0, 2, (400, 8)).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * z[:, 0] - 3 * z[:, 1] + 0.5)))).astype(float)
+    for penalty in (1e-3, 1e-2):
+        w, b = quality.lasso(z, y, penalty, 3000)
+        miss = 1 / (1 + np.exp(-(z @ w + b))) - y
+        slope = z.T @ miss / len(y)
+        assert abs(miss.mean()) < 1e-6
+        assert (abs(slope[w != 0] + penalty * np.sign(w[w != 0])) < 1e-6).all() and (abs(slope[w == 0]) <= penalty + 1e-6).all()
+
+
+def test_rules_are_conjunctions_of_a_tree_s_path():
+    rng = np.random.default_rng(0)
+    x = rng.random((500, 3))
+    y = ((x[:, 0] > 0.5) & (x[:, 2] <= 0.3)).astype(float)
+    model = quality.fit_arrays(["a", "b", "c"], x, y)
+    assert all(1 <= len(tests) <= 3 and {s for s, _, _ in tests} <= set("abc") for _, tests in model.rules)
+    total = model.bias + sum(w * np.logical_and.reduce([x[:, "abc".index(s)] <= t if under else x[:, "abc".index(s)] > t for s, under, t in tests]) for w, tests in model.rules)
+    assert ((total >= 0) == (y == 1)).mean() > 0.98
+
+
+def test_labels_of_other_documents_leave_the_sample_full(spark):
+    docs = spark.createDataFrame([(i, "word " * 30 if i % 2 else "### " * 30) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(i, 1) for i in range(1000, 30_000)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, most_rows=100)
+    assert model.rules  # a draw before the join would find no document or one
+
+
 def test_lasso_drops_what_says_nothing():
     rng = np.random.default_rng(1)
     z = rng.integers(0, 2, (600, 4)).astype(float)

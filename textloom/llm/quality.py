@@ -139,15 +139,18 @@ def fit_arrays(names: list[str], x: np.ndarray, y: np.ndarray, *, trees: int = 2
 
 def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 20_000) -> Model:
     """Learns labels.quality of the rows whose crc32(doc_id as text) mod 3 isn't 1, of at most
-    `most_rows` labelled rows, those whose doc_id hashes lowest. Rows with a null in doc_id
-    or quality don't count; a null text counts as empty."""
+    `most_rows` labelled documents, those of the docs given whose doc_id hashes lowest. Rows with a null in doc_id
+    or quality don't count; a null text counts as empty. Of the rows that share a doc_id, the one whose text hashes lowest
+    counts; a doc_id with both labels counts once with each."""
     own = pick(labels, doc_id="doc_id", quality="quality").selectExpr("cast(doc_id as long) label_id", "cast(quality as double) quality")
-    own = own.where(F.col("label_id").isNotNull() & F.col("quality").isin(0.0, 1.0) & ~held_out("label_id"))
-    own = own.orderBy(F.xxhash64("label_id"), "label_id", "quality").limit(most_rows)
+    own = own.where(F.col("label_id").isNotNull() & F.col("quality").isin(0.0, 1.0) & ~held_out("label_id")).distinct()
     docs = pick(docs, doc_id="doc_id", text="text").selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text")
+    there = own.join(docs.select("doc_id"), own["label_id"] == docs["doc_id"], "left_semi")
+    drawn = there.orderBy(F.xxhash64("label_id"), "label_id", "quality").limit(most_rows)
     values = statistics(F.col("text"))
     # at most most_rows pairs of numbers are broadcast
-    seen = docs.join(F.broadcast(own), docs["doc_id"] == own["label_id"]).select("quality", "doc_id", *[c.alias(n) for n, c in values.items()]).orderBy("doc_id", "quality", "chars").limit(2 * most_rows).toPandas()
+    found = docs.join(F.broadcast(drawn), docs["doc_id"] == drawn["label_id"]).select("quality", "doc_id", F.xxhash64("text").alias("h"), F.struct(*[c.alias(n) for n, c in values.items()]).alias("s"))
+    seen = found.groupBy("doc_id", "quality").agg(F.min_by("s", "h").alias("s")).orderBy("doc_id", "quality").select("quality", "s.*").toPandas()
     return fit_arrays(list(values), seen[list(values)].to_numpy(float), seen["quality"].to_numpy(float))
 
 
