@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,12 +89,12 @@ def _singular(t: Column) -> Column:
 
 
 def _infinitive(t: Column) -> Column:
-    n, out = F.length(t), None
-    for verb, endings in VERB_ENDINGS:
-        for e in endings:
-            test, value = t.endswith(e) & (n - len(e) >= 3), F.concat(F.left(t, n - len(e)), F.lit(verb))
-            out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(t)
+    # no ending is another's end, so that each pattern has one way to fit
+    out = t
+    for verb, endings in reversed(VERB_ENDINGS):
+        pattern = f"^(.{{3,}})(?:{'|'.join(endings)})$"
+        out = F.when(t.rlike(pattern), F.regexp_replace(t, pattern, f"$1{verb}")).otherwise(out)
+    return out
 
 
 def lemma(token: Column) -> Column:
@@ -101,6 +102,43 @@ def lemma(token: Column) -> Column:
     return _infinitive(_singular(token))
 
 
+def lemma_of(token: str) -> str:
+    """lemma() of a single normalized token, without Spark."""
+    n = len(token)
+    if token.endswith("ces") and n > 4:
+        token = token[:-3] + "z"
+    elif token.endswith("es") and n > 4 and token[-3] not in "aeiou":
+        token = token[:-2]
+    elif token.endswith("s") and n > 3 and token[-2] in "aeiou":
+        token = token[:-1]
+    for verb, endings in VERB_ENDINGS:
+        for e in endings:
+            if token.endswith(e) and len(token) - len(e) >= 3:
+                return token[: -len(e)] + verb
+    return token
+
+
+def tokens_of(base: str) -> list[str]:
+    """All tokens whose base form this is; the rules have few ways to it, so that texts can be searched without theirs being made."""
+    before = [base] + [base[: -len(verb)] + e for verb, endings in VERB_ENDINGS if base.endswith(verb) for e in endings]
+    forms = [f for b in before for f in (b, b + "s", b + "es", b[:-1] + "ces")]
+    return sorted({f for f in forms if lemma_of(f) == base})
+
+
+@lru_cache(1)
+def stop_tokens() -> tuple[str, ...]:
+    """All tokens whose base form is a stopword."""
+    return tuple(sorted({t for w in STOPWORDS for t in tokens_of(w)}))
+
+
+def useful_tokens(norm: Column) -> Column:
+    """The tokens of a normalized text, as they stand, whose base forms content() keeps, in order."""
+    bare = F.regexp_replace(norm, r"(?<![^ ])\p{Nd}+(?![^ ])", "")
+    every = F.filter(F.split(bare, " "), lambda t: t != "")
+    useful = F.filter(every, lambda t: ~t.isin(*stop_tokens()))
+    return F.when(F.size(useful) > 0, useful).otherwise(every)
+
+
 def lemmas(x: Column) -> Column:
     """The base forms of a text's tokens, in order, without those of digits only."""
     tokens = F.filter(F.split(normalize(x), " "), lambda w: w != "")
@@ -136,10 +174,36 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((size_a == 0) | (size_b == 0), F.lit(0.0)).otherwise(dot / (size_a * size_b))
 
 
+def spelled(normalized: str) -> str:
+    """A pattern (Java's) of the texts that are this one when normalized: any case, with accents, other characters between words."""
+    forms: dict[str, str] = {}
+    for a, b in zip(_WITH, _WITHOUT):
+        forms[b.lower()] = forms.get(b.lower(), "") + a + a.upper()[:1] + a.lower()[:1]
+
+    def letter(c: str) -> str:
+        own = "".join(dict.fromkeys(c + c.upper()[:1] + forms.get(c, "")))
+        return rf"\Q{c}\E" if len(own) == 1 else f"[{own}]"
+
+    return r"[^\p{L}\p{N}]+".join(r"\p{Mn}*".join(map(letter, w)) for w in normalized.split())
+
+
 def alias(x: Column) -> Column:
     return F.lower(F.trim(F.coalesce(x, F.lit(""))))
 
 
+def same_alias(a: Column, b: Column) -> Column:
+    """Whether two aliases are one, whatever their case; no alias is the empty one."""
+    return alias(a) == alias(b)
+
+
+def own_alias(info: Column) -> Column:
+    """The alias in a server's answer (JSON text): its field Alias, a text or the first one with characters in a list."""
+    plain = F.trim(F.get_json_object(info, "$.Alias"))
+    listed = F.from_json(F.get_json_object(info, "$.Alias"), "array<string>")
+    first = F.get(F.filter(F.transform(listed, F.trim), lambda a: a.isNotNull() & (a != "")), F.lit(0))
+    return F.coalesce(F.when(plain.startswith("["), first).otherwise(F.nullif(plain, F.lit(""))), F.lit("Desconocido"))
+
+
 def resource(x: Column) -> Column:
     """The letters of a resource's name, lower case, without a plural s after more than three."""
     bare = F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-záéíóúñü]+", "")
@@ -175,5 +239,5 @@ CAPITALISED = ["The", "A", "An", "And", "But", "Or", "If", "Then", "When", "Whil
 
 def capitalised_entities(x: Column) -> Column:
     """Distinct runs of capitalised words, in order of first use."""
-    found = F.regexp_extract_all(x, F.lit(r"\b((?:[A-Z][a-z]+)(?:\s+[A-Z][a-z]+)*)\b"), F.lit(1))
+    found = F.regexp_extract_all(x, F.lit(r"(?U)\b((?:[A-Z][a-z]+)(?:\s+[A-Z][a-z]+)*)\b"), F.lit(1))
     return F.array_distinct(F.filter(found, lambda e: ~e.isin(*CAPITALISED)))

@@ -22,18 +22,24 @@ BLOCKS = ["div", "p", "li", "blockquote", *HEADINGS]
 UNIT, UNIT_MOST, TARGET, OVERLAP, LEAST_BLOCK, LEAST_CHARS = 90, 140, 120, 35, 8, 16
 
 
-def is_noise(x: Column) -> Column:
-    norm = T.normalize(x)
-    hyphened = F.regexp_count(x, F.lit(r"(?Ui)\b[\wáéíóúüñ]+-\b"))
-    return (
-        (norm == "")
-        | F.exists(F.array(*map(F.lit, NOISE_MARKS)), lambda m: norm.contains(m))
-        | (F.regexp_count(norm, F.lit("capitulo")) >= 3)
-        | (hyphened >= 3)
-        | norm.rlike(r"^(\p{Nd}+|[ivxlcdm]+)$")
-        | ((F.regexp_count(norm, F.lit(r"(?U)\bde\b")) >= 8) & norm.contains("capitulo"))
-        | (F.regexp_count(norm, F.lit(r"(?U)\bdonde\b")) >= 4)
-    )
+def is_noise(x: Column, *, first: bool = False) -> Column:
+    """Whether a block's text isn't the book's; `first`: by the fewer rules of the first version."""
+    bound = F.transform(F.array(F.struct(x.alias("text"), T.normalize(x).alias("norm"))), lambda s: _noisy(s["text"], s["norm"], first))
+    return F.get(bound, F.lit(0))
+
+
+def _noisy(text: Column, norm: Column, first: bool) -> Column:
+    out = norm == ""
+    for m in NOISE_MARKS:
+        out |= norm.contains(m)
+    # fixed values: how often a word may stand, and patterns of hyphens, numbers and roman numerals
+    out |= F.length(norm) - F.length(F.replace(norm, F.lit("capitulo"), F.lit(""))) >= 3 * len("capitulo")
+    out |= F.regexp_count(text, F.lit(r"(?Ui)\b[\wáéíóúüñ]+-\b")) >= 3
+    out |= norm.rlike(r"^(\p{Nd}+|[ivxlcdm]+)$")
+    if not first:
+        out |= norm.contains("capitulo") & (F.regexp_count(norm, F.lit(r"(?U)\bde\b")) >= 8)
+        out |= norm.contains("donde") & (F.regexp_count(norm, F.lit(r"(?U)\bdonde\b")) >= 4)
+    return out
 
 
 class _Reader(HTMLParser):

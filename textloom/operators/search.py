@@ -1,18 +1,23 @@
 """Ranked retrieval of passages.
 
-A passage is a row (id, ord, chapter, text). The index is two tables: passages with their terms, and
-document frequencies. A query is a handful of terms; its plan explodes only the
-places where they occur, so what is shuffled grows with the hits and not with the corpus.
+A passage is a row (id, ord, chapter, text). The index is three tables: passages with their tokens, postings in buckets
+by term, and document frequencies. A query is a handful of terms; the tokens that have these as base forms are
+known beforehand, so that a text is searched without making the base forms of all it has, and what is
+shuffled grows with the hits and not with the corpus.
 """
 
 from __future__ import annotations
 
+import math
+import unicodedata
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import stored
 
 
 def analyze(spark: SparkSession, query: str) -> tuple[str, list[str], list[str]]:
@@ -26,90 +31,159 @@ def analyze(spark: SparkSession, query: str) -> tuple[str, list[str], list[str]]
 
 
 def annotate(passages: DataFrame) -> DataFrame:
-    """Adds norm and terms."""
-    return passages.withColumn("norm", T.normalize(F.col("text"))).withColumn("terms", T.content(T.lemmas(F.col("text"))))
+    """Adds norm and tokens: the tokens that count, as they stand."""
+    rows = passages.withColumn("norm", T.normalize(F.col("text")))
+    return rows.withColumn("tokens", T.useful_tokens(F.col("norm")))
 
 
 def postings(annotated: DataFrame) -> DataFrame:
-    """(term, id, pos) of every term: the index to write bucketed by term."""
-    return annotated.select("id", F.posexplode("terms").alias("pos", "term")).select("term", "id", "pos")
+    """(term, id, pos) of every term: the index to write in buckets by term."""
+    return annotated.select("id", F.posexplode("tokens").alias("pos", "token")).select(T.lemma(F.col("token")).alias("term"), "id", "pos")
 
 
 def document_frequency(annotated: DataFrame) -> DataFrame:
-    return annotated.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df). Base forms are made of exploded tokens, in generated code."""
+    each = annotated.select("id", F.explode(F.array_distinct("tokens")).alias("token")).select("id", T.lemma(F.col("token")).alias("term"))
+    return each.distinct().groupBy("term").agg(F.count("*").alias("df"))
+
+
+#: Parts of the postings by hash of the term.
+BUCKETS = 64
+
+
+def bucket(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def idf(df: Column, n: Column) -> Column:
     return F.log((F.greatest(n, F.lit(1)) + 1) / (F.coalesce(df, F.lit(0)) + 1)) + 1.0
 
 
-def windows_equal(terms: Column, wanted: list[str]) -> Column:
-    """How often the terms in order occur, overlaps included."""
-    # terms hold no spaces, and matches of no width may overlap
-    row = F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" "))
-    return F.regexp_count(row, F.lit(rf"(?=\Q {' '.join(wanted)} \E)"))
+def _any_of(term: str) -> str:
+    return "(?:" + "|".join(rf"\Q{t}\E" for t in T.tokens_of(term)) + ")"
+
 
+def windows_equal(tokens: Column, wanted: list[str]) -> Column:
+    """How often tokens of the base forms wanted stand in a row, overlaps included."""
+    # tokens hold no spaces, and matches of no width may overlap
+    row = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    return F.regexp_count(row, F.lit(f"(?= {' '.join(map(_any_of, wanted))} )"))
 
-def exact_matches(norm: Column, terms: Column, query: str, lemmas: list[str], wanted: list[str]) -> Column:
+
+def exact_matches(norm: Column, tokens: Column, query: str, lemmas: list[str], wanted: list[str]) -> Column:
     """The most of: the whole query in the text by word bounds, its base forms in a row, its terms in a row."""
     whole = F.regexp_count(norm, F.lit(rf"(?U)(?<!\w)\Q{query}\E(?!\w)"))
-    return F.greatest(whole, windows_equal(terms, lemmas), windows_equal(terms, wanted))
+    rows = [windows_equal(tokens, w) for w in ([lemmas] if lemmas == wanted else [lemmas, wanted])]
+    return F.greatest(whole, *rows)
+
+
+def occurrences(tokens: Column, wanted: list[str]) -> Column:
+    """An array of struct(pos, term) where the query's terms stand, in order."""
+    terms = list(dict.fromkeys(wanted))
+    forms = {t: T.tokens_of(t) for t in terms}
+    placed = F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
+    hits = F.filter(placed, lambda s: s["token"].isin(*[f for own in forms.values() for f in own]))
 
+    def term(token: Column) -> Column:
+        out = F.lit(terms[-1])
+        for t in terms[:-1]:
+            out = F.when(token.isin(*forms[t]), t).otherwise(out)
+        return out
 
-def occurrences(annotated: DataFrame, wanted: list[str]) -> DataFrame:
-    """(id, pos, term) where the query's terms stand."""
-    hits = F.filter(F.transform("terms", lambda t, i: F.struct(i.alias("pos"), t.alias("term"))), lambda s: s["term"].isin(*wanted))
-    return annotated.select("id", F.explode(hits).alias("s")).select("id", "s.pos", "s.term")
+    return F.transform(hits, lambda s: F.struct(s["pos"].alias("pos"), term(s["token"]).alias("term")))
 
 
-def cover_spans(hits: DataFrame, wanted: list[str]) -> DataFrame:
-    """(id, span): the fewest places that hold all the query's terms that the passage has, if two or more.
+def _is(term: str) -> Callable:
+    return lambda s: s["term"] == term
 
-    At each occurrence the latest place of every term so far is known; the earliest of these
-    bounds the shortest span that ends there.
+
+def cover_span(hits: Column, wanted: list[str]) -> Column:
+    """The fewest places that hold all the query's terms that the passage has; null if these are fewer than two.
+
+    One pass over the occurrences keeps the latest place of each term; the earliest of these
+    bounds the shortest span that ends at an occurrence.
     """
     terms = list(dict.fromkeys(wanted))
-    upto = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("id")
-    for k, t in enumerate(terms):
-        hits = hits.withColumn(f"last{k}", F.max(F.when(F.col("term") == t, F.col("pos"))).over(upto)).withColumn(f"has{k}", F.max((F.col("term") == t).cast("int")).over(whole))
-    matched = sum((F.col(f"has{k}") for k in range(len(terms))), F.lit(0))
-    ready = sum((((F.col(f"has{k}") == 0) | F.col(f"last{k}").isNotNull()).cast("int") for k in range(len(terms))), F.lit(0)) == len(terms)
-    first = F.least(*[F.col(f"last{k}") for k in range(len(terms))], F.col("pos"))
-    return hits.where((matched >= 2) & ready).groupBy("id").agg(F.min(F.col("pos") - first + 1).alias("span"))
+    none = F.lit(None).cast("int")
+    has = [F.exists(hits, _is(t)) for t in terms]
+    start = F.struct(*[none.alias(f"last{k}") for k in range(len(terms))], none.alias("best"))
 
+    def move(state: Column, s: Column) -> Column:
+        last = [F.when(s["term"] == t, s["pos"]).otherwise(state[f"last{k}"]) for k, t in enumerate(terms)]
+        seen = sum((x.isNotNull().cast("int") for x in last), F.lit(0))
+        span = s["pos"] - (F.least(*last) if len(last) > 1 else last[0]) + 1
+        # a span counts once as many terms were met as by then; a later, fuller one begins anew
+        fuller = seen > sum((state[f"last{k}"].isNotNull().cast("int") for k in range(len(terms))), F.lit(0))
+        best = F.when(fuller | state["best"].isNull(), span).otherwise(F.least(state["best"], span))
+        return F.struct(*[x.alias(f"last{k}") for k, x in enumerate(last)], best.alias("best"))
 
-def classic(passages: DataFrame, query: str, *, limit: int | None = 5, chapter: str | None = None) -> DataFrame:
-    """id, ord, score, exact, matched, hits of the best passages, best first, ties by ord.
+    matched = sum((h.cast("int") for h in has), F.lit(0))
+    return F.when(matched >= 2, F.aggregate(hits, start, move, lambda s: s["best"]))
 
-    Frequencies are of the whole index even when a chapter narrows the passages.
-    """
-    spark = passages.sparkSession
-    whole, lemmas, wanted = analyze(spark, query)
+
+def _probed(rows: DataFrame, query: tuple[str, list[str], list[str]]) -> DataFrame:
+    """(id, ord, chapter, hits, exact, n_terms, n_words) of the annotated passages where the query's terms or the query itself stand."""
+    whole, lemmas, wanted = query
+    found = rows.select("id", "ord", "chapter", occurrences(F.col("tokens"), wanted).alias("hits"), exact_matches(F.col("norm"), F.col("tokens"), whole, lemmas, wanted).alias("exact"), F.size("tokens").alias("n_terms"), F.size(F.split("norm", " ")).alias("n_words"))
+    return found.where((F.size("hits") > 0) | (F.col("exact") > 0))
+
+
+def frequencies(probed: DataFrame, wanted: list[str]) -> dict[str, int]:
+    """In how many passages each of the query's terms stands: a row of a few numbers."""
+    terms = list(dict.fromkeys(wanted))
+    row = probed.agg(*[F.count_if(F.exists("hits", _is(t))).alias(f"c{k}") for k, t in enumerate(terms)]).first()
+    return {t: row[f"c{k}"] for k, t in enumerate(terms)}
+
+
+def _ranked(probed: DataFrame, wanted: list[str], known: dict[str, int], total: int, limit: int | None, chapter: str | None) -> DataFrame:
     counts = Counter(wanted)
-    annotated = annotate(passages)
-    total = annotated.agg(F.count("*").alias("n"))
-    profile = spark.createDataFrame([(t, c / len(wanted)) for t, c in counts.items()], "term string, qtf double")
-    known = annotated.select(F.explode(F.array_distinct(F.filter("terms", lambda t: t.isin(*counts)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    # one row for each term of the query
-    profile = profile.join(known, "term", "left").crossJoin(total).select("term", "qtf", idf(F.col("df"), F.col("n")).alias("idf"))
     if chapter:
-        annotated = annotated.where(T.normalize(F.coalesce("chapter", F.lit(""))).contains(F.trim(T.normalize(F.lit(chapter)))))
-    hits = occurrences(annotated, list(counts))
-    by_term = hits.groupBy("id", "term").agg(F.count("*").alias("hits")).join(F.broadcast(profile), "term")
-    per = by_term.groupBy("id").agg(F.sum("hits").alias("hits"), F.count("*").alias("matched"), F.sum(F.col("hits") * F.col("idf") * F.col("qtf")).alias("weight"))
-    scored = annotated.withColumn("exact", exact_matches(F.col("norm"), F.col("terms"), whole, lemmas, wanted)).select("id", "ord", "exact", F.size("terms").alias("n_terms"), F.size(F.split("norm", " ")).alias("n_words"))
-    scored = scored.join(per, "id", "left").join(cover_spans(hits, wanted), "id", "left").fillna(0, ["hits", "matched", "weight"]).where((F.col("exact") > 0) | (F.col("hits") > 0))
+        probed = probed.where(T.normalize(F.coalesce("chapter", F.lit(""))).contains(F.trim(T.normalize(F.lit(chapter)))))
+    each = {t: F.size(F.filter("hits", _is(t))) for t in counts}
+    weight = sum((each[t] * F.lit(math.log((max(total, 1) + 1) / (known.get(t, 0) + 1)) + 1.0) * F.lit(c / len(wanted)) for t, c in counts.items()), F.lit(0.0))
+    matched = sum(((each[t] > 0).cast("long") for t in counts), F.lit(0).cast("long"))
+    rows = probed.select("id", "ord", "exact", "n_terms", "n_words", F.size("hits").cast("long").alias("hits"), matched.alias("matched"), weight.alias("weight"), cover_span(F.col("hits"), wanted).alias("span"))
     cov = F.col("matched") / len(counts)
     score = 120.0 * (F.col("weight") / F.greatest(F.col("n_terms"), F.lit(1))) * cov + 12.0 * cov
     score += F.when((F.lit(len(counts)) > 1) & (cov >= 0.999), 4.0).otherwise(0.0)
     score += F.when(F.col("exact") > 0, 4.0 + 2.0 * F.least(F.col("exact"), F.lit(6))).otherwise(0.0)
     score += F.coalesce(5.0 * F.least(F.lit(1.0), F.col("matched") / F.col("span")), F.lit(0.0))
     score -= F.when(F.col("n_words") > 220, F.least(F.lit(10.0), (F.col("n_words") - 220) * 0.06)).otherwise(0.0)
-    out = scored.select("id", "ord", score.alias("score"), F.col("exact").cast("long").alias("exact"), F.col("matched").cast("long").alias("matched"), F.col("hits").cast("long").alias("hits"))
+    out = rows.select("id", "ord", score.alias("score"), F.col("exact").cast("long").alias("exact"), "matched", "hits")
     return out if limit is None else out.orderBy(F.desc("score"), "ord").limit(limit)
 
 
+def classic(passages: DataFrame, query: str, *, limit: int | None = 5, chapter: str | None = None) -> DataFrame:
+    """id, ord, score, exact, matched, hits of the best passages, best first, ties by ord.
+
+    Frequencies are of the whole index even when a chapter narrows the passages. The texts are read once: what the
+    query meets there is stored, and all else is worked out of that.
+    """
+    asked = analyze(passages.sparkSession, query)
+    probed = stored(_probed(annotate(passages), asked), "probed")
+    return _ranked(probed, asked[2], frequencies(probed, asked[2]), passages.count(), limit, chapter)
+
+
+def indexed(passages: DataFrame, post: DataFrame, df: DataFrame, query: str, *, buckets: int = BUCKETS, limit: int | None = 5, chapter: str | None = None) -> DataFrame:
+    """classic() over an index: the postings of the query's terms alone are read, by bucket, and of the passages those that they name.
+
+    A query of stopwords alone stands in passages whose postings don't have it, so that one reads the passages.
+    """
+    spark = passages.sparkSession
+    asked = whole, lemmas, wanted = analyze(spark, query)
+    if set(wanted) <= set(T.STOPWORDS):
+        probed = stored(_probed(passages, asked), "probed")
+    else:
+        numbers = [r[0] for r in spark.createDataFrame([(t,) for t in set(wanted)], "term string").select(bucket(F.col("term"), buckets)).collect()]
+        own = post.where(F.col("bucket").isin(*set(numbers)) & F.col("term").isin(*set(wanted)))
+        hits = own.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("hits"))  # of one passage
+        rows = passages.join(hits, "id")
+        exact = exact_matches(F.col("norm"), F.col("tokens"), whole, lemmas, wanted)
+        probed = stored(rows.select("id", "ord", "chapter", "hits", exact.alias("exact"), F.size("tokens").alias("n_terms"), F.size(F.split("norm", " ")).alias("n_words")), "probed")
+    known = {r["term"]: r["df"] for r in df.where(F.col("term").isin(*set(wanted))).select("term", "df").collect()}  # of the query's terms
+    return _ranked(probed, wanted, known, passages.count(), limit, chapter)
+
+
 def semantic(vectors: DataFrame, query: list[float], *, limit: int | None = 5) -> DataFrame:
     """id, ord, score: cosine to the query's vector, best first, ties by ord; rows without a vector play no part."""
     rows = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
@@ -149,25 +223,63 @@ def context(ranked: DataFrame) -> DataFrame:
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda s: s["part"]), "\n\n").alias("context"))
 
 
-def query_span(norm: Column, query: str) -> tuple[Column, Column]:
-    """Start (from 1, 0 if none) and length in the normalized text: the whole query, else its first word that occurs."""
-    tries = [query, *query.split()]
+def query_span(text: Column, query: str) -> tuple[Column, Column]:
+    """Start (from 1, 0 if none) and length, in the text as it stands, of the normalized query, else of its first word that occurs."""
     at, size = F.lit(0), F.lit(0)
-    for t in reversed(tries):
-        found = F.regexp_instr(norm, F.lit(rf"(?U)(?<!\w)\Q{t}\E(?!\w)"))
-        at, size = F.when(found > 0, found).otherwise(at), F.when(found > 0, F.lit(len(t))).otherwise(size)
+    for t in reversed(list(dict.fromkeys([query, *query.split()]))):
+        pattern = rf"(?<![\p{{L}}\p{{N}}])(?<![\p{{L}}\p{{N}}]\p{{Mn}}{{1,4}}){T.spelled(t)}(?!\p{{Mn}}*[\p{{L}}\p{{N}}])"
+        found = F.regexp_instr(text, F.lit(pattern))
+        at, size = F.when(found > 0, found).otherwise(at), F.when(found > 0, F.length(F.regexp_substr(text, F.lit(pattern)))).otherwise(size)
     return at, size
 
 
-def excerpt(norm: Column, query: str, most: int = 340) -> Column:
-    """A window of the text around the match, which stands in brackets; dots where text was left out."""
-    at, size = query_span(norm, query)
-    n = F.length(norm)
+def excerpt(text: Column, query: str, most: int = 340) -> Column:
+    """A window of the text around the match of the normalized query, which stands in brackets; dots where text was left out."""
+    both = F.transform(F.array(F.struct(*(c.alias(n) for c, n in zip(query_span(text, query), ("at", "size"))))), lambda m: _window(text, m["at"], m["size"], most))
+    return F.get(both, F.lit(0))
+
+
+def _window(text: Column, at: Column, size: Column, most: int) -> Column:
+    n = F.length(text)
     middle = F.when(at > 0, F.floor((at - 1 + at - 1 + size) / 2)).otherwise(F.floor(n / 2))
-    start0 = F.greatest(F.lit(0), middle - most // 2)
-    end = F.when(n <= most, n).otherwise(F.least(n, start0 + most))
-    start = F.when(n <= most, 0).otherwise(F.greatest(F.lit(0), end - most))
+    end = F.when(n <= most, n).otherwise(F.least(n, F.greatest(F.lit(0), middle - most // 2) + most)).cast("int")
+    start = F.when(n <= most, 0).otherwise(F.greatest(F.lit(0), end - most)).cast("int")
     a, b = F.greatest(at - 1, start), F.least(at - 1 + size, end)
-    marked = F.concat(F.substring(norm, start + 1, a - start), F.lit("["), F.substring(norm, a + 1, b - a), F.lit("]"), F.substring(norm, b + 1, end - b))
-    body = F.when((at > 0) & (a < b), marked).otherwise(F.substring(norm, start + 1, end - start))
+    marked = F.concat(F.substring(text, start + 1, a - start), F.lit("["), F.substring(text, a + 1, b - a), F.lit("]"), F.substring(text, b + 1, end - b))
+    body = F.when((at > 0) & (a < b), marked).otherwise(F.substring(text, start + 1, end - start))
     return F.concat(F.when(start > 0, "... ").otherwise(""), body, F.when(end < n, " ...").otherwise(""))
+
+
+def marked_parts(excerpt: Column) -> Column:
+    """An excerpt as an array of struct(text, marked): what stands in brackets and what doesn't."""
+    pieces = F.regexp_extract_all(excerpt, F.lit(r"(\[[^\]]+\]|(?:(?!\[[^\]]+\])(?s:.))+)"), F.lit(1))
+    inside = lambda p: p.rlike(r"^\[[^\]]+\]$")
+    return F.transform(pieces, lambda p: F.struct(F.when(inside(p), F.substring(p, F.lit(2), F.length(p) - 2)).otherwise(p).alias("text"), inside(p).alias("marked")))
+
+
+def with_mapping(texts: DataFrame) -> DataFrame:
+    """(id, text) -> (id, norm, at): the text normalized character by character, and from which character (from 0) each
+    character of it came."""
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            norms, places = [], []
+            for text in batch.column(1).to_pylist():
+                norm, at = [], []
+                for i, c in enumerate(text or ""):
+                    for d in unicodedata.normalize("NFD", c.lower()):
+                        if d.isalnum():
+                            norm.append(d)
+                            at.append(i)
+                        elif unicodedata.category(d) != "Mn" and norm and norm[-1] != " ":
+                            norm.append(" ")
+                            at.append(i)
+                if norm and norm[-1] == " ":
+                    norm.pop(), at.pop()
+                norms.append("".join(norm))
+                places.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(norms, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["id", "norm", "at"])
+
+    return texts.selectExpr("cast(id as string) id", "cast(text as string) text").mapInArrow(work, "id string, norm string, at array<int>")

@@ -58,10 +58,12 @@ def tokenize_lossless(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), (F.array_join(tokens, "") == x).alias("lossless"), F.size(T.simple_tokens(x)).cast("long").alias("n_simple"))
 
 
-@book(f"WITH {DOCS} SELECT t AS lemma, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM (SELECT doc_id, unnest(lemmas) AS t FROM l WHERE lang = 'es') GROUP BY t")
+@book(f"WITH {DOCS} SELECT t AS lemma, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM (SELECT doc_id, unnest(lemmas) AS t FROM l) GROUP BY t")
 def heuristic_lemmas(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", F.explode(T.lemmas(F.col("text"))).alias("lemma"))
-    return rows.groupBy("lemma", "doc_id").agg(F.count("*").alias("c")).groupBy("lemma").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+    norm = table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))
+    tokens = norm.select("doc_id", F.explode(F.split("norm", " ")).alias("token")).where("token <> '' and not token rlike '^[0-9]+$'")
+    rows = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("c")).select("doc_id", T.lemma(F.col("token")).alias("lemma"), "c").where(~F.col("lemma").rlike(r"^\p{Nd}+$"))
+    return rows.groupBy("lemma", "doc_id").agg(F.sum("c").alias("c")).groupBy("lemma").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 
 
 @book(f"WITH {DOCS} SELECT t AS term, CAST(count(*) AS BIGINT) AS df FROM (SELECT doc_id, unnest(list_distinct(terms)) AS t FROM d) GROUP BY t")
@@ -69,14 +71,18 @@ def document_frequency(spark, sf_dir):
     return search.document_frequency(search.annotate(passages(spark, sf_dir)))
 
 
+def _hits(spark, sf_dir, wanted: list[str]) -> DataFrame:
+    return search.annotate(passages(spark, sf_dir)).select("id", search.occurrences(F.col("tokens"), wanted).alias("hits"))
+
+
 @book(f"""WITH {DOCS}, f AS (SELECT t AS term, count(*) AS df FROM (SELECT unnest(list_distinct(terms)) AS t FROM d) GROUP BY t),
 q AS (SELECT unnest(['the', 'of', 'then', 'nowhere']) AS term)
 SELECT term, CAST(coalesce(df, 0) AS BIGINT) AS df, round(ln(((SELECT greatest(count(*), 1) FROM d) + 1) / (coalesce(df, 0) + 1)) + 1, 6) AS idf FROM q LEFT JOIN f USING (term)""")
 def idf_table(spark, sf_dir):
-    annotated = search.annotate(passages(spark, sf_dir))
-    asked = spark.createDataFrame([(t,) for t in ("the", "of", "then", "nowhere")], "term string")
-    known = search.document_frequency(annotated.withColumn("terms", F.filter("terms", lambda t: t.isin("the", "of", "then", "nowhere"))))
-    n = annotated.agg(F.count("*").alias("n"))
+    terms = ["the", "of", "then", "nowhere"]
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    known = _hits(spark, sf_dir, terms).select(F.explode(F.array_distinct("hits.term")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = passages(spark, sf_dir).agg(F.count("*").alias("n"))
     return asked.join(known, "term", "left").crossJoin(n).select("term", F.coalesce("df", F.lit(0)).alias("df"), F.round(search.idf(F.col("df"), F.col("n")), 6).alias("idf"))
 
 
@@ -120,12 +126,11 @@ def search_filtered(spark, sf_dir):
 @book(_SCORE + "SELECT doc_id AS id, round(weight, 6) AS weight, CAST(hits AS BIGINT) AS hits FROM a JOIN d USING (doc_id) ORDER BY a.weight DESC, doc_id LIMIT 10")
 def tfidf_topk(spark, sf_dir):
     """Sums of hits times idf times the query's frequency: the ten highest."""
-    annotated = search.annotate(passages(spark, sf_dir))
     _, _, wanted = search.analyze(spark, QUERY)
-    known = search.document_frequency(annotated.withColumn("terms", F.filter("terms", lambda t: t.isin(*wanted))))
-    profile = known.crossJoin(annotated.agg(F.count("*").alias("n"))).select("term", search.idf(F.col("df"), F.col("n")).alias("idf"))
-    hits = search.occurrences(annotated, wanted).groupBy("id", "term").agg(F.count("*").alias("c"))
-    best = hits.join(F.broadcast(profile), "term").groupBy("id").agg(F.sum(F.col("c") * F.col("idf") * 0.25).alias("weight"), F.sum("c").alias("hits"))
+    each = _hits(spark, sf_dir, wanted).select("id", F.explode("hits.term").alias("term")).groupBy("id", "term").agg(F.count("*").alias("c"))
+    # a row for each term of the query
+    profile = each.groupBy("term").agg(F.count("*").alias("df")).crossJoin(passages(spark, sf_dir).agg(F.count("*").alias("n"))).select("term", search.idf(F.col("df"), F.col("n")).alias("idf"))
+    best = each.join(F.broadcast(profile), "term").groupBy("id").agg(F.sum(F.col("c") * F.col("idf") * 0.25).alias("weight"), F.sum("c").alias("hits"))
     return best.orderBy(F.desc("weight"), "id").limit(10).select("id", F.round("weight", 6).alias("weight"), "hits")
 
 
@@ -133,27 +138,34 @@ def tfidf_topk(spark, sf_dir):
 def exact_phrase_counts(spark, sf_dir):
     whole, lemmas, wanted = search.analyze(spark, PHRASE)
     rows = search.annotate(passages(spark, sf_dir))
-    return rows.select("id", search.exact_matches(F.col("norm"), F.col("terms"), whole, lemmas, wanted).cast("long").alias("matches")).where("matches > 0")
+    return rows.select("id", search.exact_matches(F.col("norm"), F.col("tokens"), whole, lemmas, wanted).cast("long").alias("matches")).where("matches > 0")
 
 
 @book(_SCORE + "SELECT doc_id AS id, CAST(span AS BIGINT) AS span FROM cover")
 def min_cover_span(spark, sf_dir):
     _, _, wanted = search.analyze(spark, QUERY)
-    annotated = search.annotate(passages(spark, sf_dir))
-    return search.cover_spans(search.occurrences(annotated, wanted), wanted).select("id", F.col("span").cast("long").alias("span"))
+    found = _hits(spark, sf_dir, wanted).where(F.size("hits") > 1)
+    return found.select("id", search.cover_span(F.col("hits"), wanted).cast("long").alias("span")).where("span is not null")
 
 
-@book(r"""WITH n AS (SELECT doc_id, %s AS norm FROM documents),
-m AS (SELECT doc_id, norm, length(norm) AS n, strpos(' ' || norm || ' ', ' with ') AS loc FROM n),
+@book(r"""WITH s AS (SELECT doc_id, text, length(text) AS n, lower(strip_accents(text)) AS bare FROM documents),
+m AS (SELECT *, CASE WHEN regexp_matches(bare, '(?:^|[^\p{L}\p{N}])with(?:[^\p{L}\p{N}]|$)') THEN length(regexp_extract(bare, '(?s)^(.*?(?:^|[^\p{L}\p{N}]))with(?:[^\p{L}\p{N}]|$)', 1)) + 1 ELSE 0 END AS loc FROM s),
 w AS (SELECT *, CASE WHEN loc > 0 THEN (loc - 1 + loc + 3) // 2 ELSE n // 2 END AS mid FROM m),
 e AS (SELECT *, CASE WHEN n <= 340 THEN n ELSE least(n, greatest(0, mid - 170) + 340) END AS stop FROM w),
-s AS (SELECT *, CASE WHEN n <= 340 THEN 0 ELSE greatest(0, stop - 340) END AS start FROM e)
+x AS (SELECT *, CASE WHEN n <= 340 THEN 0 ELSE greatest(0, stop - 340) END AS start FROM e)
 SELECT doc_id, CASE WHEN start > 0 THEN '... ' ELSE '' END
-  || CASE WHEN loc > 0 THEN substr(norm, start + 1, loc - 1 - start) || '[with]' || substr(norm, loc + 4, stop - loc - 3) ELSE substr(norm, start + 1, stop - start) END
-  || CASE WHEN stop < n THEN ' ...' ELSE '' END AS excerpt FROM s""" % NORM.format("text"))
+  || CASE WHEN loc > 0 THEN substr(text, start + 1, loc - 1 - start) || '[' || substr(text, loc, 4) || ']' || substr(text, loc + 4, stop - loc - 3) ELSE substr(text, start + 1, stop - start) END
+  || CASE WHEN stop < n THEN ' ...' ELSE '' END AS excerpt FROM x""")
 def excerpt_window(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))
-    return rows.select("doc_id", search.excerpt(F.col("norm"), "with").alias("excerpt"))
+    """Of the texts as they stand, whatever their case, accents and punctuation."""
+    return table(spark, sf_dir, "documents").select("doc_id", search.excerpt(F.col("text"), "with").alias("excerpt"))
+
+
+@book(f"""WITH {DOCS} SELECT doc_id AS id, CAST(length(norm) AS BIGINT) AS n, norm FROM d""")
+def normalized_mapping(spark, sf_dir):
+    """Character by character, with where each came from."""
+    rows = search.with_mapping(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return rows.select(F.col("id").cast("long").alias("id"), F.size("at").cast("long").alias("n"), "norm")
 
 
 @book(r"""SELECT CAST(count(*) AS BIGINT) AS passages, round(avg(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> ''))), 6) AS mean_words, CAST(count(DISTINCT source) AS BIGINT) AS chapters, CAST(count(DISTINCT lang) AS BIGINT) AS parts FROM documents""")
@@ -171,14 +183,26 @@ def group_most_common(spark, sf_dir):
 _NOISE = " OR ".join(f"contains(norm, '{m}')" for m in corpus.NOISE_MARKS)
 
 
-@book(rf"""WITH n AS (SELECT doc_id, i, s AS text, {NORM.format("s")} AS norm FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))
+_LINES = rf"""WITH n AS (SELECT doc_id, i, s AS text, {NORM.format("s")} AS norm FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))
 SELECT doc_id, CAST(count(*) AS BIGINT) AS blocks, CAST(count(*) FILTER (norm = '' OR {_NOISE} OR regexp_matches(norm, '^(\p{{Nd}}+|[ivxlcdm]+)$')
-  OR (length(norm) - length(replace(norm, 'capitulo', ''))) / 8 >= 3
-  OR (len(list_filter(string_split(norm, ' '), lambda w: w = 'de')) >= 8 AND contains(norm, 'capitulo')) OR len(list_filter(string_split(norm, ' '), lambda w: w = 'donde')) >= 4
-  OR len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+-[\p{{L}}\p{{N}}_]')) >= 3) AS BIGINT) AS noise FROM n GROUP BY doc_id""")
-def noise_filter(spark, sf_dir):
+  OR (length(norm) - length(replace(norm, 'capitulo', ''))) / 8 >= 3 {{0}}
+  OR len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+-[\p{{L}}\p{{N}}_]')) >= 3) AS BIGINT) AS noise FROM n GROUP BY doc_id"""
+_LATER = "OR (len(list_filter(string_split(norm, ' '), lambda w: w = 'de')) >= 8 AND contains(norm, 'capitulo')) OR len(list_filter(string_split(norm, ' '), lambda w: w = 'donde')) >= 4"
+
+
+def _noise(spark, sf_dir, first: bool) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(corpus.is_noise(F.col("text"))).alias("noise"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(corpus.is_noise(F.col("text"), first=first)).alias("noise"))
+
+
+@book(_LINES.replace("{0}", _LATER))
+def noise_filter(spark, sf_dir):
+    return _noise(spark, sf_dir, False)
+
+
+@book(_LINES.replace("{0}", ""))
+def noise_filter_first(spark, sf_dir):
+    return _noise(spark, sf_dir, True)
 
 
 @book(rf"""WITH w AS (SELECT doc_id, length({NORM.format("text")}) AS chars, len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) AS words, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_\p{{Mn}}]+')) AS runs FROM documents)
