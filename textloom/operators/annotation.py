@@ -28,10 +28,33 @@ def merged(pairs: DataFrame) -> DataFrame:
     first annotator's stays. An entity's first token starts it and each that follows one of its kind continues it."""
     a, b = T.label(F.col("a")), T.label(F.col("b"))
     chosen = F.when(a == b, a).when(a == "o", b).otherwise(a)
-    rows = pairs.withColumn("kind", F.when(chosen != "o", F.left(chosen, F.lit(1))))
+    return _continued(pairs.withColumn("chosen", chosen))
+
+
+def _continued(rows: DataFrame) -> DataFrame:
+    """(sentence, pos, chosen) rows with label in place of chosen: what starts and what continues."""
+    rows = rows.withColumn("kind", F.when(F.col("chosen") != "o", F.left("chosen", F.lit(1))))
     before = F.lag("kind").over(Window.partitionBy("sentence").orderBy("pos"))
     label = F.when(F.col("kind").isNull(), "o").when(before == F.col("kind"), F.concat("kind", F.lit("c"))).otherwise(F.concat("kind", F.lit("i")))
-    return rows.withColumn("label", label).drop("kind")
+    return rows.withColumn("label", label).drop("kind", "chosen")
+
+
+def merged_votes(votes: DataFrame) -> DataFrame:
+    """(sentence, pos, annotator, label) of any number of annotators -> sentence, pos, label: of the labels beside o the commonest
+    wins, of equals the first annotator's; o where there is none."""
+    rows = votes.select("sentence", "pos", "annotator", T.label(F.col("label")).alias("label"))
+    each = rows.groupBy("sentence", "pos", "label").agg(F.count("*").alias("n"), F.min("annotator").alias("first"))
+    beside = F.when(F.col("label") != "o", F.struct(F.col("n"), (-F.col("first")).alias("first"), F.col("label").alias("l")))
+    chosen = each.groupBy("sentence", "pos").agg(F.coalesce(F.max(beside)["l"], F.lit("o")).alias("chosen"))
+    return _continued(chosen)
+
+
+def agreement(votes: DataFrame) -> DataFrame:
+    """(sentence, pos, annotator, label) -> sentence, agreement: the share of places where two annotators agree; 1 where there aren't two."""
+    rows = votes.select("sentence", "pos", "annotator", T.label(F.col("label")).alias("label"))
+    per = rows.groupBy("sentence", "pos").agg(F.count("*").alias("n"), (F.min("label") == F.max("label")).alias("same"))
+    two = F.max("n") == 2
+    return per.groupBy("sentence").agg(F.when(two & (F.min("n") == 2), F.avg(F.col("same").cast("double"))).otherwise(1.0).alias("agreement"))
 
 
 def entities(tags: DataFrame) -> DataFrame:

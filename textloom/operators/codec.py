@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,14 +110,27 @@ def convert(rows: DataFrame, variant: str) -> DataFrame:
     return rows.selectExpr("cast(id as long) id", "cast(text as string) text").mapInArrow(work, "id long, coded binary, back string")
 
 
-def byte_values(data: Column) -> Column:
-    """The bytes of a binary column as numbers."""
-    pairs = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))
-    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
+def histogram(rows: DataFrame) -> DataFrame:
+    """(data binary) -> byte, n: counted in each batch, and the batches' counts summed up."""
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            col = batch.column(0).drop_null().cast(pa.large_binary())
+            if len(col):
+                bounds = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+                total += np.bincount(np.frombuffer(col.buffers()[2], np.uint8, bounds[-1] - bounds[0], bounds[0]), minlength=256)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["byte", "n"])
+
+    return rows.select("data").mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
 
 
 def detect(data: Column, variant: str) -> Column:
     """The share of bytes that the variant knows, 0 if there are none."""
-    values, known = byte_values(data), Codec.of(variant).valid
-    hits = F.size(F.filter(values, lambda b: b.isin(*known)))
-    return F.when(F.octet_length(data) > 0, hits / F.octet_length(data)).otherwise(0.0)
+    one = F.decode(data, "ISO-8859-1")  # a character for each byte
+    other = F.length(F.translate(one, "".join(map(chr, Codec.of(variant).valid)), ""))
+    n = F.octet_length(data)
+    return F.when(n > 0, (n - other) / n).otherwise(0.0)

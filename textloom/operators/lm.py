@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def windows(ids: Column, length: int) -> Column:
-    """All (x, y) of so many ids: y is x moved on by one."""
-    starts = F.when(F.size(ids) > length, F.sequence(F.lit(1), F.size(ids) - length)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.slice(ids, i, length).alias("x"), F.slice(ids, i + 1, length).alias("y")))
+def windows(rows: DataFrame, length: int) -> DataFrame:
+    """rows with an array `ids` -> start (from 1), x and y, so many ids each, in place of ids: all windows, y moved on by one.
+    A window is cut where it is used, so that counting windows cuts none."""
+    starts = F.when(F.size("ids") > length, F.sequence(F.lit(1), F.size("ids") - length)).otherwise(F.array().cast("array<int>"))
+    spread = rows.select("*", F.explode(starts).alias("start"))
+    return spread.withColumns({"x": F.slice("ids", F.col("start"), length), "y": F.slice("ids", F.col("start") + 1, length)}).drop("ids")
 
 
 def is_training(pos: Column, n: Column, share: float = 0.9) -> Column:
@@ -30,6 +35,33 @@ def perplexity(loss: Column) -> Column:
     return F.exp(loss)
 
 
+_erf = np.vectorize(math.erf, otypes=[float])
+
+
+def generated(prompts: DataFrame, model: Transformer, count: int, *, temperature: float = 1.0, k: int | None = None, seed: int = 0) -> DataFrame:
+    """(id, ids) -> (id, ids): so many ids sampled after each prompt, which is not empty; a row's draws follow from the seed and its id."""
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [model.generate(p, count, temperature=temperature, k=k, seed=[seed, abs(i)]) for i, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["id", "ids"])
+
+    return prompts.selectExpr("cast(id as long) id", "cast(ids as array<int>) ids").mapInArrow(work, "id long, ids array<int>")
+
+
+def experiments(temperatures: DataFrame, tops: DataFrame) -> DataFrame:
+    """(temperature) and (top_k) tables -> every pair of them, a few rows each."""
+    return temperatures.crossJoin(F.broadcast(tops))
+
+
+def as_markdown(rows: list[tuple], header: list[str]) -> str:
+    """A table of a few rows in Markdown."""
+    line = lambda cells: "| " + " | ".join(str(c).replace("|", "\\|").replace("\n", " ") for c in cells) + " |"
+    return "\n".join([line(header), "|" + "-|" * len(header), *map(line, rows)]) + "\n"
+
+
 class Transformer:
     """Inference of a pre-norm transformer in numpy: weights by name, learned positions, tied output."""
 
@@ -64,12 +96,21 @@ class Transformer:
         return (p @ v).transpose(1, 0, 2).reshape(n, d) @ self.w[f"{layer}.proj"]
 
     def logits(self, ids: list[int]) -> np.ndarray:
+        return self.hidden(ids) @ self.w["tokens"].T
+
+    def loss(self, ids: list[int]) -> float:
+        """Mean cross-entropy of each id given those before it."""
+        z = self.logits(ids[:-1])
+        z = z - z.max(1, keepdims=True)
+        return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), ids[1:]]))
+
+    def hidden(self, ids: list[int]) -> np.ndarray:
         x = self.w["tokens"][ids] + self.w["places"][: len(ids)]
         for i in range(self.layers):
             x = x + self.attention(self._norm(x, self.w[f"{i}.one"]), i)
             h = self._norm(x, self.w[f"{i}.two"]) @ self.w[f"{i}.up"]
-            x = x + (0.5 * h * (1 + np.tanh(np.sqrt(2 / np.pi) * (h + 0.044715 * h**3)))) @ self.w[f"{i}.down"]
-        return self._norm(x, self.w["out"]) @ self.w["tokens"].T
+            x = x + (h * 0.5 * (1 + _erf(h / math.sqrt(2)))) @ self.w[f"{i}.down"]
+        return self._norm(x, self.w["out"])
 
     def generate(self, prompt: list[int], count: int, *, temperature: float = 1.0, k: int | None = None, seed: int = 0) -> list[int]:
         """Sampled ids after the prompt, of whose ids the last that fit are seen."""

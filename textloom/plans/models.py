@@ -43,9 +43,17 @@ def lm_windows(spark, sf_dir):
     """Windows of 64 characters and the training part of each document."""
     ids = F.filter(F.split("text", ""), lambda c: c != "")
     rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
-    training = F.size(F.filter(F.when(F.size("ids") > 0, F.sequence(F.lit(0), F.size("ids") - 1)).otherwise(F.array().cast("array<int>")), lambda i: lm.is_training(i, F.size("ids"))))
-    examples = F.size(lm.windows(F.col("ids"), 64))
-    return rows.select("doc_id", examples.cast("long").alias("examples"), training.cast("long").alias("training"))
+    examples = lm.windows(rows, 64).groupBy("doc_id").agg(F.count("*").alias("examples"))
+    training = rows.select("doc_id", F.floor(F.size("ids") * 0.9).cast("long").alias("training"))
+    return training.join(examples, "doc_id", "left").select("doc_id", F.coalesce("examples", F.lit(0)).alias("examples"), "training")
+
+
+@book("""WITH b AS (SELECT doc_id, string_split(text, '') AS c FROM documents), s AS (SELECT doc_id, c, unnest(range(1, len(c) - 63, 64)) AS i FROM b)
+SELECT doc_id, i AS start, array_to_string(c[i:i + 63], '') AS x, array_to_string(c[i + 1:i + 64], '') AS y FROM s WHERE i <= len(c) - 64""")
+def lm_batches(spark, sf_dir):
+    """Of every document's windows of 64 characters, each 64th: those that a batch without overlaps takes."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", ""), lambda c: c != "").alias("ids"))
+    return lm.windows(rows, 64).where("start % 64 = 1").select("doc_id", F.col("start").cast("long").alias("start"), F.array_join("x", "").alias("x"), F.array_join("y", "").alias("y"))
 
 
 @book("""WITH b AS (SELECT item_id, string_split(text, '') AS c FROM benchmark), s AS (SELECT item_id, c, unnest(range(1, len(c) - 7)) AS i FROM b)
@@ -53,8 +61,7 @@ SELECT item_id, i AS start, array_to_string(c[i:i + 7], '') AS x, array_to_strin
 def lm_examples(spark, sf_dir):
     """Every window of 8 characters of the benchmark's passages with the one that follows."""
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.filter(F.split("text", ""), lambda c: c != "").alias("ids"))
-    spread = rows.select("item_id", F.posexplode(lm.windows(F.col("ids"), 8)).alias("i", "w"))
-    return spread.select("item_id", (F.col("i") + 1).cast("long").alias("start"), F.array_join("w.x", "").alias("x"), F.array_join("w.y", "").alias("y"))
+    return lm.windows(rows, 8).select("item_id", F.col("start").cast("long").alias("start"), F.array_join("x", "").alias("x"), F.array_join("y", "").alias("y"))
 
 
 @book("""WITH l AS (SELECT vec_id, unnest(range(64)) AS token, unnest(CAST(embedding AS DOUBLE[])) / 0.8 AS z FROM embeddings),
@@ -82,8 +89,7 @@ def codec_detect(spark, sf_dir):
 
 @book(f"WITH {_BYTES} SELECT x AS byte, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(v) AS x FROM b) GROUP BY x")
 def byte_histogram(spark, sf_dir):
-    values = codec.byte_values(F.encode("text", "UTF-8"))
-    return table(spark, sf_dir, "documents").select(F.explode(values).alias("byte")).groupBy("byte").agg(F.count("*").alias("n"))
+    return codec.histogram(table(spark, sf_dir, "documents").select(F.encode("text", "UTF-8").alias("data")))
 
 
 @book()
@@ -95,5 +101,5 @@ def codec_roundtrip(spark, sf_dir):
 
 @book("""SELECT CAST(t AS DOUBLE) AS temperature, k AS top_k FROM (VALUES (0.5), (0.8), (1.2)) AS a(t), (VALUES (10), (20), (50)) AS b(k)""")
 def param_grid(spark, sf_dir):
-    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, (0.5, 0.8, 1.2)))).alias("temperature"))
-    return grid.select("temperature", F.explode(F.array(*map(F.lit, (10, 20, 50)))).alias("top_k"))
+    own = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} {'double' if name == 'temperature' else 'int'}")
+    return lm.experiments(own("temperature", (0.5, 0.8, 1.2)), own("top_k", (10, 20, 50)))
