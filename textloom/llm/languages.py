@@ -43,6 +43,8 @@ def _ranges(kinds: str) -> str:
 
 _LETTERS, _MARKS = _ranges("L"), _ranges("M")
 WORD = re.compile(f"[{_LETTERS}][{_LETTERS}{_MARKS}]*")
+#: Bytes of the texts that a worker labels side by side, at least.
+RUN = 1_000_000
 _PLAIN = re.compile("[A-Za-z]+")
 
 
@@ -89,7 +91,7 @@ class Model:
 class Labeller:
     """Keeps the scores of the words it has seen, at most CACHE."""
 
-    CACHE = 1_000_000
+    CACHE = 150_000
 
     def __init__(self, model: Model, switch: float):
         self.m, self.switch = model, switch
@@ -107,8 +109,8 @@ class Labeller:
             new = list(set(words))
         if len(self.at) + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(new)), self.table.shape[1]), np.float32)])
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        for i in range(0, len(new), 5_000):
+            part = new[i : i + 5_000]
             self.table[len(self.at) : len(self.at) + len(part)] = self._score(part)
             self.at.update(zip(part, range(len(self.at), len(self.at) + len(part))))
         return self.table[np.fromiter(map(self.at.__getitem__, words), np.int32, len(words))]
@@ -228,11 +230,10 @@ def label(docs: DataFrame, model: Model, *, switch: float = 6.0, spans: bool = F
 
         labeller, langs = Labeller(sent.value, switch), sent.value.langs
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             out: dict[str, list] = {"lang_pred": [], "score": [], "spans": []}
-            for i, j in runs(texts, 4_000_000):
-                found = [words(t) if t and langs else [] for t in texts[i:j]]
-                for t, own, path in zip(texts[i:j], found, labeller.paths(found) if langs else found):
+            for _, _, texts in runs(batch.column(1), RUN):
+                found = [words(t) if t and langs else [] for t in texts]
+                for t, own, path in zip(texts, found, labeller.paths(found) if langs else found):
                     if not own:
                         out["lang_pred"].append("und")
                         out["score"].append(0.0)
@@ -273,9 +274,9 @@ def accepted(docs: DataFrame, model: Model, *, least: float = 0.4, switch: float
 
         labeller, langs = Labeller(sent.value, switch), sent.value.langs
         for batch in batches:
-            texts, keep = batch.column(at).to_pylist(), []
-            for i, j in runs(texts, 4_000_000):
-                found = [words(t) if t and langs else [] for t in texts[i:j]]
+            keep = []
+            for _, _, texts in runs(batch.column(at), RUN):
+                found = [words(t) if t and langs else [] for t in texts]
                 for own, path in zip(found, labeller.paths(found) if langs else found):
                     share = np.bincount(path, np.fromiter(map(len, own), np.int64, len(own))) if own else np.zeros(1)
                     keep.append(bool(share.max() >= least * share.sum() > 0))

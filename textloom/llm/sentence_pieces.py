@@ -419,10 +419,9 @@ def encode(docs: DataFrame, model: str, *, with_ids: bool = True) -> DataFrame:
 
         c = codec(model)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in runs(texts):
-                ids, sizes = c.encode(texts[i:j])
-                back = [b == (t or "").encode("utf-8", "surrogatepass") for b, t in zip(c.decoded(ids, sizes), texts[i:j])]
+            for i, j, texts in runs(batch.column(1)):
+                ids, sizes = c.encode(texts)
+                back = [b == (t or "").encode("utf-8", "surrogatepass") for b, t in zip(c.decoded(ids, sizes), texts)]
                 view, ends = memoryview(ids).cast("B"), np.cumsum(sizes)
                 spans = list(zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist()))
                 columns = [batch.column(0).slice(i, j - i), pa.array(sizes), pa.array([zlib.crc32(view[a:b]) for a, b in spans], pa.int64()), pa.array(back, pa.bool_())]

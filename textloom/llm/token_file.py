@@ -59,9 +59,9 @@ def blocks(docs: DataFrame, tokenizer: str, *, end_id: int = 0, block_tokens: in
             held = len(ids) - at
 
         for batch in batches:
-            docs, texts = (batch.column(k).to_pylist() for k in (0, 1))
-            for i, j in runs(texts):
-                ids, sizes = enc.encode(texts[i:j], end_id)
+            docs = batch.column(0).to_pylist()
+            for i, j, texts in runs(batch.column(1)):
+                ids, sizes = enc.encode(texts, end_id)
                 held_docs += docs[i:j]
                 held_ids.append(ids)
                 held_sizes.append(sizes)
