@@ -2,15 +2,17 @@
 
 import json
 import random
+import re
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import annotation as A
-from textloom.operators import bpe, codec, corpus, lm, search, trade
-from textloom.sources import files, sinks
+from textloom.operators import bpe, codec, corpus, lm, lotes, ner, report, search, trade
+from textloom.sources import butler, files, sinks
 from textloom.streaming import agent
 
 
@@ -54,22 +56,92 @@ def test_search_prefers_coverage_and_keeps_to_a_chapter(spark):
 
 def test_cover_spans_match_brute_force(spark):
     rng = random.Random(1)
-    docs = [" ".join(rng.choice("abcx") * 3 for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    docs = [" ".join(rng.choice("abcx") * 3 for _ in range(rng.randint(1, 12))) for _ in range(80)]
     rows = search.annotate(passages(spark, *docs))
-    wanted = ["aaa", "bbb", "ccc"]
-    got = {r["id"]: r["span"] for r in search.cover_spans(search.occurrences(rows, wanted), wanted).collect()}
-    for i, d in enumerate(docs):
-        w = d.split()
-        here = set(w) & set(wanted)
-        best = min((j - i0 + 1 for i0 in range(len(w)) for j in range(i0, len(w)) if here <= set(w[i0 : j + 1])), default=None) if len(here) > 1 else None
-        assert got.get(f"P{i}") == best
+    for wanted in (["aaa", "bbb", "ccc"], ["aaa", "bbb"], ["ccc"]):
+        got = {r["id"]: r["span"] for r in rows.select("id", search.cover_span(search.occurrences(F.col("tokens"), wanted), wanted).alias("span")).collect()}
+        for i, d in enumerate(docs):
+            w = d.split()
+            here = set(w) & set(wanted)
+            best = min((j - i0 + 1 for i0 in range(len(w)) for j in range(i0, len(w)) if here <= set(w[i0 : j + 1])), default=None) if len(here) > 1 else None
+            assert got[f"P{i}"] == best
+
+
+def test_tokens_of_a_base_form_are_all_of_them(spark):
+    rng = random.Random(7)
+    ends = ["", "s", "es", "ces", *[e for _, es in T.VERB_ENDINGS for e in es], "ar", "er", "z"]
+    words = sorted({"".join(rng.choice("abcelnorz") for _ in range(rng.randint(1, 5))) + rng.choice(ends) + rng.choice(["", "s", "es"]) for _ in range(4000)} | set(T.STOPWORDS))
+    got = {r["w"]: r["l"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", T.lemma(F.col("w")).alias("l")).collect()}
+    for w in words:
+        assert got[w] == T.lemma_of(w) and w in T.tokens_of(got[w])
+        assert all(T.lemma_of(t) == got[w] for t in T.tokens_of(got[w]))
+
+
+def test_useful_tokens_are_those_of_the_content(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["de", "del", "la", "las", "los", "12", "3x", "casas", "unos", "cantando", "y", "voces"]) for _ in range(rng.randint(0, 6))) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(F.transform(T.useful_tokens(T.normalize(F.col("text"))), T.lemma).alias("a"), T.content(T.lemmas(F.col("text"))).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows)
 
 
 def test_excerpt_marks_the_match(spark):
-    text = "x " * 300 + "dulcinea del toboso" + " y" * 300
+    text = "x " * 300 + "Dulcinea  del Tóboso" + " y" * 300
     found = one(spark, search.excerpt(F.lit(text), "dulcinea del toboso"))
-    assert "[dulcinea del toboso]" in found and found.startswith("... ") and found.endswith(" ...")
-    assert one(spark, search.excerpt(F.lit("en un lugar"), "rocinante")) == "en un lugar"
+    assert "[Dulcinea  del Tóboso]" in found and found.startswith("... ") and found.endswith(" ...") and len(found) == 340 + 2 + 8
+    assert one(spark, search.excerpt(F.lit("En un lugar de la Mancha"), "rocinante")) == "En un lugar de la Mancha"
+    assert one(spark, search.excerpt(F.lit("La sin par Dulcinea del Toboso, dijo"), "dulcinea del toboso")) == "La sin par [Dulcinea del Toboso], dijo"
+    assert one(spark, search.excerpt(F.lit("El Toboso."), "dulcinea del toboso")) == "El [Toboso]."  # a word of the query
+    assert one(spark, search.excerpt(F.lit("¡DULCINÉA!-del ... toboso"), "dulcinea del toboso")) == "¡[DULCINÉA!-del ... toboso]"
+    assert one(spark, search.excerpt(F.lit("Dulcineas"), "dulcinea")) == "Dulcineas"
+    assert one(spark, search.excerpt(F.lit("dulcine\u0301a"), "dulcinea")) == "[dulcine\u0301a]"
+    parts = one(spark, search.marked_parts(F.lit("a [b c] d [e]")))
+    assert [(p["text"], p["marked"]) for p in parts] == [("a ", False), ("b c", True), (" d ", False), ("e", True)]
+
+
+def test_spans_match_a_search_in_the_mapped_text(spark):
+    """Against a character-by-character mapping and Python's own search."""
+    rng = random.Random(4)
+    bits = ["dulcinea", "Dulcinéa", "DEL", "del", "toboso", " ", "  ", ", ", "-", "x", "Ñu", "\u0301", "_", "3"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    mapped = {int(r["id"]): (r["norm"], r["at"]) for r in search.with_mapping(rows).collect()}
+    for query in ("dulcinea del toboso", "del", "nu x"):
+        at, size = search.query_span(F.col("text"), query)
+        for r in rows.select("id", "text", at.alias("at"), size.alias("size")).collect():
+            norm, places = mapped[r["id"]]
+            hit = next((m for q in [query, *query.split()] if (m := re.search(rf"(?<!\w){re.escape(q)}(?!\w)", norm))), None)
+            want = (places[hit.start()] + 1, places[hit.end() - 1] + 1) if hit else (0, 0)
+            assert (r["at"], r["at"] + r["size"] - 1 if r["at"] else 0) == want, r["text"]
+
+
+def test_search_over_the_index_is_the_search_of_the_texts(spark, tmp_path):
+    rng = random.Random(3)
+    bits = ["molino", "molinos", "de", "viento", "el", "cantaba", "cantar", "Sancho", "la", "vientos", "12"]
+    rows = passages(spark, *[" ".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(60)], chapters={i: f"Capitulo {i % 3}" for i in range(60)}).withColumn("part", F.lit(None).cast("string"))
+    sinks.save_index(rows, str(tmp_path / "i"), "v")
+    kept, post, df = sinks.load_index(spark, str(tmp_path / "i"))
+    for query in ("molino de viento", "cantar", "el de la", "nada", "sancho sancho viento"):
+        for chapter in (None, "capitulo 1"):
+            a = [tuple(r) for r in search.classic(rows, query, limit=None, chapter=chapter).orderBy("ord").collect()]
+            b = [tuple(r) for r in search.indexed(kept, post, df, query, limit=None, chapter=chapter).orderBy("ord").collect()]
+            assert [(x[0], round(x[2], 9), *x[3:]) for x in a] == [(x[0], round(x[2], 9), *x[3:]) for x in b]
+    own = post.where(F.col("bucket").isin(*{r[0] for r in spark.createDataFrame([("molino",)], "t string").select(search.bucket(F.col("t"))).collect()}))
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:80]
+    assert sinks.is_current(spark, str(tmp_path / "i"), "v", embedded=True)
+    with pytest.raises(ValueError, match="no part of an index"):
+        df.write.parquet(str(tmp_path / "j/passages"))
+        sinks.load_index(spark, str(tmp_path / "j"))
+
+
+def test_answers_draw_on_both_searches(spark):
+    rows = search.embedded(search.annotate(passages(spark, "Dulcinea era la dama de don Quijote", "Sancho comia pan", "El molino y el viento")))
+    asked = []
+    said = search.answered(rows, "dulcinea", lambda prompt: asked.append(prompt) or " Una dama. ")
+    assert said.startswith("Una dama.\n\nReferencias:\n- Pasaje [P0]") and "TEXTO: Dulcinea era" in asked[0] and "dulcinea\n" in asked[0]
+    assert search.answered(rows, "dulcinea", lambda prompt: 1 / 0).startswith(search.FAILED)
+    failing = search.embedded(search.annotate(passages(spark, "uno", "dos")), lambda texts: [[1.0]] if texts == ["uno"] else 1 / 0)
+    assert [r["embedding"] for r in failing.orderBy("ord").collect()] == [[1.0], None]
 
 
 def test_passages_overlap_and_keep_to_the_book(spark):
@@ -87,6 +159,92 @@ def test_split_unit_and_chunk():
     assert corpus.chunk([], 1) == [] and corpus.chunk(["a " * 30] * 6, 20)[0].split() == ["a"] * 120
 
 
+def test_overlap_chunks_match_a_model(spark):
+    """Passages of a text, against the rules stated over lists."""
+    rng = random.Random(6)
+
+    def model(units, least):
+        out, start = [], 0
+        while start < len(units):
+            end = start + 1
+            while end < len(units) and sum(len(u) for u in units[start:end]) < 120:
+                end += 1
+            words = [w for u in units[start:end] for w in u]
+            out += [" ".join(p) for p in (words[i : i + 140] for i in range(0, len(words), 140)) if len(p) >= least]
+            if end == len(units):
+                return out
+            back = end
+            while back > start and sum(len(u) for u in units[back:end]) < 35:
+                back -= 1
+            start = max(back, start + 1)
+        return out
+
+    for _ in range(200):
+        units = [[f"w{rng.randint(0, 9)}" for _ in range(rng.randint(1, rng.choice([10, 60, 200])))] for _ in range(rng.randint(0, 12))]
+        assert corpus.chunk([" ".join(u) for u in units], 20) == model(units, 20)
+
+
+def test_votes_of_many_and_agreement(spark):
+    votes = [(1, 0, 1, "pi"), (1, 0, 2, "li"), (1, 0, 3, "li"), (1, 1, 1, "li"), (1, 1, 2, "pi"), (1, 1, 3, "o"), (1, 2, 1, "o"), (1, 2, 2, "o"), (1, 2, 3, "ps"), (1, 3, 1, ""), (1, 3, 2, "x"), (1, 3, 3, "o"), (2, 0, 1, "pi")]
+    rows = spark.createDataFrame(votes, "sentence long, pos int, annotator int, label string")
+    assert [r["label"] for r in A.merged_votes(rows).orderBy("sentence", "pos").collect()] == ["li", "lc", "pi", "o", "pi"]
+    got = {r["sentence"]: r["agreement"] for r in A.agreement(rows.where("annotator < 3")).collect()}
+    assert got == {1: 0.5, 2: 1.0}
+    assert {r["agreement"] for r in A.agreement(rows).collect()} == {1.0}
+
+
+def test_lots_of_annotated_sentences(spark, tmp_path):
+    def records(file, units):
+        return [(file, i, t, v) for i, (t, v) in enumerate(units)]
+
+    first = [("ana", "pi"), (" ", ""), ("va", "o"), (".", "o"), (" ", ""), ("dijo", "o"), (" ", ""), ("\"", "o"), ("no", "o"), ("\"", "o")]
+    second = [("ana", "pi"), (" ", "o"), ("va", "li"), (".", "o"), (" ", ""), ("dijo", "o"), (" ", ""), ("“", "o"), ("no", "o"), ("”", "o")]
+    rows = spark.createDataFrame(records(1, first) + records(2, second), "file int, pos int, clave string, valor string")
+    sentences = spark.createDataFrame([(0, "Ana va."), (1, "dijo \"no\""), (2, "falta"), (3, "sola")], "sentence long, text string")
+    files = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (1, 1, 1), (2, 1, 1), (1, 2, 2), (3, 0, 2), (1, 3, 3)], "file int, slot int, sentence long")
+    found = lotes.annotations(rows, sentences, files)
+    states = lotes.pairs(found, files)
+    assert {r["sentence"]: r["state"] for r in states.collect()} == {0: "merged", 1: "merged", 2: "unlabeled", 3: "no pair"}
+    both = lotes.side_by_side(found, states)
+    got = {r["sentence"]: r for r in lotes.details(both).collect()}
+    assert got[0]["n"] == 4 and got[0]["agreement"] == 0.75 and got[0]["disagreements"] == 1 and got[1]["kappa"] == 1.0
+    merged = {r["sentence"]: r for r in lotes.merged(both).collect()}
+    assert merged[0]["labels"] == ["pi", "o", "li", "o"] and merged[0]["text"] == "ana va."
+    total = {r["lote"]: r for r in lotes.report({"x": (states, lotes.details(both))}).collect()}
+    assert total[None]["merged"] == 2 and total["x"]["no_pair"] == 1 and total["x"]["unlabeled"] == 1
+    assert {r["sentence"] for r in lotes.labelled(found).select("sentence").collect()} == {0}
+    assert [r["sentence"] for r in lotes.union([sentences, sentences], [4, 4]).orderBy("sentence").collect()] == list(range(8))
+    assert one_row(lotes.coverage(rows.where("file = 1")))["entity_pct"] == round(100 * 3 / 17, 2)
+    assert one(spark, lotes.char_labels(F.array(F.lit("ab"), F.lit("c")), F.array(F.lit("x"), F.lit("y")))) == ["x", "x", "y"]
+    page = report.page(report.tables(both.withColumn("lote", F.lit("x")), lotes.coverage(rows)))
+    assert "<svg" in page and "rgba(" in page and "coverage" in page
+    slim = spark.createDataFrame([(1, "Ana va", ["Ana", " ", "va"], ["pi", "o", "o"]), (2, " ", [" "], ["o"]), (3, "Y", ["Y"], ["lc"])], "frase_id int, text string, tokens array<string>, labels array<string>")
+    sinks.write_conll(slim, str(tmp_path / "c"), one_file=True)
+    assert next((tmp_path / "c").glob("part-*")).read_text() == "Ana B-PER\nva O\n\nY I-LOC\n"
+    assert one_row(lotes.conll_statistics(slim)).asDict() == {"sentences": 3, "source_tokens": 5, "written_tokens": 3, "blank_tokens": 2, "entity_tokens": 2, "o": 3, "b_per": 1, "i_per": 0, "b_loc": 0, "i_loc": 1}
+    sinks.write_metrics(lotes.conll_statistics(slim), str(tmp_path / "m"))
+    assert json.loads(next((tmp_path / "m").glob("part-*")).read_text())["sentences"] == 3
+
+
+def one_row(df):
+    (row,) = df.collect()
+    return row
+
+
+def test_templates_for_annotators(spark, tmp_path):
+    texts = spark.createDataFrame([("a", ". ".join(f"frase numero {i} de prueba" for i in range(40)))], "path string, text string")
+    sentences, files, made = lotes.made(texts, files=4, each=6, least=4, seed=1)
+    assert sentences.count() == 12 and files.groupBy("sentence").count().where("count <> 2").isEmpty()
+    assert {r["n"] for r in made.select(F.size(F.filter("records", lambda r: r["clave"] == "frase")).alias("n")).collect()} == {6}
+    sinks.write_templates(made, sentences, files, str(tmp_path / "t"))
+    got = json.loads(next((tmp_path / "t/assignments").glob("part-*")).read_text())
+    assert len(got["frases"]) == 12 and [len(x) for x in got["asignaciones"]] == [6] * 4
+    with pytest.raises(ValueError, match="are needed"):
+        lotes.made(texts, files=40, each=6, least=4, seed=1)
+    with pytest.raises(ValueError, match="even"):
+        lotes.made(texts, files=3, each=3, least=4, seed=1)
+
+
 def test_kappa_and_merge(spark):
     same = spark.createDataFrame([("s", 1, 1)] * 3, "g string, a int, b int")
     assert A.kappa(same, ["g"]).first()["kappa"] == 1.0
@@ -191,17 +349,183 @@ def test_conll_lines(spark):
 def test_agent_stream(spark, tmp_path):
     schema = "letter string, sender string, subject string, body string, at timestamp"
     rows = [
-        ("1", "eva", "", '[OFERTA_V1] quiero={"oro": 1} ofrezco={"trigo": 1}', "2024-01-01 00:00:00"),
+        ("1", "eva", "", '[OFERTA_V1] quiero={"Oros": 1} ofrezco={"trigo": 1}', "2024-01-01 00:00:00"),
         ("2", "eva", "", "hola", "2024-01-01 00:01:00"),
         ("3", "eva", "", "hola", "2024-01-01 00:04:00"),
-        ("4", "eva", "", "vale, hecho", "2024-01-01 00:05:00"),
+        ("4", "eva", "Válé", "¡Hecho!", "2024-01-01 00:05:00"),
         ("5", "sistema", "", "aviso", "2024-01-01 00:00:00"),
+        ("6", " YO", "", "hola", "2024-01-01 00:00:00"),
+        ("7", "ana", "", "hola", "2024-01-01 00:00:00"),
+        ("8", "ana", "", "t r i g o", "2024-01-01 00:02:00"),
+        ("9", "luz", "", "hola", "2024-01-01 00:00:00"),
+        ("10", "luz", "", "vale", "2024-01-01 00:16:00"),
     ]
-    spark.createDataFrame(rows, "letter string, sender string, subject string, body string, at string").write.json(str(tmp_path / "in"))
-    q = agent.run(spark.readStream.schema(schema).json(str(tmp_path / "in")), ["oro"], ["trigo"]).writeStream.format("memory").queryName("answers").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r["letter"]: r["outcome"] for r in spark.table("answers").collect()}
-    assert got == {"1": "accepted", "2": "waiting", "3": "offered", "4": "confirmed"}
+    got = {}
+    for batch in (rows, [("1", "eva", "", "vale", "2024-01-01 00:20:00")]):  # an id that comes again isn't answered again
+        spark.createDataFrame(batch, "letter string, sender string, subject string, body string, at string").write.mode("append").json(str(tmp_path / "in"))
+        q = agent.run(spark.readStream.schema(schema).json(str(tmp_path / "in")), ["oro"], ["Trigo"], "yo").writeStream.foreachBatch(lambda df, _: got.update({r["letter"]: r["outcome"] for r in df.collect()})).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    assert got == {"1": "accepted", "2": "waiting", "3": "offered", "4": "confirmed", "7": "offered", "8": "confirmed", "9": "offered", "10": "offered"}
+
+
+class Server:
+    """A server that notes what it is told."""
+
+    def __init__(self, have, goal, inbox, people=("Ana", "Yo")):
+        self.have, self.goal, self.inbox, self.names, self.said, self.fails = have, goal, dict(inbox), people, [], False
+
+    def info(self):
+        return None if self.fails else (self.have, self.goal, "Yo", self.inbox)
+
+    def people(self):
+        return list(self.names)
+
+    def send_letter(self, sender, to, subject, body):
+        self.said.append(("letter", to, subject, body))
+        return True
+
+    def send_goods(self, sender, to, goods):
+        self.said.append(("goods", to, goods))
+        return True
+
+    def remove(self, letter):
+        self.inbox.pop(letter, None)
+        return True
+
+
+def test_agent_turns(spark):
+    def letter(i, who, body):
+        return i, {"id": i, "remi": who, "asunto": "", "cuerpo": body}
+
+    class Draw(random.Random):
+        def random(self):
+            return 0.9  # no offer where there is mail
+
+    now = [1000.0]
+    server = Server({"oro": 3, "trigo": 0}, {"oro": 1, "trigo": 2}, [letter("a", "Ana", "te doy 1 trigo a cambio de 1 oros"), letter("b", "Ana", "te doy 1 trigo a cambio de 1 oro")])
+    a = agent.Agent(spark, server, draw=Draw(1), clock=lambda: now[0], sleep=lambda s: None)
+    assert a.turn() == "accepted" and server.said[0] == ("goods", "Ana", {"oro": 1}) and "envíame 1 de trigo" in server.said[1][3] and list(server.inbox) == ["b"]
+    server.inbox["c"] = letter("c", "sistema", "aviso")[1]
+    assert a.turn() == "accepted" and a.turn() == "passed over" and not server.inbox
+    server.said.clear()
+    assert a.turn() == "no letter" and server.said[0][1:3] == ("Ana", "Propuesta 1x1") and a.pending["Ana"][:2] == ("oro", "trigo")
+    a.turn()
+    assert len(server.said) == 1  # the cooldown
+    server.inbox |= dict([letter("d", "Eva", "hola"), letter("e", "Ana", "VALE, recibido")])
+    assert a.turn() == "confirmed" and list(server.inbox) == ["d"] and not a.pending  # the confirmation goes first
+    assert a.turn() == "declined"
+    now[0] += 200
+    a.turn()
+    server.have = {"oro": 1, "trigo": 0}
+    server.inbox |= dict([letter("f", "Ana", "hecho")])
+    assert a.turn() == "no longer over" and "Ana" in a.pending  # and removed all the same
+    now[0] += 901
+    server.inbox |= dict([letter("g", "Ana", "hecho")])
+    assert a.turn() == "declined" and not a.pending  # it has lapsed
+    server.inbox |= dict([letter("h", "yo", "hola"), letter("i", "Ana", "hola")])
+    assert a.turn() == a.turn() == "own letter" and list(server.inbox) == ["h", "i"]
+    server.inbox = dict([letter("j", "Ana", "algo raro")])
+    server.have = {"oro": 3}
+    a.reader = lambda body: (["Oro"], ["trigo"])
+    assert a.turn() == "accepted"
+    server.fails, slept = True, []
+    a.sleep = slept.append
+    assert a.turn() is None
+    a.run(1)
+    assert slept == [2]
+
+
+def test_server_client():
+    import http.server
+    import threading
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append((self.command, self.path, self.rfile.read(int(self.headers.get("Content-Length") or 0)).decode()))
+            body = {"/info": {"Recursos": {"oro": 1}, "Objetivo": {}, "Alias": ["", " Yo "], "Buzon": {}}, "/gente": [{"alias": "Ana"}, {}, "x"]}.get(self.path.split("?")[0])
+            self.send_response(200 if body is not None or self.command != "GET" else 500)
+            self.end_headers()
+            self.wfile.write(json.dumps(body if body is not None else {}).encode())
+
+        do_POST = do_DELETE = do_GET
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    b = butler.Butler(f"http://127.0.0.1:{server.server_port}/", "yo")
+    assert b.info() == ({"oro": 1}, {}, "Yo", {}) and b.people() == ["Ana"]
+    assert b.send_letter("Yo", "Ana", "s", "ñ") and not b.send_letter("Yo", " yo ", "s", "b") and not b.send_goods("Yo", "YO", {"oro": 1})
+    assert b.send_goods("Yo", "Ana Luz", {"oro": 1}) and b.remove("7")
+    assert [s[:2] for s in seen[2:]] == [("POST", "/carta?agente=yo"), ("POST", "/paquete/Ana%20Luz?agente=yo"), ("DELETE", "/mail/7?agente=yo")]
+    assert json.loads(seen[2][2])["cuerpo"] == "ñ"
+    server.shutdown(), server.server_close()
+    assert b.info() is None and b.people() == [] and not b.send_letter("a", "b", "", "")
+
+
+@pytest.mark.parametrize(("info", "alias"), [({"Alias": " Yo "}, "Yo"), ({"Alias": ["", " ", "Ana"]}, "Ana"), ({"Alias": []}, "Desconocido"), ({"Alias": ""}, "Desconocido"), ({}, "Desconocido"), ({"Alias": None}, "Desconocido")])
+def test_own_alias(spark, info, alias):
+    assert one(spark, T.own_alias(F.lit(json.dumps(info)))) == alias == butler.alias_of(info)
+    assert one(spark, T.same_alias(F.lit(" ANA"), F.lit("ana "))) and not one(spark, T.same_alias(F.lit("ana"), F.lit(None).cast("string")))
+
+
+def test_word_labels_and_entities(spark):
+    def label(*tags):
+        return one(spark, ner.word_label(F.array(*map(F.lit, tags))))
+
+    assert label("O", "B-PER", "I-LOC", "I-LOC") == "B-LOC" and label("I-LOC", "B-PER") == "B-LOC" and label("O") == "O"
+    words = ["Alice", "the", "Queen", "queen", "bob", "...", "Bob", "garden"]
+    tags = ["O", "B-PER", "O", "O", "B-PER", "B-PER", "B-PER", "B-PER"]
+    rows = spark.createDataFrame(list(zip(range(8), words, tags)), "i int, w string, l string")
+    assert [r["x"] for r in rows.orderBy("i").select(ner.refined(F.col("w"), F.col("l")).alias("x")).collect()] == ["B-PER", "O", "B-PER", "O", "O", "O", "B-PER", "B-LOC"]
+    got = one(spark, ner.grouped(F.array(*map(F.lit, "abcdef")), F.array(*map(F.lit, ["B-PER", "B-PER", "O", "B-PER", "B-LOC", "I-LOC"]))))
+    assert [(e["text"], e["type"]) for e in got] == [("a b", "PER"), ("d", "PER"), ("e f", "LOC")]
+
+
+def test_alignment_and_tagging(spark):
+    tok = bpe.Bpe(("\n", " ", *"abcdefghijklmnopqrstuvwxyz"), (("t", "h", "\U000f0000"), ("\U000f0000", "e", "\U000f0001")))
+    rows = spark.createDataFrame([(1, ["the", "cat", ""], ["B-PER", "I-LOC", "O"]), (2, [], []), (3, ["abcde"] * 5, ["B-LOC"] * 5)], "id long, words array<string>, labels array<string>")
+    got = {r["id"]: r for r in rows.select("id", ner.aligned(F.col("words"), F.col("labels"), tok).alias("a"), ner.word_spans(F.col("words"), tok).alias("s"), ner.explained(F.col("words"), F.col("labels"), tok).alias("e"), ner.aligned(F.col("words"), F.col("labels"), tok, 3).alias("cut")).collect()}
+    assert got[1]["a"]["labels"] == ["B-PER", "O", "I-LOC", "I-LOC", "I-LOC", "O"] and [tuple(x) for x in got[1]["s"]] == [(0, 1), (2, 5), (6, 6)]
+    assert got[1]["e"][1] == "cat             I-LOC  -> c/I-LOC  a/I-LOC  t/I-LOC" and got[2]["a"]["tokens"] == []
+    assert got[3]["a"]["labels"][:7] == ["B-LOC", *["I-LOC"] * 4, "O", "B-LOC"] and got[3]["cut"]["labels"] == ["B-LOC", "I-LOC", "I-LOC"]
+    assert one(spark, ner.padded(ner.label_ids(F.array(F.lit("O"), F.lit("I-LOC"))), F.lit(4), ner.PAD)) == [0, 4, -100, -100]
+    tagger = ner.Tagger.random(len(tok.vocabulary), 12, 8, 2, 1, seed=3)
+    out = {r["id"]: r for r in ner.tagged(rows, tok, tagger).collect()}
+    assert len(out[1]["labels"]) == 3 and out[2]["entities"] == [] and out[3]["labels"][:2] == ["O", "O"]  # only the last 12 subtokens are seen
+    ids = [3, 4, 5, 1, 6]
+    assert np.allclose(tagger.loss(ids, [0, 1, -100, 2, 0]), np.mean([-np.log(np.exp(z)[y] / np.exp(z).sum()) for z, y in zip(tagger.logits(ids), [0, 1, -100, 2, 0]) if y >= 0]))
+    assert tagger.loss(ids, [-100] * 5) == 0.0
+    with pytest.raises(ValueError, match="at most 12"):
+        tagger.logits([0] * 13)
+
+
+def test_generation_and_windows(spark):
+    model = lm.Transformer.random(11, 6, 8, 2, 2, seed=1)
+    rows = spark.createDataFrame([(1, [1, 2, 3]), (2, [4])], "id long, ids array<int>")
+    a, b = (sorted(map(str, lm.generated(rows.repartition(n), model, 5, k=3, seed=7).collect())) for n in (1, 3))
+    assert a == b and all(len(r["ids"]) == 5 for r in lm.generated(rows, model, 5).collect())
+    z = model.logits([1, 2, 3])
+    assert np.allclose(z[:2], model.logits([1, 2])) and np.isclose(model.loss([1, 2, 3]), -np.mean([np.log(np.exp(z[i])[y] / np.exp(z[i]).sum()) for i, y in enumerate((2, 3))]))
+    got = lm.windows(rows, 2).orderBy("id", "start").collect()
+    assert [(r["id"], r["start"], r["x"], r["y"]) for r in got] == [(1, 1, [1, 2], [2, 3])]
+    assert lm.as_markdown([(0.5, "a|b\nc")], ["t", "text"]) == "| t | text |\n|-|-|\n| 0.5 | a\\|b c |\n"
+
+
+def test_interactive_search(spark, tmp_path):
+    from textloom import cli
+
+    (tmp_path / "p.html").write_text("<h3>Capitulo I</h3>" + "".join(f"<p>{'molino viento ' * 15} parrafo {i}</p>" for i in range(5)))
+    found = cli.Searcher(spark, str(tmp_path / "p.html"), None, 20)
+    lines, said = iter(["/help", "/limit 2", "/chapter uno", "molino", "/chapter off", "/mode rag", "molino", "/mode semantic", "viento", "/mode x", "...", "/stats", "salir"]), []
+    cli.interactive(found, lambda _: next(lines), said.append)
+    assert sum("excerpt" in s for s in said) >= 4 and any("not understood: /mode x" in s for s in said) and any("passages" in s for s in said)
+    assert list(lines) == []
+    with pytest.raises(FileNotFoundError, match="no source"):
+        cli.Searcher(spark, str(tmp_path / "none.html"), None, 20)
 
 
 def test_cooldown_is_sequential(spark):
@@ -225,9 +549,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["encode", str(tmp_path / "t.txt")]) == 0
     assert capsys.readouterr().out.strip() == "1821" + "0b" + "2821" + "0b" + "1f281a1425"
     (tmp_path / "p.html").write_text("<h3>Capitulo I</h3>" + "".join(f"<p>{'molino viento ' * 15} parrafo {i}</p>" for i in range(5)))
-    assert cli.main(["search", str(tmp_path / "p.html"), "molino", "--index", str(tmp_path / "i"), "--min-words", "20"]) == 0
+    assert cli.main(["search", "molino", "--source", str(tmp_path / "p.html"), "--index", str(tmp_path / "i"), "--min-words", "20"]) == 0
     assert "[" in capsys.readouterr().out
-    assert cli.main(["stats", str(tmp_path / "p.html"), "--index", str(tmp_path / "i"), "--min-words", "20"]) == 0
+    assert cli.main(["stats", "--source", str(tmp_path / "p.html"), "--index", str(tmp_path / "i"), "--min-words", "20"]) == 0
 
 
 def test_front_matter_names_a_chapter_until_the_first(spark):

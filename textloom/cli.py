@@ -4,38 +4,113 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import bpe, codec, corpus, search
+from .functions.text import simple_tokens
+from .operators import annotation, bpe, codec, corpus, lm, lotes, ner, report, search
 from .session import session
 from .sources import files, sinks
+from .sources.butler import Butler
+from .streaming.agent import Agent
 
+#: Ways to search, and words that end an interactive run (fixed values).
+MODES, EXITS = ("classic", "semantic", "rag"), {"exit", "quit", "salir", "q"}
+NO_CHAPTER = "Sin capítulo detectado"
 
-def _passages(spark, source: str, index: str | None, least: int):
-    """Passages of a source, from the index where it is current, which is built where it isn't."""
-    made_of = sinks.manifest(spark.read.format("binaryFile").load(source), min_words=least)
-    if index and sinks.is_current(spark, index, made_of):
-        return sinks.load_index(spark, index)[0]
-    pages = files.html(spark, source).select(F.xxhash64("path").alias("id"), "html")
-    found = corpus.passages(corpus.html_blocks(pages), least=least)
-    rows = found.select(F.format_string("P%06d", "ord").alias("id"), "ord", "chapter", "part", "text")
-    if index:
-        sinks.save_index(rows, index, made_of)
-        return sinks.load_index(spark, index)[0]
-    return rows
 
+class Searcher:
+    """Passages of a source, from an index where one is wanted and current, which is built where it isn't."""
 
-def main(argv: list[str] | None = None) -> int:
+    def __init__(self, spark: SparkSession, source: str | None, index: str | None, least: int, rebuild: bool = False):
+        self.spark, self.tables = spark, None
+        source = files.resolve(spark, source)
+        made_of = sinks.manifest(spark.read.format("binaryFile").load(source), min_words=least)
+        if index and not rebuild and sinks.is_current(spark, index, made_of, embedded=True):
+            self.tables = sinks.load_index(spark, index)
+        else:
+            pages = files.html(spark, source).select(F.xxhash64("path").alias("id"), "html")
+            found = corpus.passages(corpus.html_blocks(pages), least=least)
+            rows = found.select(F.format_string("P%06d", "ord").alias("id"), "ord", "chapter", "part", "text")
+            if rows.isEmpty():
+                raise ValueError(f"no passage in {source}")
+            if index:
+                sinks.save_index(rows, index, made_of)
+                self.tables = sinks.load_index(spark, index)
+        self.passages = self.tables[0] if self.tables else search.embedded(search.annotate(rows))
+
+    def find(self, query: str, mode: str, limit: int, chapter: str | None) -> DataFrame:
+        if mode == "rag":
+            best = search.rag(self.passages, query, limit=limit, chapter=chapter)
+            return best.join(self.passages.select("id", "ord"), "id")
+        if mode == "semantic":
+            whole = search.analyze(self.spark, query)[0]
+            return search.semantic(search.in_chapter(self.passages, chapter), search.hashed([whole])[0] or [0.0], limit=limit)
+        if self.tables:
+            return search.indexed(*self.tables, query, limit=limit, chapter=chapter)
+        return search.classic(self.passages, query, limit=limit, chapter=chapter)
+
+    def shown(self, query: str, mode: str, limit: int, chapter: str | None, most: int) -> list[str]:
+        whole = search.analyze(self.spark, query)[0]
+        best = self.find(query, mode, limit, chapter).join(self.passages.select("id", "chapter", "text"), "id")
+        return best.withColumn("excerpt", search.excerpt(F.col("text"), whole, most)).drop("text").orderBy(F.desc("score"), "ord").toJSON().collect()
+
+    def stats(self) -> DataFrame:
+        return self.passages.agg(F.count("*").alias("passages"), F.avg(F.size(F.split("text", " "))).alias("mean_words"), F.countDistinct("chapter").alias("chapters"), F.countDistinct("part").alias("parts"))
+
+    def chapters(self, limit: int = 20) -> DataFrame:
+        return self.passages.groupBy(F.coalesce("chapter", F.lit(NO_CHAPTER)).alias("chapter")).agg(F.count("*").alias("n"), F.min("ord").alias("first")).orderBy(F.desc("n"), "first").limit(limit)
+
+
+def interactive(found: Searcher, read=input, say=print) -> None:
+    """Queries and commands, line by line: /help, /stats, /limit N, /chapter X or off, /mode M, and a word that ends it."""
+    limit, chapter, mode = 5, None, "classic"
+    while True:
+        try:
+            line = read("> ").strip()
+        except EOFError:
+            return
+        name, _, rest = line.partition(" ")
+        rest = rest.strip()
+        if line.lower() in EXITS:
+            return
+        if not line:
+            continue
+        if name == "/help":
+            say("/stats, /limit N, /chapter X or off, /mode " + "|".join(MODES) + ", " + ", ".join(sorted(EXITS)))
+        elif name == "/stats":
+            say(found.stats().toJSON().first())
+        elif name == "/limit" and rest.isdigit() and 1 <= int(rest) <= 100:
+            limit = int(rest)
+        elif name == "/chapter" and rest:
+            chapter = None if rest.lower() == "off" else rest
+        elif name == "/mode" and rest in MODES:
+            mode = rest
+        elif name.startswith("/"):
+            say(f"not understood: {line}")
+        else:
+            try:
+                for row in found.shown(line, mode, limit, chapter, 340):
+                    say(row)
+            except ValueError as e:
+                say(str(e))
+
+
+def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="textloom")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("index", "search", "stats", "chapters"):
+    for name in ("index", "search", "stats", "chapters", "interactive"):
         s = sub.add_parser(name)
-        s.add_argument("source")
+        s.add_argument("--source")
         s.add_argument("--index")
         s.add_argument("--min-words", type=int, default=45)
+        s.add_argument("--rebuild", "--force", action="store_true")
+        s.add_argument("--no-cache", action="store_true")
         if name == "search":
             s.add_argument("query")
+            s.add_argument("--mode", choices=MODES, default="classic")
             s.add_argument("--limit", type=int, default=5, choices=range(1, 101), metavar="1..100")
             s.add_argument("--chapter")
             s.add_argument("--max-chars", type=int, default=340, choices=range(120, 1201), metavar="120..1200")
@@ -43,31 +118,69 @@ def main(argv: list[str] | None = None) -> int:
         s = sub.add_parser(name)
         s.add_argument("file")
         s.add_argument("--variant", choices=("lenient", "strict"), default="strict")
-    s = sub.add_parser("analyze-bpe")
+    for name in ("analyze-bpe", "ner"):
+        s = sub.add_parser(name)
+        s.add_argument("folder")
+        s.add_argument("--text")
+        s.add_argument("--file")
+        s.add_argument("--size", type=int, default=300)
+    s = sub.add_parser("experiment-generate")
     s.add_argument("folder")
-    s.add_argument("text")
+    s.add_argument("prompt")
     s.add_argument("--size", type=int, default=300)
+    s.add_argument("--count", type=int, default=20)
+    s = sub.add_parser("prepare-ner-data")
+    s.add_argument("merged")
+    s.add_argument("output")
+    s = sub.add_parser("eval-ner")
+    s.add_argument("predicted")
+    s.add_argument("gold")
+    s = sub.add_parser("report")
+    s.add_argument("annotations")
+    s.add_argument("assignments", nargs="+", help="of part 1, part 2, ...")
+    s.add_argument("--output", required=True)
+    s = sub.add_parser("templates")
+    s.add_argument("folder")
+    s.add_argument("output")
+    s.add_argument("--files", type=int, default=13)
+    s.add_argument("--each", type=int, default=6)
+    s.add_argument("--min-words", type=int, default=20)
+    s.add_argument("--seed", type=int, default=46)
+    s = sub.add_parser("agent")
+    s.add_argument("--turns", type=int)
+    return p
+
+
+def _one_of(p: argparse.ArgumentParser, spark: SparkSession, a: argparse.Namespace) -> str:
+    if (a.text is None) == (a.file is None):
+        p.error("give one of --text and --file")
+    return a.text if a.text is not None else spark.read.text(a.file, wholetext=True).first()["value"]
+
+
+def _trained(spark: SparkSession, folder: str, size: int) -> bpe.Bpe:
+    return bpe.train(files.corpus(spark, folder).select(F.col("path").alias("id"), "text"), size)
+
+
+def main(argv: list[str] | None = None) -> int:
+    p = _parser()
     a = p.parse_args(argv)
     spark = session()
 
-    def show(df) -> None:
+    def show(df: DataFrame) -> None:
         for row in df.toJSON().collect():
             print(row)
 
-    if a.command in ("index", "search", "stats", "chapters"):
-        rows = _passages(spark, a.source, a.index, a.min_words)
+    if a.command in ("index", "search", "stats", "chapters", "interactive"):
+        found = Searcher(spark, a.source, None if a.no_cache else a.index, a.min_words, a.rebuild)
         if a.command == "index":
-            print(json.dumps({"passages": rows.count()}))
+            print(json.dumps({"passages": found.passages.count()}))
         elif a.command == "search":
-            best = search.classic(rows, a.query, limit=a.limit, chapter=a.chapter)
-            whole, _, _ = search.analyze(spark, a.query)
-            from .functions.text import normalize
-
-            show(best.join(rows.select("id", "chapter", "text"), "id").withColumn("excerpt", search.excerpt(normalize(F.col("text")), whole, a.max_chars)).drop("text").orderBy(F.desc("score"), "ord"))
-        elif a.command == "stats":
-            show(rows.agg(F.count("*").alias("passages"), F.avg(F.size(F.split("text", " "))).alias("mean_words"), F.countDistinct("chapter").alias("chapters"), F.countDistinct("part").alias("parts")))
+            for row in found.shown(a.query, a.mode, a.limit, a.chapter, a.max_chars):
+                print(row)
+        elif a.command == "interactive":
+            interactive(found)
         else:
-            show(rows.groupBy(F.coalesce("chapter", F.lit("Sin capítulo detectado")).alias("chapter")).agg(F.count("*").alias("n"), F.min("ord").alias("first")).orderBy(F.desc("n"), "first").limit(20))
+            show(found.stats() if a.command == "stats" else found.chapters())
     elif a.command == "detect":
         show(files.binary(spark, a.file).select("path", (100 * codec.detect(F.col("data"), a.variant)).alias("percent")))
     elif a.command == "encode":
@@ -75,11 +188,36 @@ def main(argv: list[str] | None = None) -> int:
         print(codec.Codec.of(a.variant).encode(text).hex())
     elif a.command == "decode":
         print(codec.Codec.of(a.variant).decode(bytes(files.binary(spark, a.file).first()["data"])), end="")
+    elif a.command == "analyze-bpe":
+        text = _one_of(p, spark, a)
+        print(json.dumps(bpe.analysis(spark, _trained(spark, a.folder, a.size), text), ensure_ascii=False))
+    elif a.command == "ner":
+        text = _one_of(p, spark, a)
+        words = spark.createDataFrame([(0, text)], "id long, text string").select("id", simple_tokens(F.col("text")).alias("words"))
+        tok = _trained(spark, a.folder, a.size)
+        tagger = ner.Tagger.random(len(tok.vocabulary), 128, 32, 4, 2)  # no trained weights come with this package
+        show(ner.tagged(words, tok, tagger).select(F.explode("entities").alias("e")).select("e.*"))
+    elif a.command == "experiment-generate":
+        tok = _trained(spark, a.folder, a.size)
+        model = lm.Transformer.random(len(tok.vocabulary), 128, 32, 4, 2)
+        grid = lm.experiments(spark.createDataFrame([(t,) for t in (0.5, 0.8, 1.2)], "temperature double"), spark.createDataFrame([(k,) for k in (10, 20, 50)], "top_k int")).orderBy("temperature", "top_k").collect()
+        prompt = spark.range(1).select(tok.ids(tok.encode(F.lit(a.prompt))).alias("ids")).first()["ids"]
+        rows = [(r["temperature"], r["top_k"], "".join(tok.vocabulary[i] for i in model.generate(prompt, a.count, temperature=r["temperature"], k=r["top_k"]))) for r in grid]
+        print(lm.as_markdown(rows, ["temperature", "top_k", "text"]), end="")
+    elif a.command == "prepare-ner-data":
+        rows = files.merged(spark, a.merged)
+        sinks.write_conll(rows, a.output, one_file=True)
+        show(lotes.conll_statistics(rows))
+    elif a.command == "eval-ner":
+        sides = [annotation.entities(files.conll(spark, x).select(F.struct("path", "sentence")["sentence"].alias("sentence"), "pos", F.col("label").alias("tag"))) for x in (a.predicted, a.gold)]
+        show(annotation.entity_metrics(*sides))
+    elif a.command == "report":
+        sinks.write_text(spark, report.page(report.of_files(spark, a.annotations, a.assignments)), a.output)
+    elif a.command == "templates":
+        sentences, own, made = lotes.made(files.corpus(spark, a.folder), files=a.files, each=a.each, least=a.min_words, seed=a.seed)
+        sinks.write_templates(made, sentences, own, a.output)
     else:
-        tok = bpe.train(files.corpus(spark, a.folder).select(F.col("path").alias("id"), "text"), a.size)
-        row = spark.range(1).select(tok.encode(F.lit(a.text)).alias("t")).select(F.length("t").alias("n"), tok.ids(F.col("t")).alias("ids")).first()
-        words = [tok.vocabulary[i] for i in row["ids"]]
-        print(json.dumps({"n_chars": len(a.text), "n_tokens": row["n"], "ratio": len(a.text) / row["n"] if row["n"] else None, "pieces": words}, ensure_ascii=False))
+        Agent(spark, Butler(log=lambda m: print(m, file=sys.stderr))).run(a.turns)
     return 0
 
 

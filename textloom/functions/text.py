@@ -200,7 +200,7 @@ def own_alias(info: Column) -> Column:
     """The alias in a server's answer (JSON text): its field Alias, a text or the first one with characters in a list."""
     plain = F.trim(F.get_json_object(info, "$.Alias"))
     listed = F.from_json(F.get_json_object(info, "$.Alias"), "array<string>")
-    first = F.get(F.filter(F.transform(listed, F.trim), lambda a: a.isNotNull() & (a != "")), F.lit(0))
+    first = F.get(F.filter(F.transform(listed, lambda a: F.trim(a)), lambda a: a.isNotNull() & (a != "")), F.lit(0))
     return F.coalesce(F.when(plain.startswith("["), first).otherwise(F.nullif(plain, F.lit(""))), F.lit("Desconocido"))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN = 0xF0000
@@ -55,6 +55,13 @@ class Bpe:
         return out
 
 
+def analysis(spark: SparkSession, tok: Bpe, text: str) -> dict:
+    """A text's ids and pieces, their numbers, characters by token (null without tokens), and the pieces in a row."""
+    row = spark.range(1).select(tok.ids(tok.encode(F.lit(text))).alias("ids")).first()
+    pieces = [tok.vocabulary[i] for i in row["ids"]]
+    return {"ids": row["ids"], "pieces": pieces, "n_chars": len(text), "n_tokens": len(pieces), "ratio": len(text) / len(pieces) if pieces else None, "segmentation": " | ".join(pieces)}
+
+
 def pair_counts(rows: DataFrame) -> DataFrame:
     """(id, tokens) -> a, b, n, first: neighbouring tokens with their number and first place, counted on the map side."""
     chars = F.filter(F.split("tokens", ""), lambda t: t != "")

@@ -63,7 +63,8 @@ def as_markdown(rows: list[tuple], header: list[str]) -> str:
 
 
 class Transformer:
-    """Inference of a pre-norm transformer in numpy: weights by name, learned positions, tied output."""
+    """Inference of a pre-norm transformer in numpy: weights by name, learned positions, tied output. A layer may have a
+    bias, named as its weights with .b after it."""
 
     def __init__(self, weights: dict[str, np.ndarray], heads: int, causal: bool = True):
         self.w, self.heads, self.causal = weights, heads, causal
@@ -81,19 +82,21 @@ class Transformer:
             w |= {f"{i}.qkv": some(width, 3 * width), f"{i}.proj": some(width, width), f"{i}.up": some(width, 4 * width), f"{i}.down": some(4 * width, width), f"{i}.one": np.ones(width), f"{i}.two": np.ones(width)}
         return cls(w, heads, causal)
 
-    @staticmethod
-    def _norm(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
-        return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5) * scale
+    def _norm(self, x: np.ndarray, name: str) -> np.ndarray:
+        return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5) * self.w[name] + self.w.get(f"{name}.b", 0.0)
+
+    def _layer(self, x: np.ndarray, name: str) -> np.ndarray:
+        return x @ self.w[name] + self.w.get(f"{name}.b", 0.0)
 
     def attention(self, x: np.ndarray, layer: int) -> np.ndarray:
         n, d = x.shape
-        q, k, v = (m.reshape(n, self.heads, -1).transpose(1, 0, 2) for m in np.split(x @ self.w[f"{layer}.qkv"], 3, 1))
+        q, k, v = (m.reshape(n, self.heads, -1).transpose(1, 0, 2) for m in np.split(self._layer(x, f"{layer}.qkv"), 3, 1))
         score = q @ k.transpose(0, 2, 1) / np.sqrt(d / self.heads)
         if self.causal:
             score = np.where(np.tril(np.ones((n, n), bool)), score, -np.inf)
         p = np.exp(score - score.max(-1, keepdims=True))
         p /= p.sum(-1, keepdims=True)
-        return (p @ v).transpose(1, 0, 2).reshape(n, d) @ self.w[f"{layer}.proj"]
+        return self._layer((p @ v).transpose(1, 0, 2).reshape(n, d), f"{layer}.proj")
 
     def logits(self, ids: list[int]) -> np.ndarray:
         return self.hidden(ids) @ self.w["tokens"].T
@@ -107,10 +110,10 @@ class Transformer:
     def hidden(self, ids: list[int]) -> np.ndarray:
         x = self.w["tokens"][ids] + self.w["places"][: len(ids)]
         for i in range(self.layers):
-            x = x + self.attention(self._norm(x, self.w[f"{i}.one"]), i)
-            h = self._norm(x, self.w[f"{i}.two"]) @ self.w[f"{i}.up"]
-            x = x + (h * 0.5 * (1 + _erf(h / math.sqrt(2)))) @ self.w[f"{i}.down"]
-        return self._norm(x, self.w["out"])
+            x = x + self.attention(self._norm(x, f"{i}.one"), i)
+            h = self._layer(self._norm(x, f"{i}.two"), f"{i}.up")
+            x = x + self._layer(h * 0.5 * (1 + _erf(h / math.sqrt(2))), f"{i}.down")
+        return self._norm(x, "out")
 
     def generate(self, prompt: list[int], count: int, *, temperature: float = 1.0, k: int | None = None, seed: int = 0) -> list[int]:
         """Sampled ids after the prompt, of whose ids the last that fit are seen."""

@@ -136,6 +136,20 @@ def drawn(sentences: DataFrame, n: int, seed: int) -> DataFrame:
     return best.select((F.row_number().over(Window.orderBy("h", "sentence")) - 1).cast("long").alias("sentence"), "text")  # n rows
 
 
+def made(texts: DataFrame, *, files: int, each: int, least: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sentences drawn from (path, text), who gets which (files and slots), and the templates. Every sentence goes to two files of `each`
+    sentences, so files * each is even; fewer sentences of `least` words than that takes are an error."""
+    if files * each % 2:
+        raise ValueError("files * each must be even, as each sentence is in two files")
+    n = files * each // 2
+    found = texts.select("path", F.posexplode(T.phrases(F.col("text"))).alias("pos", "text")).where(T.word_runs(F.col("text")) >= least)
+    own = drawn(found.select(F.xxhash64("path", "pos").alias("sentence"), "text"), n, seed)
+    if (there := own.count()) < n:
+        raise ValueError(f"{there} sentences of {least} words or more, {n} are needed")
+    given = A.double_assignment(own.select("sentence"), each)
+    return own, given, templates(own, given)
+
+
 def templates(sentences: DataFrame, files: DataFrame) -> DataFrame:
     """(file, records): what an annotator fills in: the units of a file's sentences, in order and parted by spaces, each without a label."""
     rows = files.join(sentences, "sentence").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("slot", "text"))).alias("s"))  # a file's sentences

@@ -151,7 +151,7 @@ def tagged(sentences: DataFrame, tok: Bpe, tagger: Tagger) -> DataFrame:
     """(id, words) -> (id, words, labels, entities): the tagger's labels of the last subtokens that fit, as words' labels, refined, and
     the entities that they make. Words whose subtokens don't fit have the label O."""
     length, names = len(tagger.body.w["places"]), list(LABELS)
-    rows = sentences.select("id", "words", tok.ids(F.array_join(F.transform("words", lambda w: tok.encode(w)), tok.encode(F.lit(" ")))).alias("ids"), word_spans(F.col("words"), tok).alias("spans"))
+    rows = sentences.select("id", "words", tok.ids(F.array_join(F.transform("words", lambda w: tok.encode(w)), " " if " " in tok.chars else tok.chars[0])).alias("ids"), word_spans(F.col("words"), tok).alias("spans"))
 
     def predict(batches: Iterator) -> Iterator:
         import pyarrow as pa

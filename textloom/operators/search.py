@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions import text as T
 from ..session import stored
@@ -30,10 +33,53 @@ def analyze(spark: SparkSession, query: str) -> tuple[str, list[str], list[str]]
     return row["q"], row["l"], row["t"]
 
 
-def annotate(passages: DataFrame) -> DataFrame:
-    """Adds norm and tokens: the tokens that count, as they stand."""
+def annotate(passages: DataFrame, analyzer: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Adds norm and tokens: the tokens that count, as they stand. An analyzer, such as a pandas UDF of another library, makes the tokens of
+    the text; the rules then are applied to what it gives."""
     rows = passages.withColumn("norm", T.normalize(F.col("text")))
-    return rows.withColumn("tokens", T.useful_tokens(F.col("norm")))
+    return rows.withColumn("tokens", analyzer(F.col("text")) if analyzer else T.useful_tokens(F.col("norm")))
+
+
+#: Characters of a normalized text that are embedded (fixed value), and the size of the embedder that is built in.
+EMBEDDED, WIDTH = 3000, 64
+
+
+def hashed(texts: list[str]) -> list[list[float] | None]:
+    """An embedder without a model: each word and pair of words adds to or takes from a place that its hash gives; of length 1."""
+    out: list[list[float] | None] = []
+    for text in texts:
+        w = text.split()
+        x = np.zeros(WIDTH)
+        for t in w + [f"{a} {b}" for a, b in zip(w, w[1:])]:
+            h = zlib.crc32(t.encode())
+            x[h % WIDTH] += 1 if h >> 16 & 1 else -1
+        n = np.sqrt((x * x).sum())
+        out.append((x / n).tolist() if n else None)
+    return out
+
+
+def embedded(annotated: DataFrame, embedder: Callable[[list[str]], list] = hashed) -> DataFrame:
+    """Adds embedding, of the first EMBEDDED characters of norm. Texts that the embedder fails on, by themselves too, have null."""
+    at = annotated.columns.index("norm")
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def one(text: str):
+            try:
+                return embedder([text])[0]
+            except Exception:  # noqa: BLE001  what a service says no to has no embedding
+                return None
+
+        for batch in batches:
+            texts = [(t or "")[:EMBEDDED].strip() for t in batch.column(at).to_pylist()]
+            try:
+                found = embedder(texts)
+            except Exception:  # noqa: BLE001
+                found = [one(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float32()))], names=[*batch.schema.names, "embedding"])
+
+    return annotated.mapInArrow(work, StructType([*annotated.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
 def postings(annotated: DataFrame) -> DataFrame:
@@ -128,6 +174,11 @@ def _probed(rows: DataFrame, query: tuple[str, list[str], list[str]]) -> DataFra
     return found.where((F.size("hits") > 0) | (F.col("exact") > 0))
 
 
+def in_chapter(passages: DataFrame, chapter: str | None) -> DataFrame:
+    """Passages whose chapter holds the text, both normalized; all without one."""
+    return passages.where(T.normalize(F.coalesce("chapter", F.lit(""))).contains(F.trim(T.normalize(F.lit(chapter))))) if chapter else passages
+
+
 def frequencies(probed: DataFrame, wanted: list[str]) -> dict[str, int]:
     """In how many passages each of the query's terms stands: a row of a few numbers."""
     terms = list(dict.fromkeys(wanted))
@@ -137,8 +188,7 @@ def frequencies(probed: DataFrame, wanted: list[str]) -> dict[str, int]:
 
 def _ranked(probed: DataFrame, wanted: list[str], known: dict[str, int], total: int, limit: int | None, chapter: str | None) -> DataFrame:
     counts = Counter(wanted)
-    if chapter:
-        probed = probed.where(T.normalize(F.coalesce("chapter", F.lit(""))).contains(F.trim(T.normalize(F.lit(chapter)))))
+    probed = in_chapter(probed, chapter)
     each = {t: F.size(F.filter("hits", _is(t))) for t in counts}
     weight = sum((each[t] * F.lit(math.log((max(total, 1) + 1) / (known.get(t, 0) + 1)) + 1.0) * F.lit(c / len(wanted)) for t, c in counts.items()), F.lit(0.0))
     matched = sum(((each[t] > 0).cast("long") for t in counts), F.lit(0).cast("long"))
@@ -195,12 +245,17 @@ def semantic(vectors: DataFrame, query: list[float], *, limit: int | None = 5) -
 DEFINING = ["es ", "era ", "fue ", "dama", "escudero", "amada", "senora", "senor", "hidalgo", "caballero", "toboso", "dulcinea", "sancho panza"]
 
 
+#: Rows of ranked lists that may be broadcast.
+SENT = 10_000
+
+
 def fused(first: DataFrame, second: DataFrame, passages: DataFrame, query: str, *, limit: int = 4) -> DataFrame:
     """Two ranked lists (id, score, rank) as one: the first's rows win, then passages that name the query's
-    words or define something rise; best first, ties in order of the lists."""
+    words or define something rise; best first, ties in order of the lists. Lists of up to SENT rows are sent to the passages."""
     both = first.select("id", "score", F.lit(0).alias("list"), "rank").union(second.select("id", "score", F.lit(1).alias("list"), "rank"))
     once = both.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("list", "rank"))).where("k = 1")
-    rows = passages.join(F.broadcast(once), "id")
+    few = len(once.take(SENT + 1)) <= SENT
+    rows = passages.join(F.broadcast(once) if few else once, "id")
     low, chapter = F.lower("text"), F.lower(F.coalesce("chapter", F.lit("")))
     score = F.col("score")
     for w in [w for w in query.lower().split() if len(w) > 2]:
@@ -223,6 +278,59 @@ def context(ranked: DataFrame) -> DataFrame:
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda s: s["part"]), "\n\n").alias("context"))
 
 
+#: What is said when nothing fits, and before what failed (fixed values).
+NOTHING, FAILED = "No he encontrado informacion suficiente en el Quijote para responder a eso.", "Error de conexion con Ollama: Verifica que esta abierto y el modelo descargado. Detalle: "
+#: A generator's instructions (fixed values).
+PROMPT = """
+Eres un asistente experto en "El ingenioso hidalgo don Quijote de la Mancha".
+
+Tu tarea es responder usando UNICAMENTE la informacion contenida en los pasajes proporcionados.
+
+Reglas:
+- No inventes datos.
+- No uses conocimiento externo.
+- Si la respuesta no aparece con claridad en los pasajes, di exactamente:
+  "No he encontrado informacion suficiente en los pasajes recuperados."
+- Responde de forma breve, clara y directa.
+- Si la pregunta es del tipo "quien es..." o "que relacion tiene...",
+  empieza con una definicion corta y luego añade una o dos frases de apoyo.
+- No incluyas referencias, listas, identificadores ni citas al final.
+- Devuelve solo la respuesta redactada en texto corrido.
+
+PASAJES DE REFERENCIA:
+{context}
+
+PREGUNTA DEL USUARIO:
+{query}
+
+RESPUESTA:
+"""
+
+
+def rag(passages: DataFrame, query: str, *, limit: int = 4, chapter: str | None = None, embedder: Callable[[list[str]], list] = hashed) -> DataFrame:
+    """id, score, list, rank of the passages (with norm, tokens and embedding) that an answer may draw on: both searches' best, fused."""
+    asked = embedder([analyze(passages.sparkSession, query)[0]])[0]
+    most = max(3 * limit, 8)
+    lists = [classic(passages, query, limit=most, chapter=chapter), semantic(in_chapter(passages, chapter), asked or [0.0], limit=most)]
+    ranked = [x.select("id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "ord")).alias("rank")) for x in lists]  # `most` rows
+    return fused(*ranked, passages, query, limit=limit)
+
+
+def answered(passages: DataFrame, query: str, generator: Callable[[str], str], *, limit: int = 4, chapter: str | None = None, embedder: Callable[[list[str]], list] = hashed) -> str:
+    """A generator's answer from the passages found, with their references."""
+    best = rag(passages, query, limit=limit, chapter=chapter, embedder=embedder)
+    rows = best.join(passages.select("id", "chapter", "text"), "id").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "list", "rank")))  # `limit` rows
+    found = stored(rows.select("id", "chapter", "text", "rank"), "found")
+    names = [r["r"] for r in found.orderBy("rank").select(reference(F.col("chapter"), F.col("id").cast("string")).alias("r")).collect()]
+    if not names:
+        return NOTHING
+    try:
+        answer = generator(PROMPT.format(context=context(found).first()["context"], query=query)).strip()
+    except Exception as e:  # noqa: BLE001  whatever the generator fails with is the answer
+        return f"{FAILED}{e}"
+    return answer + "\n\nReferencias:\n" + "\n".join(f"- {n}" for n in names)
+
+
 def query_span(text: Column, query: str) -> tuple[Column, Column]:
     """Start (from 1, 0 if none) and length, in the text as it stands, of the normalized query, else of its first word that occurs."""
     at, size = F.lit(0), F.lit(0)

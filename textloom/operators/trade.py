@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,9 +110,45 @@ def sessions(events: DataFrame, gap: int) -> DataFrame:
 
 def allowed_sends(events: DataFrame, gap: int) -> DataFrame:
     """(user, ts, id) -> those that a cooldown lets through, in order: a send it stops doesn't start it anew.
-    What is let through depends on all before it, so a user's times are gathered and folded."""
-    item = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "id")
-    per = events.groupBy("user").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<t:bigint,id:bigint>>").alias("sent"))
-    folded = F.aggregate("all", start, lambda s, e: F.when(s["last"].isNull() | (e["t"] - s["last"] >= gap * 1_000_000), F.struct(e["t"].alias("last"), F.concat(s["sent"], F.array(F.struct(e["t"].alias("t"), e["id"].cast("long").alias("id")))).alias("sent"))).otherwise(s))
-    return per.select("user", F.explode(folded["sent"]).alias("s")).select("user", "s.id")
+    What is let through depends on all before it, so each user's rows pass in order by a task that remembers one time."""
+    rows = events.select("user", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("id").cast("long").alias("id"))
+    ordered = rows.where("t is not null").repartition("user").sortWithinPartitions("user", "t", "id")
+
+    def passed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        who = last = None
+        for batch in batches:
+            keep = []
+            for user, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if user != who or last is None or t - last >= gap * 1_000_000:
+                    who, last = user, t
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["user", "id"])
+
+    return ordered.mapInArrow(passed, f"user {rows.schema['user'].dataType.simpleString()}, id long")
+
+
+def recipients(people: DataFrame, me: Column) -> DataFrame:
+    """(alias) rows that aren't oneself, nor without an alias."""
+    return people.where((T.alias(F.col("alias")) != "") & ~T.same_alias(F.col("alias"), me))
+
+
+def first_pair(over: DataFrame, lack: DataFrame) -> DataFrame:
+    """(agent, resource, pos) each -> agent, gives, wants: the first that an agent has over and the first that it lacks."""
+    one = over.groupBy("agent").agg(F.min_by("resource", "pos").alias("gives"))
+    return one.join(lack.groupBy("agent").agg(F.min_by("resource", "pos").alias("wants")), "agent")
+
+
+def unanswered(letters: DataFrame, answered: DataFrame) -> DataFrame:
+    """Letters whose id isn't among those answered."""
+    return letters.join(answered.select("letter").distinct(), "letter", "left_anti")
+
+
+def confirmations(letters: DataFrame, pending: DataFrame) -> DataFrame:
+    """(letter, sender, subject, body) and pending offers (sender, wanted): each letter with whether it confirms its sender's."""
+    wanted = pending.select(T.alias(F.col("sender")).alias("by"), "wanted")
+    rows = letters.join(wanted, T.alias(F.col("sender")) == F.col("by"), "left")
+    return rows.select("letter", "sender", confirms(F.col("sender"), F.col("subject"), F.col("body"), F.col("wanted")).alias("confirms"))

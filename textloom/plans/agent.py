@@ -45,22 +45,19 @@ def first_match_trade(spark, sf_dir):
     return out.select("letter", "agent", F.concat(F.lit("Brand#"), F.translate(F.substring("resource", 7, 9), "abcdefghij", "0123456789")).alias("resource"))
 
 
-_LETTERS = [
-    (1, '[OFERTA_V1] quiero={"Maderas": 1} ofrezco={"oro": 1}'),
-    (2, "Hola, te doy 1 madera a  cambio de 1 piedras"),
-    (3, "ofrezco 1 oro por 1 trigo"),
-    (4, "cambio 1 hierro por 1 agua"),
-    (5, "[OFERTA_V1] quiero={mal} ofrezco={}"),
-    (6, "nada que ofrecer"),
-    (7, None),
-]
-
-
-@book("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'madera', 'oro'), (2, 'piedra', 'madera'), (3, 'trigo', 'oro'), (4, 'agua', 'hierro'), (5, '', ''), (6, '', ''), (7, '', '')) AS t(letter, wants, gives)""")
+_PLAIN = "regexp_replace(regexp_replace(lower({0}), '[^a-záéíóúñü]+', '', 'g'), '^(.{{3,}})s$', '\\1')"
+
+
+@book(rf"""WITH l AS (SELECT c_custkey, c_custkey % 5 AS form, n_name AS a, r_name AS b, replace(n_name, ' ', '') AS a1, replace(r_name, ' ', '') AS b1 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT CAST(c_custkey AS BIGINT) AS letter, CASE WHEN form = 0 THEN {_PLAIN.format('b')} WHEN form < 3 THEN {_PLAIN.format('b1')} ELSE '' END AS wants, CASE WHEN form = 0 THEN {_PLAIN.format('a')} WHEN form < 3 THEN {_PLAIN.format('a1')} ELSE '' END AS gives FROM l""")
 def offer_parse(spark, sf_dir):
-    letters = spark.createDataFrame(_LETTERS, "letter long, body string")
-    o = trade.offered(F.coalesce("body", F.lit("")))
-    return letters.select("letter", F.array_join(o["wants"], ",").alias("wants"), F.array_join(o["gives"], ",").alias("gives"))
+    """A letter of each customer: structured, in words of two kinds, broken, or without an offer."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    one, two = (F.replace(c, F.lit(" "), F.lit("")) for c in ("n_name", "r_name"))
+    bodies = [trade.offer_text(F.col("n_name"), F.col("r_name")), F.format_string("Hola, te doy 1 %s a  cambio de\n1 %s", one, two), F.format_string("Ofrezco 1 %s por 1 %s, ¿vale?", one, two), F.concat(F.lit('[OFERTA_V1] quiero={'), one, F.lit("} ofrezco={}")), F.concat(F.lit("nada que ofrecer, "), one)]
+    form = F.get(F.array(*bodies), (F.col("c_custkey") % 5).cast("int"))
+    o = trade.offered(form)
+    return rows.select(F.col("c_custkey").cast("long").alias("letter"), F.array_join(o["wants"], ",").alias("wants"), F.array_join(o["gives"], ",").alias("gives"))
 
 
 @book("""SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (props IS NOT NULL AND json_valid(props)) AS BIGINT) AS objects FROM events GROUP BY event_type""")
@@ -69,12 +66,51 @@ def json_props(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count("o").alias("objects"))
 
 
-@book(r"""WITH c AS (SELECT conv_id, turn, NOT role = 'system' AND regexp_matches(lower(text), 'confirm|envi|recibid|hecho|acepto|vale|ok|de acuerdo') AS c FROM conversations WHERE text IS NOT NULL)
-SELECT conv_id AS agent, arg_min(turn, CASE WHEN c THEN 0 ELSE 1000000 END + turn) AS letter FROM c GROUP BY conv_id""")
-def inbox_priority(spark, sf_dir):
+# A conversation's partner waits for the resource that its first word names, in every other conversation.
+_SAID = rf"""p AS (SELECT conv_id, arg_min(split_part(text, ' ', 1), turn) AS wanted FROM conversations WHERE text IS NOT NULL AND conv_id % 2 = 0 GROUP BY conv_id),
+t AS (SELECT c.conv_id, c.turn, c.role, wanted IS NOT NULL AS waits, {_PLAIN.format('wanted')} AS r, regexp_replace(regexp_replace(lower(c.text), '[^a-záéíóúüñ0-9\s]+', ' ', 'g'), '\s+', ' ', 'g') AS said FROM conversations c LEFT JOIN p USING (conv_id) WHERE text IS NOT NULL),
+c AS (SELECT conv_id, turn, coalesce(waits AND role NOT IN ('sistema', 'system', 'admin') AND (regexp_matches(said, '{"|".join(trade.SIGNS)}') OR (r <> '' AND contains(replace(said, ' ', ''), r))), false) AS c FROM t)"""
+
+
+def _letters(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "conversations").where("text is not null")
-    c = trade.confirms(F.col("role"), F.lit(""), F.col("text"), F.lit("#"))
-    return trade.next_letter(rows.select(F.col("conv_id").alias("agent"), F.col("turn").alias("letter"), F.col("turn").alias("pos"), c.alias("confirms")))
+    pending = rows.where("conv_id % 2 = 0").groupBy("conv_id").agg(F.min_by(F.split_part("text", F.lit(" "), F.lit(1)), "turn").alias("wanted"))
+    return rows, pending
+
+
+@book(f"WITH {_SAID} SELECT conv_id AS conv, turn, c AS confirms FROM c")
+def confirmations(spark, sf_dir):
+    rows, pending = _letters(spark, sf_dir)
+    joined = rows.join(pending, "conv_id", "left")
+    return joined.select(F.col("conv_id").alias("conv"), "turn", trade.confirms(F.col("role"), F.lit(""), F.col("text"), F.col("wanted")).alias("confirms"))
+
+
+@book(f"WITH {_SAID} SELECT conv_id AS agent, arg_min(turn, CASE WHEN c THEN 0 ELSE 1000000 END + turn) AS letter FROM c GROUP BY conv_id")
+def inbox_priority(spark, sf_dir):
+    rows, pending = _letters(spark, sf_dir)
+    c = trade.confirms(F.col("role"), F.lit(""), F.col("text"), F.col("wanted"))
+    return trade.next_letter(rows.join(pending, "conv_id", "left").select(F.col("conv_id").alias("agent"), F.col("turn").alias("letter"), F.col("turn").alias("pos"), c.alias("confirms")))
+
+
+@book(f"""WITH {_STOCK} SELECT agent, min(o.resource) AS gives, min(l.resource) AS wants FROM over o JOIN lack l USING (agent) GROUP BY agent""")
+def first_pairs(spark, sf_dir):
+    have, goal = _stock(spark, sf_dir)
+    pos = F.col("resource").alias("pos")
+    return trade.first_pair(trade.surplus(have, goal).select("agent", "resource", pos), trade.deficit(have, goal).select("agent", "resource", pos))
+
+
+@book("""SELECT CAST(a.s_suppkey AS BIGINT) AS agent, CAST(count(*) AS BIGINT) AS others FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND lower(trim(a.s_name)) <> lower(trim(b.s_name)) GROUP BY 1""")
+def recipients(spark, sf_dir):
+    """Whom each supplier may write to, of its nation."""
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("agent"), F.upper("s_name").alias("me"), "s_nationkey")
+    rows = own.join(table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_name").alias("alias")), "s_nationkey")
+    return trade.recipients(rows, F.col("me")).groupBy("agent").agg(F.count("*").alias("others"))
+
+
+@book("""SELECT event_id AS letter, user_id AS "user" FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE value > 20 OR event_type = 'click')""")
+def unanswered_letters(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("letter"), F.col("user_id").alias("user"), "value", "event_type")
+    return trade.unanswered(rows, rows.where("value > 20 or event_type = 'click'")).select("letter", "user")
 
 
 def _events(spark, sf_dir) -> DataFrame:

@@ -54,28 +54,61 @@ def html(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "path string, entry string, kind string, html string")
 
 
+#: Where a page is looked for when none is given (fixed values).
+USUAL = ["data/El_ingenioso_hidalgo_don_Quijote_de_la_Mancha.zip", "El_ingenioso_hidalgo_don_Quijote_de_la_Mancha.zip", "data/2000-h.htm", "2000-h.htm"]
+
+
+def resolve(spark: SparkSession, path: str | None = None, candidates: list[str] | None = None) -> str:
+    """The path given, which must be there, else the first candidate that is."""
+    tried = [path] if path else list(candidates or USUAL)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for p in tried:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if at.getFileSystem(conf).exists(at):
+            return p
+    raise FileNotFoundError(f"no source at {', '.join(tried)}")
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of the .txt files under a folder; an empty folder is an error when read."""
-    return spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """(path, text) of the .txt files under a folder, a row each; a folder without one is an error."""
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    if rows.select("path").isEmpty():
+        raise FileNotFoundError(f"no .txt file in {path}")
+    return rows
+
+
+def joined(texts: DataFrame) -> DataFrame:
+    """One row: the texts of (path, text) in order of path, a blank line between two. For a corpus that a driver's tokenizer trains on;
+    tables of texts stay in rows."""
+    return texts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda s: s["text"]), "\n\n").alias("text"))
 
 
 def conll(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sentence, pos, word, label): a blank line ends a sentence, the last field of a line is the label."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    clean = rows.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
-    order = Window.partitionBy("path").orderBy("line")
-    clean = clean.withColumn("sentence", F.sum((F.col("text") == "").cast("int")).over(order)).where("text rlike ' '")
-    within = Window.partitionBy("path", "sentence").orderBy("line")
-    return clean.select("path", F.dense_rank().over(order.orderBy("sentence")).alias("sentence"), F.row_number().over(within).alias("pos"), F.regexp_extract("text", r"^(.*) (\S+)$", 1).alias("word"), F.regexp_extract("text", r"^(.*) (\S+)$", 2).alias("label"))
+    """(path, sentence, pos, word, label): a blank line ends a sentence, the last field of a line is the label.
+
+    Files are read as blocks between blank lines, so a large one is many rows; a sentence is numbered within its file by
+    where it starts."""
+    rows = spark.read.option("lineSep", "\n\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"), "value")
+    # line ends of other systems and blank lines with spaces leave several sentences in a block
+    parts = rows.select("path", "at", F.posexplode(F.split("value", r"\r?\n\s*\r?\n|^\s*\n")).alias("part", "block"))
+    lines = parts.select("path", "at", "part", F.filter(F.transform(F.split("block", r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x.contains(" ")).alias("lines")).where(F.size("lines") > 0)
+    numbered = lines.withColumn("sentence", F.row_number().over(Window.partitionBy("path").orderBy("at", "part")))
+    each = numbered.select("path", "sentence", F.posexplode("lines").alias("pos", "text"))
+    return each.select("path", "sentence", (F.col("pos") + 1).alias("pos"), F.regexp_extract("text", r"^(.*) (\S+)$", 1).alias("word"), F.regexp_extract("text", r"^(.*) (\S+)$", 2).alias("label"))
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """(file, part, pos, clave, valor) of annotators' JSON files: file and part are the numbers in .../json_N/..._pN.json."""
+    """(path, file, part, pos, clave, valor) of annotators' JSON files: file is the number in .../json_N/ (or jsonN, with zeros before it or not), part
+    that in ..._pN.json. Of several files of one part in folders of a number the first by name counts."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    # a folder's name is tried as json_07, json_7, json7 and json07
+    folder = F.regexp_extract("path", r"/(json_?0*\d+)/[^/]*$", 1)
+    form = F.when(folder.rlike(r"^json_\d\d"), 0).when(folder.rlike(r"^json_"), 1).when(folder.rlike(r"^json[1-9]"), 2).otherwise(3)
+    named = rows.withColumn("file", F.regexp_extract("path", r"json_?0*(\d+)/[^/]*$", 1).cast("int")).withColumn("part", F.regexp_extract("path", r"_p(\d)\.json$", 1).cast("int")).withColumn("form", form)
+    first = Window.partitionBy("file", "part").orderBy("form", "path")  # an annotator's few files
+    one = named.withColumn("k", F.row_number().over(first)).where(F.col("k") == 1)
     records = F.from_json("value", "array<struct<clave:string,valor:string>>")
-    name = F.col("path")
-    number = F.regexp_extract(name, r"json_?0*(\d+)/[^/]*$", 1).cast("int")
-    return rows.select("path", number.alias("file"), F.regexp_extract(name, r"_p(\d)\.json$", 1).cast("int").alias("part"), F.posexplode(records).alias("pos", "r")).select("path", "file", "part", "pos", "r.clave", "r.valor")
+    return one.select("path", "file", "part", F.posexplode(records).alias("pos", "r")).select("path", "file", "part", "pos", "r.clave", "r.valor")
 
 
 def assignments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

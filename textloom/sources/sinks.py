@@ -6,13 +6,14 @@ import hashlib
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search
 
-VERSION = 1
+VERSION = 2
 
 
 def index_name(path: str) -> str:
@@ -21,32 +22,53 @@ def index_name(path: str) -> str:
 
 
 def manifest(source: DataFrame, **options) -> str:
-    """What an index was built from: its files with size and time, the version and the options. min_words counts
+    """What an index was built from: a digest of its files with size and time, the version and the options. min_words counts
     among these, so that another value builds anew."""
-    files = source.select("path", "length", F.col("modificationTime").cast("string").alias("time")).orderBy("path").collect()
-    return json.dumps({"version": VERSION, "options": options, "files": [list(r) for r in files]}, sort_keys=True)
+    one = F.xxhash64("path", "length", F.col("modificationTime").cast("string"))
+    row = source.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.bit_xor(one).alias("digest"), F.bit_xor(F.xxhash64(one)).alias("second")).first()
+    return json.dumps({"version": VERSION, "options": options, "files": row["n"], "bytes": row["bytes"], "digest": [row["digest"], row["second"]]}, sort_keys=True)
 
 
-def save_index(passages: DataFrame, path: str, made_of: str, buckets: int = 64) -> None:
-    """Passages with their terms, postings by hash of the term, and document frequencies; the manifest is last."""
+def save_index(passages: DataFrame, path: str, made_of: str, buckets: int = search.BUCKETS) -> None:
+    """Passages with their tokens, postings in folders by hash of the term, and document frequencies; the manifest is last."""
     spark = passages.sparkSession
-    search.annotate(passages).write.mode("overwrite").parquet(f"{path}/passages")
+    search.embedded(search.annotate(passages)).write.mode("overwrite").parquet(f"{path}/passages")
     kept = spark.read.parquet(f"{path}/passages")
-    rows = search.postings(kept).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows = search.postings(kept).withColumn("bucket", search.bucket(F.col("term"), buckets))
     rows.repartition("bucket").sortWithinPartitions("term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     search.document_frequency(kept).write.mode("overwrite").parquet(f"{path}/df")
     spark.createDataFrame([(made_of,)], "manifest string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
-def is_current(spark: SparkSession, path: str, made_of: str) -> bool:
+def is_current(spark: SparkSession, path: str, made_of: str, *, embedded: bool = False) -> bool:
+    """Whether the index there is of that manifest and, if asked, every passage has an embedding."""
     try:
-        return [r[0] for r in spark.read.schema("manifest string").json(f"{path}/manifest").collect()] == [made_of]
-    except Exception:  # noqa: BLE001  a manifest that can't be read is none
+        rows = spark.read.schema("manifest string").json(f"{path}/manifest").collect()  # one row
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    if [r[0] for r in rows] != [made_of]:
         return False
+    if not embedded:
+        return True
+    kept = spark.read.parquet(f"{path}/passages")
+    return "embedding" in kept.columns and kept.where(F.col("embedding").isNull() | (F.size("embedding") == 0)).isEmpty()
+
+
+#: What an index's tables have at least.
+TABLES = {"passages": {"id", "ord", "chapter", "text", "norm", "tokens"}, "postings": {"term", "id", "pos", "bucket"}, "df": {"term", "df"}}
 
 
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{t}") for t in ("passages", "postings", "df"))
+    """Passages, postings and document frequencies; tables that lack columns are no index."""
+    out = []
+    for name, columns in TABLES.items():
+        df = spark.read.parquet(f"{path}/{name}")
+        if lacks := columns - set(df.columns):
+            raise ValueError(f"{path}/{name} is no part of an index: it lacks {', '.join(sorted(lacks))}")
+        out.append(df)
+    return tuple(out)
 
 
 def conll_lines(sentences: DataFrame) -> DataFrame:
@@ -58,14 +80,36 @@ def conll_lines(sentences: DataFrame) -> DataFrame:
     return sentences.select("frase_id", line.alias("lines")).where(F.size("lines") > 0).select("frase_id", F.array_join("lines", "\n").alias("value"))
 
 
-def write_conll(sentences: DataFrame, path: str) -> None:
-    """Sentences in order, a blank line between two."""
-    conll_lines(sentences).orderBy("frase_id").select("value").write.mode("overwrite").option("lineSep", "\n\n").text(path)
+def write_conll(sentences: DataFrame, path: str, *, one_file: bool = False) -> None:
+    """Sentences in order, a blank line between two. In one file, which one task writes, a single line feed ends the last."""
+    rows = conll_lines(sentences)
+    if not one_file:
+        rows.orderBy("frase_id").select("value").write.mode("overwrite").option("lineSep", "\n\n").text(path)
+        return
+    last = F.lead("frase_id").over(Window.orderBy("frase_id")).isNull()
+    rows.select("frase_id", F.when(last, F.col("value")).otherwise(F.concat("value", F.lit("\n"))).alias("value")).repartition(1).sortWithinPartitions("frase_id").select("value").write.mode("overwrite").text(path)
 
 
 def write_slim(sentences: DataFrame, path: str) -> None:
     sentences.select("frase_id", "text", "tokens", "labels").write.mode("overwrite").json(path)
 
 
+def write_templates(templates: DataFrame, sentences: DataFrame, files: DataFrame, path: str, *, unit: str = "palabra") -> None:
+    """A folder of annotators' files, a JSON array each under file=N, and the sentences with who has which, as one object."""
+    templates.select("file", F.to_json("records").alias("value")).repartition("file").write.mode("overwrite").partitionBy("file").text(f"{path}/files")
+    texts = sentences.agg(F.transform(F.array_sort(F.collect_list(F.struct("sentence", "text"))), lambda s: s["text"]).alias("frases"))  # those drawn for annotators
+    own = files.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "sentence"))), lambda s: s["sentence"]).alias("own"))
+    lists = own.agg(F.transform(F.array_sort(F.collect_list(F.struct("file", "own"))), lambda s: s["own"]).alias("asignaciones"))
+    texts.crossJoin(lists).select(F.lit(unit).alias("granularidad"), "frases", "asignaciones").coalesce(1).write.mode("overwrite").json(f"{path}/assignments")
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.coalesce(1).write.mode("overwrite").json(path)
+    """A row, or a few, as one indented JSON text."""
+    rows = [r.asDict(recursive=True) for r in metrics.collect()]
+    text = json.dumps(rows[0] if len(rows) == 1 else rows, indent=2, ensure_ascii=False, default=str)
+    metrics.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A text made on the driver, such as a report's page, to any store."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

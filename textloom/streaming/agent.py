@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from ..functions import text as T
 from ..operators import trade
@@ -26,12 +27,17 @@ SLEEP, RETRY, OFFER = (5, 12), 2, 0.5
 REMEMBER = 24 * 3600
 
 
+def _timestamp(letters: DataFrame):
+    at = F.col("at")  # a cast would lose the watermark
+    return at if isinstance(letters.schema["at"].dataType, TimestampType) else at.cast("timestamp").alias("at")
+
+
 def parsed(letters: DataFrame) -> DataFrame:
     """(letter, sender, subject, body, at) with what a letter offers (wants, gives), what it says in plain letters, and who
     it is from: system."""
     o = trade.offered(F.coalesce("body", F.lit("")))
     said = T.free_text(F.concat_ws(" ", F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit(""))))
-    return letters.select("letter", "sender", F.col("at").cast("timestamp").alias("at"), o["wants"].alias("wants"), o["gives"].alias("gives"), said.alias("said"), trade.is_system(F.col("sender")).alias("system"))
+    return letters.select("letter", "sender", _timestamp(letters), o["wants"].alias("wants"), o["gives"].alias("gives"), said.alias("said"), trade.is_system(F.col("sender")).alias("system"))
 
 
 def plain(spark: SparkSession, names: list[str]) -> dict[str, str]:
@@ -49,7 +55,7 @@ def answer(surplus: dict[str, str], deficit: dict[str, str], own: str = "") -> C
     """The stateful step for one sender; surplus and deficit by plain name. Letters in order of time: own ones, the system's and answered
     ones are passed over; a pending offer that a letter confirms is settled if what it gives is over still; an offer that gives what is lacking
     for what is over is taken, at most once in the cooldown; else a counter-offer is made and waits for LAPSE seconds.
-    State of a sender who is silent for REMEMBER goes."""
+    State of a sender who is silent until the watermark is REMEMBER past its newest letter goes."""
 
     def step(key: tuple, batches: Iterator, state) -> Iterator:
         import pandas as pd
@@ -93,7 +99,7 @@ def answer(surplus: dict[str, str], deficit: dict[str, str], own: str = "") -> C
         if len(rows):
             newest = rows["at"].max().timestamp()
             state.update((last, gives, wants, offered_at, [(k, at) for k, at in known.items() if newest - at < REMEMBER]))
-            state.setTimeoutDuration(REMEMBER * 1000)
+            state.setTimeoutTimestamp(int((newest + REMEMBER) * 1000))
         yield pd.DataFrame({c: pd.Series([o[i] for o in out], dtype=object) for i, c in enumerate(("sender", "letter", "outcome", "body"))})
 
     return step
@@ -104,12 +110,12 @@ def run(letters: DataFrame, surplus: list[str], deficit: list[str], own: str = "
     the watermark counts once."""
     spark = letters.sparkSession
     step = answer(plain(spark, surplus), plain(spark, deficit), own)
-    return parsed(once(letters, within)).groupBy("sender").applyInPandasWithState(step, ANSWERS, _STATE, "append", "ProcessingTimeTimeout")
+    return parsed(once(letters, within)).groupBy("sender").applyInPandasWithState(step, ANSWERS, _STATE, "append", "EventTimeTimeout")
 
 
 def once(letters: DataFrame, within: str = "24 hours") -> DataFrame:
     """Letters without those whose id came before, as far back as the watermark."""
-    return letters.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", within).dropDuplicatesWithinWatermark(["letter"])
+    return letters.withColumn("at", _timestamp(letters)).withWatermark("at", within).dropDuplicatesWithinWatermark(["letter"])
 
 
 # letters (fixed values)
