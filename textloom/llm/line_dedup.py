@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, pick, stored
+from .common import discard, pick, spare, stored
 
 #: Stripped from a line's ends for its key (fixed value).
 BLANKS = " \t\n\x0b\x0c\r"
@@ -44,15 +44,37 @@ def key(line: str) -> str:
     return line.lower() if line.isascii() else line.translate(_LOWER)
 
 
-def _keys(text: str | None, least: int) -> set[str]:
-    return {k for line in (text or "").split("\n") if len(line) >= least and len(k := key(line)) >= least}
+def _keys(texts, least: int) -> tuple[np.ndarray, np.ndarray, object, object]:
+    """Of an Arrow column of texts without nulls, the keys of at least so many code points: whose row and which line (counted over all
+    rows) each is of, the keys, and the lines by row as lists."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    cut = pc.split_pattern(texts.cast(pa.large_string()), "\n")
+    lines = cut.flatten()
+    at = np.flatnonzero(pc.binary_length(lines).to_numpy() >= least)  # no key has more code points than its line has bytes
+    keys = pc.ascii_lower(pc.ascii_trim(lines.take(pa.array(at)), characters=BLANKS))
+    long = pc.greater_equal(pc.utf8_length(keys), least)
+    at, keys = at[long.to_numpy(zero_copy_only=False)], keys.filter(long)
+    ends = np.cumsum(cut.value_lengths().to_numpy(), dtype=np.int64)
+    return np.searchsorted(ends, at, "right"), at, keys, cut
 
 
-def _positions(keys: list[str], bits: int) -> np.ndarray:
-    """Two filter positions for each key, as rows."""
+def _hashes(keys) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    h = np.fromiter((xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
+    return np.fromiter(map(xxh3_64_intdigest, keys.to_pylist()), np.uint64, len(keys))
+
+
+def _once(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The first of each pair of row and hash."""
+    order = np.lexsort((hashes, rows))
+    r, h = rows[order], hashes[order]
+    return np.sort(order[np.append(True, (r[1:] != r[:-1]) | (h[1:] != h[:-1]))]) if len(order) else order
+
+
+def _positions(h: np.ndarray, bits: int) -> np.ndarray:
+    """Two filter positions for each hash, as rows."""
     return np.stack([h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)], 1).astype(np.int64)
 
 
@@ -65,6 +87,7 @@ def _mark(bits: int, least: int):
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        spare()
         seen, again = [], []
 
         def fold(parts: list[np.ndarray], twice: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,10 +97,10 @@ def _mark(bits: int, least: int):
 
         held = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if keys := _keys(text, least):
-                    seen.append(_positions(list(keys), bits).ravel())
-                    held += len(seen[-1])
+            rows, _, keys, _ = _keys(batch.column(0), least)
+            h = _hashes(keys)
+            seen.append(_positions(h[_once(rows, h)], bits).ravel())
+            held += len(seen[-1])
             if held > 4_000_000:
                 once, twice = fold(seen, again)
                 seen, again, held = [once], [twice], 0
@@ -130,42 +153,52 @@ def _suspects(sent, bits: int, least: int):
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        spare()
         bitmap = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            keys, owners = [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                own = _keys(text, least)
-                keys += own
-                owners += [i] * len(own)
-            if keys:
-                at = _positions(keys, bits)
-                hit = np.flatnonzero((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(1)).tolist()
-                rows = pa.array([owners[i] for i in hit], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([keys[i] for i in hit], pa.string())], names=["doc_id", "own", "key"])
+            rows, _, keys, _ = _keys(batch.column(2), least)
+            h = _hashes(keys)
+            p = _positions(h, bits)
+            hit = np.flatnonzero((bitmap[p >> 3] >> (p & 7).astype(np.uint8) & 1).all(1))
+            hit = hit[_once(rows[hit], h[hit])]
+            of = pa.array(rows[hit])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), keys.take(pa.array(hit)).cast(pa.string())], names=["doc_id", "own", "key"])
 
     return work
 
 
+def _array(values: list[str]):
+    import pyarrow as pa
+
+    return pa.array(values, pa.string())
+
+
 def _digest(k: str) -> bytes:
     return hashlib.blake2b(k.encode(), digest_size=16).digest()
 
 
 def _cleaned(batches: Iterator, least: int, loses, carried: int) -> Iterator:
-    """loses: whether a key's lines go, from row number and key. The `carried` columns after
-    doc_id and text come last."""
+    """loses: which keys' lines go, from the batch, the keys' rows and the keys. The `carried` columns after
+    doc_id and text come last. Only the texts that lose lines are put together anew."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for batch in batches:
-        out: dict[str, list] = {"n_lines": [], "n_dropped": [], "kept": []}
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            lines = (text or "").split("\n")
-            kept = [x for x in lines if not (len(x) >= least and len(k := key(x)) >= least and loses(batch, i, k))]
-            out["n_lines"].append(len(lines))
-            out["n_dropped"].append(len(lines) - len(kept))
-            out["kept"].append("\n".join(kept))
-        arrays = [batch.column(0), pa.array(out["n_lines"], pa.int64()), pa.array(out["n_dropped"], pa.int64()), pa.array(out["kept"], pa.string())]
+        texts = batch.column(1)
+        rows, at, keys, cut = _keys(texts, least)
+        gone = loses(batch, rows, keys)
+        rows, at = rows[gone], at[gone]
+        sizes = cut.value_lengths().to_numpy().astype(np.int64)
+        begin, lost = np.cumsum(sizes) - sizes, {}
+        for r, i in zip(rows.tolist(), (at - begin[rows]).tolist()):
+            lost.setdefault(r, set()).add(i)
+        changed = np.zeros(len(texts), bool)
+        changed[list(lost)] = True
+        left = ["\n".join(x for i, x in enumerate(cut[r].as_py()) if i not in lost[r]) for r in sorted(lost)]
+        kept = pc.replace_with_mask(texts, pa.array(changed), pa.array(left, texts.type)) if lost else texts
+        arrays = [batch.column(0), pa.array(sizes), pa.array(np.bincount(rows, minlength=len(texts)).astype(np.int64)), kept.cast(pa.string())]
         more = range(2, 2 + carried)
-        yield pa.RecordBatch.from_arrays(arrays + [batch.column(k) for k in more], names=["doc_id", *out, *[batch.schema.names[k] for k in more]])
+        yield pa.RecordBatch.from_arrays(arrays + [batch.column(k) for k in more], names=["doc_id", "n_lines", "n_dropped", "kept", *[batch.schema.names[k] for k in more]])
 
 
 def dedup_lines(docs: DataFrame, *, carry: tuple[str, ...] = (), least_chars: int = 40, least_docs: int = 5, most_bits: int = 1 << 31, most_sent: int = 1_000_000) -> DataFrame:
@@ -178,7 +211,7 @@ def dedup_lines(docs: DataFrame, *, carry: tuple[str, ...] = (), least_chars: in
     """
     spark = docs.sparkSession
     names = [f"carried_{i}" for i in range(len(carry))]
-    docs = pick(docs, doc_id="doc_id", text="text", **dict(zip(names, carry))).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *names)
+    docs = pick(docs, doc_id="doc_id", text="text", **dict(zip(names, carry))).selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text", *names)
     schema = T.StructType([*[T.StructField(n, T.LongType()) for n in ("doc_id", "n_lines", "n_dropped")], T.StructField("kept", T.StringType()), *docs.select(names).schema.fields])
     bitmap, bits = twice_seen(docs, least_chars, most_bits)
     sent = spark.sparkContext.broadcast(bitmap)
@@ -199,8 +232,9 @@ def dedup_lines(docs: DataFrame, *, carry: tuple[str, ...] = (), least_chars: in
     discard(again)
     many = found.count() > most_sent
     top = found.orderBy(F.desc("n"), "key").limit(most_sent) if many else found
-    # a digest and a number for each key: at most most_sent times 24 bytes
-    small = spark.sparkContext.broadcast({_digest(r["key"]): r["keeper"] for r in top.select("key", "keeper").toLocalIterator()})
+    # a digest, a number and a hash for each key: at most most_sent times 32 bytes
+    sent_keys = [(r["key"], r["keeper"]) for r in top.select("key", "keeper").toLocalIterator()]
+    small = spark.sparkContext.broadcast(({_digest(k): d for k, d in sent_keys}, np.unique(_hashes(_array([k for k, _ in sent_keys])))))
     if many:
         rest = found.join(top.select("key"), "key", "left_anti").select("key", "keeper")
         held = every.join(rest, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
@@ -211,15 +245,25 @@ def dedup_lines(docs: DataFrame, *, carry: tuple[str, ...] = (), least_chars: in
         discard(found)
 
     def clean(batches: Iterator) -> Iterator:
-        keeper = small.value
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            sets = [set(x or ()) for x in batch.column(batch.num_columns - 1).to_pylist()] if many else None
-
-            def loses(_, i, k, ids=ids, sets=sets):
-                d = keeper.get(_digest(k))
-                return d is not None and d != ids[i] or bool(sets) and k in sets[i]
-
-            yield from _cleaned(iter([batch]), least_chars, loses, len(carry))
+        spare()
+        keeper, hashes = small.value
+
+        def loses(batch, rows: np.ndarray, keys) -> np.ndarray:
+            h = _hashes(keys)
+            at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
+            out = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
+            ids = batch.column(0)
+            for i in np.flatnonzero(out).tolist():
+                d = keeper.get(_digest(keys[i].as_py()))
+                out[i] = d is not None and d != ids[int(rows[i])].as_py()
+            if many:
+                own = batch.column(batch.num_columns - 1)
+                for r in np.unique(rows).tolist():
+                    if held := set(own[r].as_py() or ()):
+                        for i in np.flatnonzero(rows == r).tolist():
+                            out[i] = out[i] or keys[i].as_py() in held
+            return np.flatnonzero(out)
+
+        yield from _cleaned(batches, least_chars, loses, len(carry))
 
     return docs.mapInArrow(clean, schema).toDF("doc_id", "n_lines", "n_dropped", "kept", *carry)
