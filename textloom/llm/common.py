@@ -64,6 +64,24 @@ def discard(*dfs: DataFrame) -> None:
             df._stored_at = None
 
 
+def spare() -> None:
+    """In a worker: gives back what earlier stages' caches and allocators hold, for a stage that doesn't use them."""
+    import ctypes
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    if tokens := sys.modules.get("textloom.llm.tokens"):
+        tokens.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, spare
 from .tokens import runs
 
 
@@ -228,6 +228,7 @@ def label(docs: DataFrame, model: Model, *, switch: float = 6.0, spans: bool = F
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        spare()
         labeller, langs = Labeller(sent.value, switch), sent.value.langs
         for batch in batches:
             out: dict[str, list] = {"lang_pred": [], "score": [], "spans": []}
@@ -272,6 +273,7 @@ def accepted(docs: DataFrame, model: Model, *, least: float = 0.4, switch: float
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        spare()
         labeller, langs = Labeller(sent.value, switch), sent.value.langs
         for batch in batches:
             keep = []

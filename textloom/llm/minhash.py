@@ -45,7 +45,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, pick, stored
+from .common import discard, pick, spare, stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space to str.split, but not between words here (fixed values).
@@ -128,6 +128,7 @@ def _signed(bands: int, rows: int, words: int):
         import pyarrow as pa
         from xxhash import xxh3_128_intdigest
 
+        spare()
         signer, known = Signer(bands, rows), Hashes()
         half = (1 << 64) - 1
         for batch in batches:
@@ -150,6 +151,7 @@ def _sets(words: int):
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        spare()
         known = Hashes()
         for batch in batches:
             found = [shingles(t, words, known).view(np.int64) for t in batch.column(1).to_pylist()]
@@ -341,7 +343,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
     final = components(links.union(copies))
     discard(*used)
     out = signed.join(final, signed["doc_id"] == final["node"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out._reads = (signed, final)  # to be discarded by whoever has used up the result
+    return out
 
 
 def _possible(rest: DataFrame, sets: DataFrame, percent: int, used: list[DataFrame]) -> DataFrame:

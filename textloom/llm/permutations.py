@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .vectors import best, clean, matrices, met, spread
 
 SCHEMA = "query_id long, vec_id long, score double"
@@ -188,11 +188,14 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, pivots: int = 1
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     by = [F.col("score").desc(), F.col("vec_id")]
     found = stored(best(met(blocks, asked, max(1, number), index, ask, SCHEMA), k, by), "found")
+    discard(posted)
 
     # queries left with fewer than k
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     few = stored(queries.join(full, F.col("vec_id") == F.col("query_id"), "left_anti").select("vec_id", "embedding"), "few")
+    discard(queries)
     if few.isEmpty():
+        discard(few)
         return found
     whole, where, count = spread(rows, block)
     rest = few.join(where, F.size("embedding") == F.col("dim")).select(F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias("block"), F.lit(0).alias("mark"), F.col("vec_id").alias("id"), "embedding")
