@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import annotation as A
-from textloom.operators import bpe, codec, corpus, lm, lotes, ner, report, search, trade
+from textloom.operators import bpe, codec, corpus, lm, lotes, ner, report, search, trade, training
 from textloom.sources import butler, files, sinks
 from textloom.streaming import agent
 
@@ -515,6 +515,63 @@ def test_generation_and_windows(spark):
     assert lm.as_markdown([(0.5, "a|b\nc")], ["t", "text"]) == "| t | text |\n|-|-|\n| 0.5 | a\\|b c |\n"
 
 
+@pytest.mark.parametrize("head", [False, True])
+def test_gradients_are_the_slopes(head):
+    rng = np.random.default_rng(2)
+    model = lm.Transformer.random(9, 5, 6, 2, 2, seed=4, causal=not head)
+    w = {k: v + rng.normal(0, 0.3, v.shape) for k, v in model.w.items()} | {"0.qkv.b": rng.normal(size=18), "1.up.b": rng.normal(size=24), "out.b": rng.normal(size=6)}
+    if head:
+        w |= {"head": rng.normal(size=(6, 5)), "head.b": rng.normal(size=5)}
+    ids, labels = rng.integers(0, 9, (3, 5)), rng.integers(0, 5, (3, 5))
+    labels[0, 3:] = ner.PAD
+    weights = np.array([1.0, 2.0, 0.5, 3.0, 1.0]) if head else None
+    loss, grad = training.gradients(w, 2, not head, ids, labels, weights)
+    if not head:
+        model.w = w
+        assert np.isclose(training.gradients(w, 2, True, ids[1:2, :-1], ids[1:2, 1:])[0], model.loss(ids[1].tolist()))
+    for name, g in grad.items():
+        at = tuple(int(rng.integers(n)) for n in g.shape)
+        far = []
+        for step in (1e-5, -1e-5):
+            moved = {k: v.copy() for k, v in w.items()}
+            moved[name][at] += step
+            far.append(training.gradients(moved, 2, not head, ids, labels, weights)[0])
+        assert abs((far[0] - far[1]) / 2e-5 - g[at]) < 2e-5, name
+
+
+def test_training_lowers_the_loss(spark):
+    ids = np.array([1, 2, 3, 4] * 30)
+    make = lambda: lm.Transformer.random(5, 6, 16, 2, 1, seed=1)
+    model, seen = make(), []
+    history = training.train_causal(model, ids, length=6, rows=8, epochs=6, rate=1e-2, after=lambda n, row: seen.append(n))
+    assert history[-1]["loss"] < 0.3 < history[0]["loss"] and history[-1]["validation"] < 0.3 and seen == [1, 2, 3, 4, 5, 6]
+    assert np.isclose(one(spark, lm.perplexity(F.lit(history[-1]["loss"]))), np.exp(history[-1]["loss"]))
+    half, adam = make(), training.AdamW(1e-2)
+    training.train_causal(half, ids, length=6, rows=8, epochs=3, adam=adam)
+    training.train_causal(half, ids, length=6, rows=8, epochs=6, done=3, adam=adam)  # goes on where it was
+    assert all(np.allclose(half.w[k], model.w[k]) for k in model.w)
+    with pytest.raises(ValueError, match="needs more text"):
+        training.train_causal(make(), ids[:5], length=6)
+
+    tok = bpe.Bpe(("\n", " ", *"abcdefghijklmnopqrstuvwxyz"), ())
+    words = [["ana", "va", "a", "roma"], ["eva", "come"], ["luz", "y", "ana"]] * 8
+    names = {"ana": "B-PER", "eva": "B-PER", "luz": "B-PER", "roma": "B-LOC"}
+    rows = spark.createDataFrame([(i, w, [names.get(x, "O") for x in w]) for i, w in enumerate(words)], "id long, words array<string>, labels array<string>")
+    tagger = ner.Tagger.of(lm.Transformer.random(28, 20, 16, 2, 1, seed=2))
+    history = training.train_tagger(tagger, training.samples(rows, tok, 20), rows=4, epochs=40, rate=1e-2)
+    assert history[-1]["loss"] < 0.1 < history[0]["loss"]
+    found = training.evaluated(rows, tok, tagger)
+    numbers = F.create_map(*[F.lit(v) for kv in ner.LABELS.items() for v in kv])
+    metrics = one_row(A.token_metrics(found.select(F.element_at(numbers, F.col("pred")).alias("pred"), F.element_at(numbers, F.col("gold")).alias("gold"))))
+    assert metrics["f1"] > 0.95
+    sides = [A.entities(found.select("sentence", "pos", F.col(c).alias("tag"))) for c in ("pred", "gold")]
+    assert {r["type"]: r["support"] for r in A.entity_metrics(*sides).collect()} == {None: 40, "PER": 32, "LOC": 8}
+    assert [(e["text"], e["type"]) for e in ner.tagged(rows.where("id = 0"), tok, tagger).first()["entities"]] in ([("roma", "LOC")], [("roma", "LOC")])  # persons in lower case go
+    again, tok2, about = training.unpacked(training.packed(tagger, tok, {"seq_len": 20, "lr": 1e-2}, history[-1]))
+    assert np.array_equal(again.logits([3, 4]), tagger.logits([3, 4])) and tok2 == tok and about["config"]["context_size"] == 20 and about["config"]["learning_rate"] == 1e-2
+    assert isinstance(training.unpacked(training.packed(model, tok, {}))[0], lm.Transformer)
+
+
 def test_interactive_search(spark, tmp_path):
     from textloom import cli
 
@@ -554,6 +611,27 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["stats", "--source", str(tmp_path / "p.html"), "--index", str(tmp_path / "i"), "--min-words", "20"]) == 0
 
 
+def test_command_line_of_models(spark, tmp_path, capsys):
+    from textloom import cli
+
+    def said(*args):
+        assert cli.main([str(a) for a in args]) == 0
+        return capsys.readouterr().out
+
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/a.txt").write_text("ana va a roma. eva va a roma. " * 8)
+    out = said("train-causal", tmp_path / "c", "--output", tmp_path / "m", "--size", 20, "--context", 8, "--width", 8, "--heads", 2, "--layers", 1, "--epochs", 2)
+    assert [json.loads(x)["epoch"] for x in out.splitlines()] == [1, 2]
+    assert said("generate", tmp_path / "m", "ana ", "--count", 5).startswith("ana ") and said("experiment-generate", tmp_path / "m", "ana", "--count", 2).count("| ana") >= 9
+    (tmp_path / "x.conll").write_text("ana B-PER\nva O\n\nroma B-LOC\n")
+    assert len(said("train-ner", tmp_path / "m", tmp_path / "x.conll", "--output", tmp_path / "n", "--epochs", 2).splitlines()) == 2
+    assert '"n":' in said("eval-ner", tmp_path / "n", tmp_path / "x.conll", "--output", tmp_path / "e") and "entities" in next((tmp_path / "e").glob("part-*")).read_text()
+    said("ner", tmp_path / "n", "--text", "ana va")
+    assert json.loads(said("analyze-bpe", tmp_path / "c", "--text", "ana va"))["n_chars"] == 6
+    with pytest.raises(SystemExit):
+        cli.main(["ner", str(tmp_path / "n")])
+
+
 def test_front_matter_names_a_chapter_until_the_first(spark):
     page = "<h2>Tasa</h2><p>uno dos</p><h2>El Rey</h2><p>tres cuatro</p><h3>Capitulo I</h3><p>cinco seis</p><h3>Segunda parte</h3><p>siete ocho</p>"
     rows = corpus.headed_blocks(corpus.html_blocks(spark.createDataFrame([(1, page)], "id long, html string"))).orderBy("pos").collect()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import simple_tokens
-from .operators import annotation, bpe, codec, corpus, lm, lotes, ner, report, search
+from .operators import annotation, bpe, codec, corpus, lm, lotes, ner, report, search, training
 from .session import session
 from .sources import files, sinks
 from .sources.butler import Butler
@@ -19,6 +19,8 @@ from .streaming.agent import Agent
 #: Ways to search, and words that end an interactive run (fixed values).
 MODES, EXITS = ("classic", "semantic", "rag"), {"exit", "quit", "salir", "q"}
 NO_CHAPTER = "Sin capítulo detectado"
+#: What experiments go through (fixed values).
+TEMPERATURES, TOPS = (0.5, 0.8, 1.2), (10, 20, 50)
 
 
 class Searcher:
@@ -118,23 +120,41 @@ def _parser() -> argparse.ArgumentParser:
         s = sub.add_parser(name)
         s.add_argument("file")
         s.add_argument("--variant", choices=("lenient", "strict"), default="strict")
-    for name in ("analyze-bpe", "ner"):
-        s = sub.add_parser(name)
-        s.add_argument("folder")
-        s.add_argument("--text")
-        s.add_argument("--file")
-        s.add_argument("--size", type=int, default=300)
-    s = sub.add_parser("experiment-generate")
+    s = sub.add_parser("analyze-bpe")
     s.add_argument("folder")
-    s.add_argument("prompt")
     s.add_argument("--size", type=int, default=300)
-    s.add_argument("--count", type=int, default=20)
+    t = sub.add_parser("ner")
+    t.add_argument("model")
+    for x in (s, t):
+        x.add_argument("--text")
+        x.add_argument("--file")
+    s = sub.add_parser("train-causal", aliases=["train"])
+    s.add_argument("folder")
+    s.add_argument("--output", required=True)
+    for name, value in (("size", 400), ("context", 128), ("rows", 32), ("width", 128), ("heads", 4), ("layers", 4), ("epochs", 8), ("seed", 42)):
+        s.add_argument(f"--{name}", type=int, default=value)
+    s = sub.add_parser("train-ner")
+    s.add_argument("model", help="a trained language model")
+    s.add_argument("conll")
+    s.add_argument("--output", required=True)
+    s.add_argument("--epochs", type=int, default=10)
+    s.add_argument("--seed", type=int, default=42)
+    for name in ("generate", "experiment-generate"):
+        s = sub.add_parser(name)
+        s.add_argument("model")
+        s.add_argument("prompt")
+        s.add_argument("--count", type=int, default=60)
+        s.add_argument("--seed", type=int, default=42)
+        if name == "generate":
+            s.add_argument("--temperature", type=float, default=0.8)
+            s.add_argument("--top-k", type=int, default=20)
     s = sub.add_parser("prepare-ner-data")
     s.add_argument("merged")
     s.add_argument("output")
     s = sub.add_parser("eval-ner")
-    s.add_argument("predicted")
-    s.add_argument("gold")
+    s.add_argument("model")
+    s.add_argument("conll")
+    s.add_argument("--output")
     s = sub.add_parser("report")
     s.add_argument("annotations")
     s.add_argument("assignments", nargs="+", help="of part 1, part 2, ...")
@@ -158,7 +178,17 @@ def _one_of(p: argparse.ArgumentParser, spark: SparkSession, a: argparse.Namespa
 
 
 def _trained(spark: SparkSession, folder: str, size: int) -> bpe.Bpe:
-    return bpe.train(files.corpus(spark, folder).select(F.col("path").alias("id"), "text"), size)
+    return bpe.train(files.corpus(spark, folder).select(F.xxhash64("path").alias("id"), "text"), size)
+
+
+def _model(spark: SparkSession, path: str) -> tuple:
+    return training.unpacked(bytes(files.binary(spark, path).first()["data"]))
+
+
+def _labelled(spark: SparkSession, path: str) -> DataFrame:
+    """(id, words, labels) of a CoNLL file's sentences."""
+    rows = files.conll(spark, path).groupBy("path", "sentence").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "label"))).alias("u"))  # a sentence's
+    return rows.select(F.xxhash64("path", "sentence").alias("id"), F.transform("u", lambda x: x["word"]).alias("words"), F.transform("u", lambda x: x["label"]).alias("labels"))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -192,25 +222,52 @@ def main(argv: list[str] | None = None) -> int:
         text = _one_of(p, spark, a)
         print(json.dumps(bpe.analysis(spark, _trained(spark, a.folder, a.size), text), ensure_ascii=False))
     elif a.command == "ner":
-        text = _one_of(p, spark, a)
-        words = spark.createDataFrame([(0, text)], "id long, text string").select("id", simple_tokens(F.col("text")).alias("words"))
-        tok = _trained(spark, a.folder, a.size)
-        tagger = ner.Tagger.random(len(tok.vocabulary), 128, 32, 4, 2)  # no trained weights come with this package
+        tagger, tok, _ = _model(spark, a.model)
+        words = spark.createDataFrame([(0, _one_of(p, spark, a))], "id long, text string").select("id", simple_tokens(F.col("text")).alias("words"))
         show(ner.tagged(words, tok, tagger).select(F.explode("entities").alias("e")).select("e.*"))
-    elif a.command == "experiment-generate":
+    elif a.command in ("train-causal", "train"):
         tok = _trained(spark, a.folder, a.size)
-        model = lm.Transformer.random(len(tok.vocabulary), 128, 32, 4, 2)
-        grid = lm.experiments(spark.createDataFrame([(t,) for t in (0.5, 0.8, 1.2)], "temperature double"), spark.createDataFrame([(k,) for k in (10, 20, 50)], "top_k int")).orderBy("temperature", "top_k").collect()
+        text = files.joined(files.corpus(spark, a.folder)).select(tok.ids(tok.encode(F.col("text"))).alias("ids")).first()
+        model = lm.Transformer.random(len(tok.vocabulary), a.context, a.width, a.heads, a.layers, a.seed)
+        config = {"context_size": a.context, "lr": training.RATE, "vocab_size": a.size, "d_model": a.width, "n_heads": a.heads, "n_layers": a.layers}
+
+        def keep(_, row: dict) -> None:
+            print(json.dumps(row))
+            sinks.write_bytes(spark, training.packed(model, tok, config, row, a.seed), a.output)
+
+        training.train_causal(model, text["ids"], length=a.context, rows=a.rows, epochs=a.epochs, seed=a.seed, after=keep)
+    elif a.command == "train-ner":
+        body, tok, about = _model(spark, a.model)
+        tagger = ner.Tagger.of(body, a.seed)
+        history = training.train_tagger(tagger, training.samples(_labelled(spark, a.conll), tok, len(body.w["places"])), epochs=a.epochs, seed=a.seed)
+        sinks.write_bytes(spark, training.packed(tagger, tok, about["config"], history[-1], a.seed), a.output)
+        for row in history:
+            print(json.dumps(row))
+    elif a.command in ("generate", "experiment-generate"):
+        model, tok, _ = _model(spark, a.model)
         prompt = spark.range(1).select(tok.ids(tok.encode(F.lit(a.prompt))).alias("ids")).first()["ids"]
-        rows = [(r["temperature"], r["top_k"], "".join(tok.vocabulary[i] for i in model.generate(prompt, a.count, temperature=r["temperature"], k=r["top_k"]))) for r in grid]
-        print(lm.as_markdown(rows, ["temperature", "top_k", "text"]), end="")
+        said = lambda t, k: a.prompt + "".join(tok.vocabulary[i] for i in model.generate(prompt, a.count, temperature=t, k=k, seed=a.seed))
+        if a.command == "generate":
+            print(said(a.temperature, a.top_k))
+        else:
+            grid = lm.experiments(spark.createDataFrame([(t,) for t in TEMPERATURES], "temperature double"), spark.createDataFrame([(k,) for k in TOPS], "top_k int"))
+            rows = [(r["temperature"], r["top_k"], said(r["temperature"], r["top_k"])) for r in grid.orderBy("temperature", "top_k").collect()]
+            print(lm.as_markdown(rows, ["temperature", "top_k", "text"]), end="")
     elif a.command == "prepare-ner-data":
         rows = files.merged(spark, a.merged)
         sinks.write_conll(rows, a.output, one_file=True)
         show(lotes.conll_statistics(rows))
     elif a.command == "eval-ner":
-        sides = [annotation.entities(files.conll(spark, x).select(F.struct("path", "sentence")["sentence"].alias("sentence"), "pos", F.col("label").alias("tag"))) for x in (a.predicted, a.gold)]
-        show(annotation.entity_metrics(*sides))
+        tagger, tok, _ = _model(spark, a.model)
+        found = training.evaluated(_labelled(spark, a.conll), tok, tagger)
+        sides = [annotation.entities(found.select("sentence", "pos", F.col(c).alias("tag"))) for c in ("pred", "gold")]
+        numbers = F.create_map(*[F.lit(v) for kv in ner.LABELS.items() for v in kv])
+        tokens = annotation.token_metrics(found.select(*[F.element_at(numbers, F.col(c)).alias(c) for c in ("pred", "gold")]))
+        entities = annotation.entity_metrics(*sides)
+        if a.output:
+            sinks.write_metrics(tokens.crossJoin(entities.agg(F.collect_list(F.struct(*entities.columns)).alias("entities"))), a.output)  # a row by kind
+        show(tokens)
+        show(entities)
     elif a.command == "report":
         sinks.write_text(spark, report.page(report.of_files(spark, a.annotations, a.assignments)), a.output)
     elif a.command == "templates":

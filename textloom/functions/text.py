@@ -125,17 +125,17 @@ def tokens_of(base: str) -> list[str]:
     return sorted({f for f in forms if lemma_of(f) == base})
 
 
-@lru_cache(1)
-def stop_tokens() -> tuple[str, ...]:
-    """All tokens whose base form is a stopword."""
-    return tuple(sorted({t for w in STOPWORDS for t in tokens_of(w)}))
+@lru_cache(8)
+def stop_tokens(more: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """All tokens whose base form is a stopword, one of these or of another library's list."""
+    return tuple(sorted({t for w in {*STOPWORDS, *more} for t in tokens_of(w)}))
 
 
-def useful_tokens(norm: Column) -> Column:
-    """The tokens of a normalized text, as they stand, whose base forms content() keeps, in order."""
+def useful_tokens(norm: Column, more: tuple[str, ...] = ()) -> Column:
+    """The tokens of a normalized text, as they stand, whose base forms content() keeps, in order; `more`: further stopwords."""
     bare = F.regexp_replace(norm, r"(?<![^ ])\p{Nd}+(?![^ ])", "")
     every = F.filter(F.split(bare, " "), lambda t: t != "")
-    useful = F.filter(every, lambda t: ~t.isin(*stop_tokens()))
+    useful = F.filter(every, lambda t: ~t.isin(*stop_tokens(more)))
     return F.when(F.size(useful) > 0, useful).otherwise(every)
 
 

@@ -35,7 +35,13 @@ def perplexity(loss: Column) -> Column:
     return F.exp(loss)
 
 
-_erf = np.vectorize(math.erf, otypes=[float])
+def gelu(u: np.ndarray) -> np.ndarray:
+    """u times the normal distribution's share below it, which is within 1e-7 of the true one (a rational approximation of the
+    error function, Abramowitz and Stegun 7.1.26)."""
+    x = np.abs(u) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-x * x)
+    return u * 0.5 * (1 + np.sign(u) * (1 - tail))
 
 
 def generated(prompts: DataFrame, model: Transformer, count: int, *, temperature: float = 1.0, k: int | None = None, seed: int = 0) -> DataFrame:
@@ -112,7 +118,7 @@ class Transformer:
         for i in range(self.layers):
             x = x + self.attention(self._norm(x, f"{i}.one"), i)
             h = self._layer(self._norm(x, f"{i}.two"), f"{i}.up")
-            x = x + self._layer(h * 0.5 * (1 + _erf(h / math.sqrt(2))), f"{i}.down")
+            x = x + self._layer(gelu(h), f"{i}.down")
         return self._norm(x, "out")
 
     def generate(self, prompt: list[int], count: int, *, temperature: float = 1.0, k: int | None = None, seed: int = 0) -> list[int]:

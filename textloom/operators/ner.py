@@ -135,6 +135,12 @@ class Tagger:
         rng = np.random.default_rng(seed + 1)
         return cls(Transformer.random(vocabulary, length, width, heads, layers, seed, causal=False), rng.normal(0, 0.02, (width, len(LABELS))), np.zeros(len(LABELS)))
 
+    @classmethod
+    def of(cls, model: Transformer, seed: int = 0) -> Tagger:
+        """A tagger that starts from a language model's weights."""
+        width = model.w["tokens"].shape[1]
+        return cls(Transformer(dict(model.w), model.heads, causal=False), np.random.default_rng(seed).normal(0, 0.02, (width, len(LABELS))), np.zeros(len(LABELS)))
+
     def logits(self, ids: list[int]) -> np.ndarray:
         if len(ids) > len(self.body.w["places"]):
             raise ValueError(f"{len(ids)} ids, at most {len(self.body.w['places'])}")

@@ -113,3 +113,13 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A text made on the driver, such as a report's page, to any store."""
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
+    """Bytes made on the driver, such as a trained model, as one file in any store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
