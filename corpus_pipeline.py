@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import languages, quality
-from textloom.llm.common import pick, stored, table, tokenizer_path
+from textloom.llm.common import discard, pick, stored, table, tokenizer_path
 from textloom.llm.line_dedup import dedup_lines
 from textloom.llm.minhash import near_duplicates
 from textloom.llm.packing import pack
@@ -43,7 +43,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the smallest doc_id stays."""
     docs = _documents(docs)
-    gone = stored(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    found = near_duplicates(docs)
+    gone = stored(found.where("not kept").select("doc_id").distinct(), "gone")
+    discard(*found._reads)
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -67,5 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
