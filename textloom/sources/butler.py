@@ -7,8 +7,10 @@ import os
 import urllib.parse
 import urllib.request
 
-#: Settings by their names in the environment, the address without one, and seconds to wait (fixed values).
-ADDRESS, AGENT, HERE, WAIT = "FDI_PLN__BUTLER_ADDRESS", "FDI_PLN__AGENTE", "http://127.0.0.1:7719", 5
+#: Settings by their names in the environment.
+ADDRESS, AGENT = "TEXTLOOM_BUTLER_ADDRESS", "TEXTLOOM_AGENT"
+#: The address without one, and seconds to wait (fixed values).
+HERE, WAIT = "http://127.0.0.1:7719", 5
 
 
 def alias_of(info: dict) -> str:
