@@ -184,6 +184,54 @@ def test_overlap_chunks_match_a_model(spark):
         assert corpus.chunk([" ".join(u) for u in units], 20) == model(units, 20)
 
 
+def test_blocks_between_marks_match_a_loop(spark):
+    """Which blocks stay, and under which headings, against a loop over them."""
+    rng = random.Random(8)
+    texts = ["Primera parte", "SEGUNDA PARTE del libro", "Capitulo I", "CAPITULO II de algo", "Prólogo", "una frase cualquiera", "otra frase mas larga", "xiv", "1605", corpus.START + " X", corpus.END + " X", "produced by nobody"]
+    pages = [[(rng.choice(["h2", "h3", "p", "div"]), rng.choice(texts)) for _ in range(rng.randint(0, 14))] for _ in range(150)]
+    rows = [(i, pos, tag, text) for i, page in enumerate(pages) for pos, (tag, text) in enumerate(page)]
+    want = []
+    for i, page in enumerate(pages):
+        starts, ends = ([p for p, (_, t) in enumerate(page) if m in t.upper()] for m in (corpus.START, corpus.END))
+        both, inside, part, chapter = bool(starts and ends), not (starts and ends), None, None
+        for pos, (tag, text) in enumerate(page):
+            if corpus.START in text.upper():
+                inside = True
+                continue
+            if corpus.END in text.upper() and (inside or not both):
+                break
+            if not inside or re.fullmatch(r"[ivxlcdm]+|\d+", text) or "produced by" in text or corpus.END in text.upper():
+                continue
+            if tag in ("h2", "h3") and re.match(r"(primera|segunda)\s+parte", text, re.I):
+                part = text
+            elif tag in ("h2", "h3") and re.match(r"capitulo|pr[oó]logo", text, re.I):
+                chapter = text
+            want.append((i, pos, part, f"{part} | {chapter}" if part and chapter else part or chapter))
+    got = corpus.headed_blocks(spark.createDataFrame(rows, "id long, pos int, tag string, text string")).orderBy("id", "pos").collect()
+    assert [(r["id"], r["pos"], r["part"], r["chapter"]) for r in got] == want
+
+
+@pytest.mark.parametrize("variant", ["lenient", "strict"])
+def test_codec_comes_back(spark, variant):
+    rng = random.Random(9)
+    own = codec.Codec.of(variant)
+    alphabet = [c for c in "abcxyzABCñÑáÉüÜ .,;:0123456789\n" if own.decode(own.encode(c)) == c]
+    assert len(alphabet) > 28
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for r in codec.convert(rows, variant).collect():
+        assert r["back"] == texts[r["id"]] and set(r["coded"]) <= set(own.valid)
+    data = spark.createDataFrame([(bytes(rng.randrange(256) for _ in range(rng.randint(0, 300))),) for _ in range(50)] + [(None,)], "data binary")
+    for r in data.select("data", codec.detect(F.col("data"), variant).alias("share")).collect():
+        if r["data"] is not None:
+            assert r["share"] == (sum(b in own.valid for b in r["data"]) / len(r["data"]) if r["data"] else 0.0)
+    want = {}
+    for r in data.where("data is not null").collect():
+        for b in r["data"]:
+            want[b] = want.get(b, 0) + 1
+    assert {r["byte"]: r["n"] for r in codec.histogram(data).collect()} == want
+
+
 def test_votes_of_many_and_agreement(spark):
     votes = [(1, 0, 1, "pi"), (1, 0, 2, "li"), (1, 0, 3, "li"), (1, 1, 1, "li"), (1, 1, 2, "pi"), (1, 1, 3, "o"), (1, 2, 1, "o"), (1, 2, 2, "o"), (1, 2, 3, "ps"), (1, 3, 1, ""), (1, 3, 2, "x"), (1, 3, 3, "o"), (2, 0, 1, "pi")]
     rows = spark.createDataFrame(votes, "sentence long, pos int, annotator int, label string")
