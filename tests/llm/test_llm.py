@@ -693,7 +693,21 @@ def test_letters_and_scripts(spark):
     assert languages.words("हिन्दी ภาษาไทย e\u0301te ab1cd_e") == ["हिन्दी", "ภาษาไทย", "e\u0301te", "ab", "cd", "e"]
 
 
-def test_viterbi_matches_brute_force():
+def test_scores_are_sums_over_n_grams():
+    rng = random.Random(5)
+    found = ["".join(rng.choice("abcdéñдж𝒜") for _ in range(rng.randint(1, 7))) for _ in range(300)] + ["İ", "a"]
+    known = {g for w in found[:200] for g in languages.grams(w.lower(), 4) if rng.random() < 0.7}
+    weights = {g: np.array([rng.random(), rng.random()], np.float32) for g in sorted(known)}
+    lab = languages.Labeller(languages.Model(["x", "y"], weights, np.array([-0.5, -0.25], np.float32), {}, 4), 1.0)
+    got = lab.scores(found)
+    for w, s in zip(found, got):
+        want = sum((weights.get(g, np.array([-0.5, -0.25])).astype(float) for g in languages.grams(w.lower(), 4)), np.zeros(2)) / 4
+        assert np.allclose(s, want, atol=1e-4)
+    numbers, lengths = lab.read([" ".join(found), None, "", "  a  b-c ½ "])
+    assert lengths.tolist() == [len(found), 0, 0, 3] and (lab.table[numbers[: len(found)]] == got).all()
+
+
+def test_viterbi_matches_brute_force(monkeypatch):
     weights = {"a": np.array([0.0, -1.0], np.float32), "b": np.array([-1.0, 0.0], np.float32)}
     lab = languages.Labeller(languages.Model(["x", "y"], weights, np.array([-0.5, -0.5]), {}, 1), 1.2)
     rng = random.Random(0)
@@ -703,6 +717,9 @@ def test_viterbi_matches_brute_force():
         value = lambda p: sum(s[i][k] for i, k in enumerate(p)) - 1.2 * sum(a != b for a, b in zip(p, p[1:]))
         best = max((value(p) for p in itertools.product((0, 1), repeat=len(t))), default=0)
         assert abs(value(path.tolist()) - best) < 1e-4
+    together = [p.tolist() for p in lab.paths(texts)]
+    monkeypatch.setattr(languages, "SIDE", 0)  # all side by side to the end
+    assert together == [p.tolist() for p in lab.paths(texts)] == [lab.paths([t])[0].tolist() for t in texts]
 
 
 # pages

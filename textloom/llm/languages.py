@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick, spare
-from .tokens import runs
+from .tokens import Known, gathered, runs
 
 
 def _ranges(kinds: str) -> str:
@@ -44,7 +44,9 @@ def _ranges(kinds: str) -> str:
 _LETTERS, _MARKS = _ranges("L"), _ranges("M")
 WORD = re.compile(f"[{_LETTERS}][{_LETTERS}{_MARKS}]*")
 #: Bytes of the texts that a worker labels side by side, at least.
-RUN = 1_000_000
+RUN = 1_500_000
+#: Texts that go through the recursion side by side, at least.
+SIDE = 24
 _PLAIN = re.compile("[A-Za-z]+")
 
 
@@ -89,56 +91,108 @@ class Model:
 
 
 class Labeller:
-    """Keeps the scores of the words it has seen, at most CACHE."""
+    """Keeps the scores of the words it has seen, about CACHE, and the words of the units between spaces."""
 
     CACHE = 150_000
 
     def __init__(self, model: Model, switch: float):
         self.m, self.switch = model, switch
-        self.at: dict[str, int] = {}
-        self.table = np.zeros((1024, len(model.langs)), np.float32)
         self.users = {k: u for k, u in model.scripts.items() if u.any()}
-        self.gram = {g: i for i, g in enumerate(model.weights)}
         self.rows = np.stack([*model.weights.values(), model.missing]).astype(np.float32)  # the last for what isn't known
+        # n-grams as numbers, 16 bits for each of their characters, in order, with their rows
+        letters = sorted({c for g in model.weights for c in g})
+        if model.most > 4 or len(letters) > 0xFFFF:
+            raise ValueError("n-grams of more than 4 letters, or of too many different ones")
+        self.place = np.zeros(0x110000, np.uint16)
+        self.place[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.grams = []
+        for n in range(1, model.most + 1):
+            own = [(i, g) for i, g in enumerate(model.weights) if len(g) == n]
+            keys = self._packed(self.place[np.array([[ord(c) for c in g] for _, g in own], np.int64).reshape(-1)], n)[::n] if own else np.zeros(0, np.uint64)
+            by = np.argsort(keys)
+            self.grams.append((keys[by], np.array([i for i, _ in own], np.int64)[by]))
+        self._forget()
+
+    @staticmethod
+    def _packed(places: np.ndarray, n: int) -> np.ndarray:
+        """Each n neighbouring characters as one number."""
+        out = np.zeros(max(0, len(places) - n + 1), np.uint64)
+        for k in range(n):
+            out = (out << np.uint64(16)) | places[k : len(places) - n + 1 + k].astype(np.uint64)
+        return out
+
+    def _forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.table, self.letters = np.zeros((1024, len(self.m.langs)), np.float32), np.zeros(1024, np.int32)
+        self.units = Known()
+
+    def numbers(self, found: list[str]) -> np.ndarray:
+        """Each word's row in the table of scores."""
+        new = [w for w in dict.fromkeys(found) if w not in self.at]
+        while len(self.at) + len(new) > len(self.table):
+            self.table, self.letters = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
+        for i in range(0, len(new), 5_000):
+            part, n = new[i : i + 5_000], len(self.at)
+            self.table[n : n + len(part)] = self._score(part)
+            self.letters[n : n + len(part)] = list(map(len, part))
+            self.at.update(zip(part, range(n, n + len(part))))
+        return np.fromiter(map(self.at.__getitem__, found), np.uint32, len(found))
 
-    def scores(self, words: list[str]) -> np.ndarray:
+    def scores(self, found: list[str]) -> np.ndarray:
         """A row of scores for each word."""
-        new = [w for w in set(words) if w not in self.at]
-        if len(self.at) + len(new) > self.CACHE:
-            self.at.clear()
-            new = list(set(words))
-        if len(self.at) + len(new) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(new)), self.table.shape[1]), np.float32)])
-        for i in range(0, len(new), 5_000):
-            part = new[i : i + 5_000]
-            self.table[len(self.at) : len(self.at) + len(part)] = self._score(part)
-            self.at.update(zip(part, range(len(self.at), len(self.at) + len(part))))
-        return self.table[np.fromiter(map(self.at.__getitem__, words), np.int32, len(words))]
-
-    def _score(self, words: list[str]) -> np.ndarray:
-        known, unknown, most = self.gram.get, len(self.rows) - 1, self.m.most
-        ids: list[int] = []
-        starts = []
-        for w in words:
-            starts.append(len(ids))
-            ids += [known(g, unknown) for g in grams(w.lower(), most)]
-        s = np.add.reduceat(self.rows[ids], starts, axis=0) / most
+        return self.table[self.numbers(found)]
+
+    def _score(self, found: list[str]) -> np.ndarray:
+        low = [f"^{w.lower()}$" for w in found]
+        sizes = np.fromiter(map(len, low), np.int64, len(low))
+        places = self.place[np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        s = np.zeros((len(found), self.rows.shape[1]), np.float32)
+        for n, (known, rows) in enumerate(self.grams, 1):
+            keys = self._packed(places, n)[np.arange(1, max(0, len(places) - n + 1) + 1) + n - 1 <= ends[: max(0, len(places) - n + 1)]]
+            at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+            row = np.where(known[at] == keys, rows[at], len(self.rows) - 1) if len(known) else np.full(len(keys), len(self.rows) - 1)
+            each = np.maximum(sizes - n + 1, 0)
+            some = np.flatnonzero(each)
+            if len(some):
+                s[some] += np.add.reduceat(self.rows[row], (np.cumsum(each) - each)[some], axis=0)
+        s /= self.m.most
         every = np.ones(s.shape[1], bool)  # where no language is known to use the script, all remain
-        narrow = np.array([self.users.get(main_script(w), every) for w in words])
+        narrow = np.array([self.users.get(main_script(w), every) for w in found])
         return np.where(narrow, s, s.max(1, keepdims=True) - 50.0)
 
-    def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The language number of each word of each text, on the best path."""
-        lengths = np.array([len(t) for t in texts])
-        all_scores = self.scores([w for t in texts for w in t])
-        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    def _learn(self, units) -> tuple[np.ndarray, np.ndarray]:
+        got = [words(u) for u in units.to_pylist()]
+        return self.numbers([w for g in got for w in g]), np.array([len(g) for g in got], np.int64)
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' words as rows of the table, end to end, and how many each text has. No word goes over a space, so
+        only the distinct units between spaces are searched for words."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.at) > self.CACHE:
+            self._forget()
+        cut = pc.split_pattern(pc.fill_null(pa.array(texts, pa.large_string()), ""), " ")
+        units = cut.flatten().dictionary_encode()
+        at = self.units.find(units.dictionary, self._learn)[units.indices.to_numpy()]
+        sizes = self.units.sizes[at]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return gathered(self.units.ids, self.units.starts[at], sizes), np.diff(total[np.cumsum(np.append(0, cut.value_lengths().to_numpy()))])
+
+    def best(self, numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The language number of each word, on the best path of each text."""
+        all_scores = self.table[numbers].astype(np.float64)
+        starts = np.cumsum(lengths) - lengths
         order = np.argsort(-lengths, kind="stable")
         active = np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)), "left")  # texts longer than t
+        # from where few texts are left, each goes on by itself; the sums are the same, in the same order
+        tail = max(1, int(np.searchsorted(-active, -SIDE, "right"))) if len(active) else 0
         begin = starts[order]
         stay = np.zeros(all_scores.shape, bool)
         source = np.zeros(len(all_scores), np.int16)  # best language before a change
-        prev = np.zeros((len(texts), all_scores.shape[1]), np.float32)
-        for t, n in enumerate(active.tolist()):
+        prev = np.zeros((len(lengths), all_scores.shape[1]))
+        for t, n in enumerate(active[:tail].tolist()):
             at = begin[:n] + t
             p = prev[:n]
             if t:
@@ -149,8 +203,11 @@ class Labeller:
                 p = np.maximum(p, change) - top[:, None]
             prev[:n] = p + all_scores[at]
         label = np.zeros(len(all_scores), np.int16)
-        now = np.zeros(len(texts), np.int16)
-        for t in range(len(active) - 1, -1, -1):
+        now = np.zeros(len(lengths), np.int16)
+        for j in range(int(active[tail]) if tail < len(active) else 0):
+            first, end = int(begin[j]) + tail, int(begin[j] + lengths[order[j]])
+            label[first:end], now[j] = self._alone(prev[j].tolist(), all_scores[first:end].tolist())
+        for t in range(tail - 1, -1, -1):
             n = int(active[t])
             before = int(active[t + 1]) if t + 1 < len(active) else 0
             now[before:n] = prev[before:n].argmax(1)  # texts that end here
@@ -158,7 +215,33 @@ class Labeller:
             label[at] = now[:n]
             if t:
                 now[:n] = np.where(stay[at, now[:n]], now[:n], source[at])
-        return [label[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist())]
+        return label
+
+    def _alone(self, p: list[float], rows: list[list[float]]) -> tuple[list[int], int]:
+        """The rest of one text's path, given the sums before it, and the language before."""
+        back = []
+        for s in rows:
+            top = max(p)
+            change = top - self.switch
+            back.append((p.index(top), [x >= change for x in p]))
+            p = [(x if x >= change else change) - top + y for x, y in zip(p, s)]
+        k, out = p.index(max(p)), []
+        for best, keep in reversed(back):
+            out.append(k)
+            k = k if keep[k] else best
+        return out[::-1], k
+
+    def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """best() of texts given as words."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        return np.split(self.best(self.numbers([w for t in texts for w in t]), lengths), np.cumsum(lengths)[:-1]) if texts else []
+
+    def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Letters by text and language on the best paths, the paths end to end, and how many words each text has."""
+        numbers, lengths = self.read(texts)
+        path, langs = self.best(numbers, lengths), len(self.m.langs)
+        of = np.repeat(np.arange(len(texts)), lengths)
+        return np.bincount(of * langs + path, self.letters[numbers], len(texts) * langs).reshape(len(texts), langs), path, lengths
 
 
 def fit(docs: DataFrame, *, per_language: int = 300, most: int = 4, most_grams: int = 300_000, least_grams: int = 2_000, most_langs: int = 5_000) -> Model:
@@ -233,19 +316,15 @@ def label(docs: DataFrame, model: Model, *, switch: float = 6.0, spans: bool = F
         for batch in batches:
             out: dict[str, list] = {"lang_pred": [], "score": [], "spans": []}
             for _, _, texts in runs(batch.column(1), RUN):
-                found = [words(t) if t and langs else [] for t in texts]
-                for t, own, path in zip(texts, found, labeller.paths(found) if langs else found):
-                    if not own:
-                        out["lang_pred"].append("und")
-                        out["score"].append(0.0)
-                        out["spans"].append([])
-                        continue
-                    share = np.bincount(path, np.fromiter(map(len, own), np.int64, len(own)), len(langs))
-                    k = int(share.argmax())
-                    out["lang_pred"].append(langs[k])
-                    out["score"].append(float(share[k] / share.sum()))
-                    if spans:
-                        out["spans"].append(_runs(t, path, langs))
+                if not langs:
+                    share, path, lengths = np.zeros((len(texts), 1)), np.zeros(0, np.int16), np.zeros(len(texts), np.int64)
+                else:
+                    share, path, lengths = labeller.shares(texts)
+                total, first = share.sum(1), share.argmax(1)
+                out["lang_pred"] += [langs[k] if n else "und" for k, n in zip(first.tolist(), total.tolist())]
+                out["score"] += (share.max(1) / np.maximum(total, 1)).tolist()
+                if spans:
+                    out["spans"] += [_runs(t, own, langs) if len(own) else [] for t, own in zip(texts, np.split(path, np.cumsum(lengths)[:-1]))]
             columns = [batch.column(0), pa.array(out["lang_pred"], pa.string()), pa.array(out["score"], pa.float64())]
             names = ["doc_id", "lang_pred", "score"]
             if spans:
@@ -278,10 +357,9 @@ def accepted(docs: DataFrame, model: Model, *, least: float = 0.4, switch: float
         for batch in batches:
             keep = []
             for _, _, texts in runs(batch.column(at), RUN):
-                found = [words(t) if t and langs else [] for t in texts]
-                for own, path in zip(found, labeller.paths(found) if langs else found):
-                    share = np.bincount(path, np.fromiter(map(len, own), np.int64, len(own))) if own else np.zeros(1)
-                    keep.append(bool(share.max() >= least * share.sum() > 0))
+                share = labeller.shares(texts)[0] if langs else np.zeros((len(texts), 1))
+                total = share.sum(1)
+                keep += ((share.max(1) >= least * total) & (total > 0)).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
