@@ -245,7 +245,7 @@ def lote_report(spark, sf_dir):
 @book(f"""WITH {_LOTE}, p AS (SELECT sentence, k, clave, left(CASE WHEN a <> 'o' THEN a ELSE nullif(b, 'o') END, 1) AS kind FROM both_),
 g AS (SELECT *, lag(kind) OVER (PARTITION BY sentence ORDER BY k) AS before FROM p),
 l AS (SELECT sentence, k, clave, CASE WHEN kind IS NULL THEN 'o' WHEN before = kind THEN kind || 'c' ELSE kind || 'i' END AS label FROM g)
-SELECT sentence, string_agg(clave, '' ORDER BY k) AS text, string_agg(label, ' ' ORDER BY k) AS labels, sum(length(clave)) FILTER (label <> 'o') AS entity FROM l GROUP BY sentence""")
+SELECT sentence, string_agg(clave, '' ORDER BY k) AS text, string_agg(label, ' ' ORDER BY k) AS labels, CAST(sum(length(clave)) FILTER (label <> 'o') AS BIGINT) AS entity FROM l GROUP BY sentence""")
 def merged_sentences(spark, sf_dir):
     """Merged sentences, with their labels and how many characters have one beside o."""
     records, sentences, files = _lote(spark, sf_dir)
