@@ -127,8 +127,10 @@ def occurrences(tokens: Column, wanted: list[str]) -> Column:
     """An array of struct(pos, term) where the query's terms stand, in order."""
     terms = list(dict.fromkeys(wanted))
     forms = {t: T.tokens_of(t) for t in terms}
-    placed = F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
-    hits = F.filter(placed, lambda s: s["token"].isin(*[f for own in forms.values() for f in own]))
+    every = [f for own in forms.values() for f in own]
+    # places and tokens by themselves, so that tokens that are no hit make no struct
+    places = F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(*every), i)), lambda i: i.isNotNull())
+    hits = F.filter(tokens, lambda t: t.isin(*every))
 
     def term(token: Column) -> Column:
         out = F.lit(terms[-1])
@@ -136,7 +138,7 @@ def occurrences(tokens: Column, wanted: list[str]) -> Column:
             out = F.when(token.isin(*forms[t]), t).otherwise(out)
         return out
 
-    return F.transform(hits, lambda s: F.struct(s["pos"].alias("pos"), term(s["token"]).alias("term")))
+    return F.zip_with(places, hits, lambda i, t: F.struct(i.alias("pos"), term(t).alias("term")))
 
 
 def _is(term: str) -> Callable:
@@ -170,7 +172,8 @@ def cover_span(hits: Column, wanted: list[str]) -> Column:
 def _probed(rows: DataFrame, query: tuple[str, list[str], list[str]]) -> DataFrame:
     """(id, ord, chapter, hits, exact, n_terms, n_words) of the annotated passages where the query's terms or the query itself stand."""
     whole, lemmas, wanted = query
-    found = rows.select("id", "ord", "chapter", occurrences(F.col("tokens"), wanted).alias("hits"), exact_matches(F.col("norm"), F.col("tokens"), whole, lemmas, wanted).alias("exact"), F.size("tokens").alias("n_terms"), F.size(F.split("norm", " ")).alias("n_words"))
+    # exploding one value keeps the filter from working out the hits anew
+    found = rows.select("id", "ord", "chapter", "norm", "tokens", F.explode(F.array(occurrences(F.col("tokens"), wanted))).alias("hits")).select("id", "ord", "chapter", "hits", exact_matches(F.col("norm"), F.col("tokens"), whole, lemmas, wanted).alias("exact"), F.size("tokens").alias("n_terms"), F.size(F.split("norm", " ")).alias("n_words"))
     return found.where((F.size("hits") > 0) | (F.col("exact") > 0))
 
 

@@ -72,7 +72,8 @@ def document_frequency(spark, sf_dir):
 
 
 def _hits(spark, sf_dir, wanted: list[str]) -> DataFrame:
-    return search.annotate(passages(spark, sf_dir)).select("id", search.occurrences(F.col("tokens"), wanted).alias("hits"))
+    # exploding one value keeps what follows from working out the hits anew
+    return search.annotate(passages(spark, sf_dir)).select("id", F.explode(F.array(search.occurrences(F.col("tokens"), wanted))).alias("hits"))
 
 
 @book(f"""WITH {DOCS}, f AS (SELECT t AS term, count(*) AS df FROM (SELECT unnest(list_distinct(terms)) AS t FROM d) GROUP BY t),
