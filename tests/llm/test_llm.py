@@ -139,7 +139,7 @@ def test_shared_shingles_bound_similarity(spark):
     texts = {i: near(base, rng.randint(0, 8), rng) for i in range(80)}
     known = minhash.Hashes()
     sets = {i: minhash.shingles(t, 5, known) for i, t in texts.items()}
-    rest = spark.createDataFrame([(0, i, i) for i in sets], "bucket long, id long, component long")
+    rest = spark.createDataFrame([(0, i, i, len(s)) for i, s in sets.items()], "bucket long, id long, component long, n long")
     held = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in sets.items()], "id long, shingles array<long>")
     left = {r["id"] for r in minhash._possible(rest, held, 75, []).collect()}
     true = {i: set(s.tolist()) for i, s in sets.items()}

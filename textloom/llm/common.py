@@ -64,6 +64,20 @@ def discard(*dfs: DataFrame) -> None:
             df._stored_at = None
 
 
+def sliced(batches, at: int, least: int = 4_000_000):
+    """Arrow batches in parts of at least so many bytes in the column `at`, so that what is made of a part stays small."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        i = 0
+        while i < len(ends):
+            j = min(len(ends), int(np.searchsorted(ends, (ends[i - 1] if i else 0) + least)) + 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def spare() -> None:
     """In a worker: gives back what earlier stages' caches and allocators hold, for a stage that doesn't use them."""
     import ctypes

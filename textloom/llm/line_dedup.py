@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, pick, spare, stored
+from .common import discard, pick, sliced, spare, stored
 
 #: Stripped from a line's ends for its key (fixed value).
 BLANKS = " \t\n\x0b\x0c\r"
@@ -96,7 +96,7 @@ def _mark(bits: int, least: int):
             return at, np.union1d(at[n > 1], np.concatenate(twice) if twice else np.zeros(0, np.int64))
 
         held = 0
-        for batch in batches:
+        for batch in sliced(batches, 0):
             rows, _, keys, _ = _keys(batch.column(0), least)
             h = _hashes(keys)
             seen.append(_positions(h[_once(rows, h)], bits).ravel())
@@ -155,7 +155,7 @@ def _suspects(sent, bits: int, least: int):
 
         spare()
         bitmap = np.frombuffer(sent.value, np.uint8)
-        for batch in batches:
+        for batch in sliced(batches, 2):
             rows, _, keys, _ = _keys(batch.column(2), least)
             h = _hashes(keys)
             p = _positions(h, bits)
@@ -183,7 +183,7 @@ def _cleaned(batches: Iterator, least: int, loses, carried: int) -> Iterator:
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    for batch in batches:
+    for batch in sliced(batches, 1):
         texts = batch.column(1)
         rows, at, keys, cut = _keys(texts, least)
         gone = loses(batch, rows, keys)

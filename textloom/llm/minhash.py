@@ -45,7 +45,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, pick, spare, stored
+from .common import discard, pick, sliced, spare, stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space to str.split, but not between words here (fixed values).
@@ -65,7 +65,7 @@ class Hashes(dict):
     def __missing__(self, word: str) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxh3_64_intdigest(word)
         return h
@@ -131,7 +131,7 @@ def _signed(bands: int, rows: int, words: int):
         spare()
         signer, known = Signer(bands, rows), Hashes()
         half = (1 << 64) - 1
-        for batch in batches:
+        for batch in sliced(batches, 1):
             n, a, b, keys, sketch = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, words, known)
@@ -153,7 +153,7 @@ def _sets(words: int):
 
         spare()
         known = Hashes()
-        for batch in batches:
+        for batch in sliced(batches, 1):
             found = [shingles(t, words, known).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
 
@@ -263,7 +263,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
     alone = stored(full.groupBy("fp_a", "fp_b").agg(one).select("fp_a", "fp_b", F.col("h.doc_id").alias("id"), "h.n_shingles", "h.keys", "h.sketch"), "heads")
     copies = full.select("doc_id", "fp_a", "fp_b").join(alone.select("id", "fp_a", "fp_b"), ["fp_a", "fp_b"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
 
-    buckets = stored(alone.select("id", F.explode("keys").alias("bucket")), "buckets")
+    # n: the size of the set; an id that heads several classes has a row for each
+    buckets = stored(alone.select("id", F.explode("keys").alias("bucket"), F.col("n_shingles").alias("n")), "buckets")
     leaders = stored(buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("bucket", "leader"), "leaders")
     shared = stored(buckets.join(leaders, "bucket"), "shared")
     discard(buckets, leaders)
@@ -301,12 +302,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
     star = stored(shared.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "star")
     links = confirmed(with_sketches(star), "star")
     tried, n, members = star, 0, shared.count()
-    shared = shared.select("bucket", "id")
+    shared = shared.select("bucket", "id", "n")
     used.append(star)
     while True:
         # what buckets still hold of several components; the rest is settled
         grouped = components(links)
-        placed = stored(shared.join(grouped, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "placed")
+        placed = stored(shared.join(grouped, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
         mixed = stored(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"), "mixed")
         rest = stored(placed.join(mixed, "bucket", "left_semi"), "rest")
         discard(grouped, placed, mixed)
@@ -328,7 +329,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
         tried = tried.union(best)
         if new.isEmpty():
             break
-        links, shared = links.union(new), rest.select("bucket", "id")
+        links, shared = links.union(new), rest.select("bucket", "id", "n")
 
     if sizes:
         sets = None
@@ -336,7 +337,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
             sets = sets_of(rest.select("id"), "rest")
             used.append(sets)
             rest = _possible(rest, sets, percent, used)
-        across = stored(_across(rest, alone, sets, percent, bands, rows, part), "across")
+        across = stored(_across(rest, alone, sets, percent, bands, rows, part, used), "across")
         used.append(across)
         links = links.union(confirmed(across.join(tried, ["a", "b"], "left_anti"), "rest", sets))
 
@@ -349,7 +350,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
 
 
 def _possible(rest: DataFrame, sets: DataFrame, percent: int, used: list[DataFrame]) -> DataFrame:
-    """The rows (bucket, id, component) whose shingles that others of the rows have too don't rule out a link."""
+    """The rows (bucket, id, component, n, the least size of an id's sets) whose shingles that others of the rows have too don't rule out a link."""
     before = None
     while True:
         ids = rest.select("id").distinct()
@@ -361,19 +362,18 @@ def _possible(rest: DataFrame, sets: DataFrame, percent: int, used: list[DataFra
         # an id in several rows has its largest count; a shingle that only rows of one id have is its own
         held = own.select("id", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
         lone = held.groupBy("id").agg(F.count("*").alias("lone"))
-        size = own.groupBy("id").agg(F.max(F.size("shingles")).alias("n"), F.min(F.size("shingles")).alias("m"), F.count("*").alias("k"))
-        bound = size.join(lone, "id", "left").select("id", "n", "m", F.when(F.col("k") == 1, F.col("n") - F.coalesce("lone", F.lit(0))).otherwise(F.col("n")).alias("s"))
-        sized = rest.join(bound, "id")
-        least = sized.groupBy("bucket").agg(F.min("m").alias("low"))
-        best = sized.join(least, "bucket").groupBy("id").agg(F.min("low").alias("low"), F.first("n").alias("n"), F.first("s").alias("s"))
-        stay = best.where(F.col("s") * 100 >= (F.col("n") + F.greatest("low", "s") - F.col("s")) * percent).select("id")
-        kept = rest.join(stay, "id", "left_semi").select("bucket", "id", "component")
-        mixed = kept.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        rest = stored(kept.join(mixed, "bucket", "left_semi"), "possible")
+        size = own.groupBy("id").agg(F.max(F.size("shingles")).alias("most"), F.count("*").alias("k"))
+        least = rest.groupBy("bucket").agg(F.min("n").alias("low"))
+        near = rest.join(least, "bucket").groupBy("id").agg(F.min("low").alias("low"))
+        s = F.when(F.col("k") == 1, F.col("most") - F.coalesce("lone", F.lit(0))).otherwise(F.col("most"))
+        bound = size.join(lone, "id", "left").join(near, "id").select("id", "low", "most", s.alias("s"))
+        stay = bound.where(F.col("s") * 100 >= (F.col("most") + F.greatest("low", "s") - F.col("s")) * percent).select("id")
+        # buckets left with one component make no pairs, so they may stay
+        rest = stored(rest.join(stay, "id", "left_semi"), "possible")
         used.append(rest)
 
 
-def _across(rest: DataFrame, heads: DataFrame, sets: DataFrame | None, percent: int, bands: int, rows: int, part: int) -> DataFrame:
+def _across(rest: DataFrame, heads: DataFrame, sets: DataFrame | None, percent: int, bands: int, rows: int, part: int, used: list[DataFrame]) -> DataFrame:
     """(a, b): pairs that share a bucket, across components, that the sketches let through."""
     known = heads.select("id", "sketch", "n_shingles", "keys")
     if sets is not None:
@@ -384,7 +384,8 @@ def _across(rest: DataFrame, heads: DataFrame, sets: DataFrame | None, percent:
     # each bucket's commonest component; the others' members meet its and each other's
     count = rest.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     most = count.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.ceil(F.sum("c") / part).cast("int").alias("parts"))
-    full = rest.join(most, "bucket").join(known, "id").withColumn("minor", F.col("component") != F.col("major"))
+    full = stored(rest.select("bucket", "id", "component").join(most, "bucket").join(known, "id").withColumn("minor", F.col("component") != F.col("major")), "sides")
+    used.append(full)
     sides = [full.select("bucket", "parts", *[F.col(c).alias(f"{n}{x}") for c, n in (("id", "i"), ("component", "c"), ("sketch", "s"), ("n_shingles", "n"), ("keys", "k"), ("fine", "f"), ("minor", "m"))]) for x in "ab"]
     few = sides[0].where("ma").withColumn("salt", F.pmod(F.xxhash64("ia"), F.col("parts")).cast("int")).drop("parts")
     every = sides[1].withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")

@@ -15,6 +15,8 @@ import re
 
 import numpy as np
 
+from .common import sliced
+
 #: Units whose ids a worker keeps.
 CACHE = 500_000
 #: Characters that the library's pattern takes as white space (fixed values, Unicode White_Space).
@@ -193,11 +195,9 @@ def forget() -> None:
 
 def runs(column, least: int = 3_000_000):
     """Successive parts of an Arrow column of texts, of at least so many bytes each: first row, end, texts."""
-    import pyarrow.compute as pc
+    import pyarrow as pa
 
-    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     i = 0
-    while i < len(ends):
-        j = min(len(ends), int(np.searchsorted(ends, (ends[i - 1] if i else 0) + least)) + 1)
-        yield i, j, column.slice(i, j - i).to_pylist()
-        i = j
+    for part in sliced([pa.RecordBatch.from_arrays([column], names=["t"])], 0, least):
+        yield i, i + len(part), part.column(0).to_pylist()
+        i += len(part)
