@@ -132,6 +132,24 @@ def test_large_groups_about_the_threshold(spark, options, monkeypatch):
     assert seen or options == {}
 
 
+def test_buckets_that_can_link_nothing_more_are_met_once(spark, monkeypatch):
+    """Copies of one text, many linked with nothing: their rows by bucket are written once, for no round that links little."""
+    rng = random.Random(5)
+    base = prose(90, rng)
+    rows = [(i, near(base, i % 14, rng)) for i in range(1, 300)]
+    written, stored = [], minhash.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == _components({d: shingle_set(t) for d, t in rows})
+    assert 0 < sum(n for name, n in written if name == "rest") <= sum(n for name, n in written if name == "shared")
+
+
 def test_shared_shingles_bound_similarity(spark):
     """Documents go only where nothing in their buckets can be similar enough."""
     rng = random.Random(3)

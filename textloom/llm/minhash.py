@@ -12,17 +12,17 @@ whose sets have 100 * intersection >= percent * union are linked; a component is
 3. Star round: each band bucket's smallest id is its leader; the others are candidates with
    it. A bucket of any size gives one row for each member. Candidates whose sketches rule
    the similarity out go; the rest are confirmed on full sets.
-4. Drawn rounds: buckets that still hold several components draw another leader; between two components
-   the likeliest candidate is confirmed. Large groups whose members lie about the threshold grow together
-   here, at a row for each member, until a round links nothing, `most_rounds` are over,
-   or all pairs left are at most twice the members that shared a bucket.
-5. Rest round, over the buckets that still hold several components. A shingle that only one of their documents
-   has can be in no intersection, so a document's other shingles bound its similarity to all it shares
-   a bucket with; those that the bound keeps under the threshold go, again and again, as the fewer left have fewer
-   shingles in common. Those that stay get a sketch of eight times the samples, and in each bucket the members of all
-   but its commonest component meet the others, in parts of bounded size, with both sketch tests inside the join
-   and each pair in the first bucket that it shares. What is already linked makes no pairs, and no pair is
+4. Rest round, over the buckets that still hold several components. In those of at most SMALL members, the members
+   of all but the commonest component meet the others in a join, with the sketch test inside. Larger ones are narrowed first: a
+   shingle that only one of their documents has can be in no intersection, so a document's other shingles bound its
+   similarity to all it shares a large bucket with; those that the bound keeps under the threshold leave the large
+   buckets, again and again, as the fewer left have fewer shingles in common. Those that stay get a sketch of eight times the
+   samples and meet in blocks of bounded size, where numpy makes both tests. What is already linked makes no pairs, and no pair is
    left untried that shares a bucket and may be similar enough.
+5. Drawn rounds, before large buckets' members meet: while more than twice as many pairs are left there as members shared a
+   bucket, large buckets draw another leader, and between two components the likeliest candidate is confirmed. Large groups whose
+   members lie about the threshold grow together here, at a row for each member. `most_rounds` at most, and no further
+   one once a round leaves more than half of the pairs.
 6. Components by least label over the confirmed links, with pointer jumping; each step
    is written to the shared folder.
 
@@ -42,7 +42,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, pick, sliced, spare, stored
@@ -55,6 +55,8 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 LONGS, FINE = 16, 8
 #: Pairs of one id, or members of a bucket, that a task takes at a time.
 PART = 2000
+#: Members of a bucket that meet as they are.
+SMALL = 16
 #: The most of the pairs just at the threshold that the sketch test may miss: what lies beyond 5 deviations.
 MISS = 2.867e-7
 
@@ -264,10 +266,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
     copies = full.select("doc_id", "fp_a", "fp_b").join(alone.select("id", "fp_a", "fp_b"), ["fp_a", "fp_b"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
 
     # n: the size of the set; an id that heads several classes has a row for each
-    buckets = stored(alone.select("id", F.explode("keys").alias("bucket"), F.col("n_shingles").alias("n")), "buckets")
-    leaders = stored(buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("bucket", "leader"), "leaders")
-    shared = stored(buckets.join(leaders, "bucket"), "shared")
-    discard(buckets, leaders)
+    within = Window.partitionBy("bucket")
+    buckets = alone.select("id", F.explode("keys").alias("bucket"), F.col("n_shingles").alias("n"))
+    led = buckets.select("bucket", "id", "n", F.min("id").over(within).alias("leader"), F.max("id").over(within).alias("last"))
+    shared = stored(led.where("leader < last").drop("last"), "shared")
     # a doc_id that repeats with other texts heads several classes, each with its own set
     sketches = alone.select("id", "sketch", "n_shingles")
     used = [alone, shared]
@@ -278,19 +280,23 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
         fits = _sizes_fit(percent) & _likely(percent, bands * rows)
         return pairs.join(left, "a").join(right, "b").where(fits).select("a", "b", *more, *([_apart().alias("distance")] if distance else []))
 
+    def few(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+        """The rows of df that have one of these ids."""
+        needed = stored(ids.select(F.col("id").alias("needed")).distinct(), "needed")
+        used.append(needed)
+        sent = needed.count() <= most_sent  # ids only, so the rows needn't move
+        return df.join(F.broadcast(needed) if sent else needed, df[key] == needed["needed"], "left_semi")
+
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
         """(id, shingles) of the documents with these ids."""
-        needed = stored(ids.distinct(), f"needed-{name}")
-        few = needed.count() <= most_sent  # ids only, so the texts needn't move
-        texts = docs.join(F.broadcast(needed) if few else needed, docs["doc_id"] == needed["id"], "left_semi")
-        sets = stored(texts.mapInArrow(_sets(words), "id long, shingles array<long>"), f"sets-{name}")
-        discard(needed)
-        return sets
+        texts = few(docs, ids, "doc_id")
+        return stored(texts.mapInArrow(_sets(words), "id long, shingles array<long>"), f"sets-{name}")
 
     def confirmed(pairs: DataFrame, name: str, sets: DataFrame | None = None) -> DataFrame:
         """The pairs whose full sets are similar enough."""
         pairs = stored(pairs, f"pairs-{name}")
-        own = sets or sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), name)
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+        own = few(sets, ids) if sets else sets_of(ids, name)
         both = with_sets(with_sets(pairs, "b", own, "xb", part), "a", own, "xa", part)
         common = F.size(F.array_intersect("xa", "xb"))
         near = common * 100 >= (F.size("xa") + F.size("xb") - common) * percent
@@ -301,45 +307,47 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 75, bands
 
     star = stored(shared.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "star")
     links = confirmed(with_sketches(star), "star")
-    tried, n, members = star, 0, shared.count()
-    shared = shared.select("bucket", "id", "n")
+    tried, members = star, shared.count()
     used.append(star)
-    while True:
-        # what buckets still hold of several components; the rest is settled
+
+    def unsettled(held: DataFrame) -> DataFrame:
+        """(bucket, id, n, component, c: the bucket's members) of the buckets in `held` that have several components."""
         grouped = components(links)
-        placed = stored(shared.join(grouped, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
-        mixed = stored(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"), "mixed")
-        rest = stored(placed.join(mixed, "bucket", "left_semi"), "rest")
+        placed = stored(held.join(grouped, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
+        mixed = stored(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low < high").select("bucket", "c"), "mixed")
+        out = stored(placed.join(mixed, "bucket"), "rest")
         discard(grouped, placed, mixed)
-        used.append(rest)
-        # where all pairs that are left are about as few as the members were, they are tried as they are
-        sizes = rest.groupBy("bucket").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
-        if n == most_rounds or sizes <= 2 * members:
-            break
-        n += 1
-        # every bucket draws another leader; of the candidates between two components, the likeliest is tried
-        draw = F.struct(F.xxhash64("bucket", "id", F.lit(n)).alias("h"), "id", "component")
-        drawn = stored(rest.groupBy("bucket").agg(F.min(draw).alias("l")).select("bucket", F.col("l.id").alias("leader"), F.col("l.component").alias("leads")), "drawn")
-        apart = rest.join(drawn, "bucket").where("component <> leads").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), F.least("component", "leads").alias("ca"), F.greatest("component", "leads").alias("cb")).distinct()
-        likely = with_sketches(apart, "ca", "cb", distance=True).join(tried, ["a", "b"], "left_anti")
-        best = stored(likely.groupBy("ca", "cb").agg(F.min(F.struct("distance", "a", "b")).alias("p")).select("p.a", "p.b"), "likeliest")
-        new = confirmed(best, "drawn")
-        discard(drawn)
-        used.append(best)
-        tried = tried.union(best)
-        if new.isEmpty():
-            break
-        links, shared = links.union(new), rest.select("bucket", "id", "n")
-
-    if sizes:
-        sets = None
-        if sizes > 2 * members:  # many pairs: those that can't be similar enough go first
-            sets = sets_of(rest.select("id"), "rest")
-            used.append(sets)
-            rest = _possible(rest, sets, percent, used)
-        across = stored(_across(rest, alone, sets, percent, bands, rows, part, used), "across")
-        used.append(across)
-        links = links.union(confirmed(across.join(tried, ["a", "b"], "left_anti"), "rest", sets))
+        used.append(out)
+        return out
+
+    rest = unsettled(shared)
+    small, large, sets = rest.where(F.col("c") <= SMALL), rest.where(F.col("c") > SMALL), None
+    across = stored(_across_small(small, few(alone, small), percent, bands, rows), "across-small")
+    used.append(across)
+    if not large.isEmpty():
+        # one reading of the texts for the large buckets and for the pairs of the small ones
+        sets = sets_of(large.select("id").union(across.select("a")).union(across.select("b")), "rest")
+        used.append(sets)
+        large = _possible(large.drop("c"), sets, percent, used)
+        n, before = 0, None
+        while n < most_rounds and (pairs := _open(large)) > 2 * members and (before is None or 2 * pairs <= before):
+            n, before = n + 1, pairs
+            # every bucket draws another leader; of the candidates between two components, the likeliest is tried
+            draw = F.struct(F.xxhash64("bucket", "id", F.lit(n)).alias("h"), "id", "component")
+            drawn = stored(large.groupBy("bucket").agg(F.min(draw).alias("l")).select("bucket", F.col("l.id").alias("leader"), F.col("l.component").alias("leads")), "drawn")
+            apart = large.join(drawn, "bucket").where("component <> leads").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), F.least("component", "leads").alias("ca"), F.greatest("component", "leads").alias("cb")).distinct()
+            likely = with_sketches(apart, "ca", "cb", distance=True).join(tried, ["a", "b"], "left_anti")
+            best = stored(likely.groupBy("ca", "cb").agg(F.min(F.struct("distance", "a", "b")).alias("p")).select("p.a", "p.b"), "likeliest")
+            new = confirmed(best, "drawn", sets)
+            discard(drawn)
+            used.append(best)
+            tried = tried.union(best)
+            if new.isEmpty():
+                break
+            links = links.union(new)
+            large = unsettled(large.select("bucket", "id", "n")).drop("c")
+        across = across.union(_across_large(large, few(alone, large), few(sets, large), percent, bands, rows, part)).distinct()
+    links = links.union(confirmed(across.join(tried, ["a", "b"], "left_anti"), "rest", sets))
 
     final = components(links.union(copies))
     discard(*used)
@@ -362,7 +370,7 @@ def _possible(rest: DataFrame, sets: DataFrame, percent: int, used: list[DataFra
         # an id in several rows has its largest count; a shingle that only rows of one id have is its own
         held = own.select("id", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
         lone = held.groupBy("id").agg(F.count("*").alias("lone"))
-        size = own.groupBy("id").agg(F.max(F.size("shingles")).alias("most"), F.count("*").alias("k"))
+        size = sets.select("id", F.size("shingles").alias("size")).join(ids, "id", "left_semi").groupBy("id").agg(F.max("size").alias("most"), F.count("*").alias("k"))
         least = rest.groupBy("bucket").agg(F.min("n").alias("low"))
         near = rest.join(least, "bucket").groupBy("id").agg(F.min("low").alias("low"))
         s = F.when(F.col("k") == 1, F.col("most") - F.coalesce("lone", F.lit(0))).otherwise(F.col("most"))
@@ -373,25 +381,60 @@ def _possible(rest: DataFrame, sets: DataFrame, percent: int, used: list[DataFra
         used.append(rest)
 
 
-def _across(rest: DataFrame, heads: DataFrame, sets: DataFrame | None, percent: int, bands: int, rows: int, part: int, used: list[DataFrame]) -> DataFrame:
-    """(a, b): pairs that share a bucket, across components, that the sketches let through."""
-    known = heads.select("id", "sketch", "n_shingles", "keys")
-    if sets is not None:
-        fine = sets.join(rest.select("id").distinct(), "id", "left_semi").mapInArrow(_fine(bands, rows), "id long, fine array<long>")
-        known = known.join(fine, "id")
-    else:
-        known = known.withColumn("fine", F.lit(None).cast("array<long>"))
-    # each bucket's commonest component; the others' members meet its and each other's
+def _open(rest: DataFrame) -> int:
+    """The pairs in buckets that are of two components."""
+    own = rest.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    return own.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s")).agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()[0] or 0
+
+
+def _sides(rest: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows with what is known of each id, and whether it is outside its bucket's commonest component (minor): only pairs with such a one are across."""
     count = rest.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    most = count.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.ceil(F.sum("c") / part).cast("int").alias("parts"))
-    full = stored(rest.select("bucket", "id", "component").join(most, "bucket").join(known, "id").withColumn("minor", F.col("component") != F.col("major")), "sides")
-    used.append(full)
-    sides = [full.select("bucket", "parts", *[F.col(c).alias(f"{n}{x}") for c, n in (("id", "i"), ("component", "c"), ("sketch", "s"), ("n_shingles", "n"), ("keys", "k"), ("fine", "f"), ("minor", "m"))]) for x in "ab"]
-    few = sides[0].where("ma").withColumn("salt", F.pmod(F.xxhash64("ia"), F.col("parts")).cast("int")).drop("parts")
-    every = sides[1].withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    meet = (few["bucket"] == every["bucket"]) & (few["salt"] == every["salt"]) & (F.col("ca") != F.col("cb")) & (~F.col("mb") | (F.col("ia") < F.col("ib"))) & (F.col("ia") != F.col("ib"))
-    first = F.element_at(F.filter(F.zip_with("ka", "kb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
-    fits = _sizes_fit(percent) & _likely(percent, bands * rows)
-    if sets is not None:
-        fits &= _apart(LONGS * FINE, "fa", "fb") <= F.lit(_bound(percent, bands * rows * FINE, 64 * LONGS * FINE))
-    return few.join(every, meet & fits & (first == few["bucket"])).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
+    most = count.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.sum("c").alias("members"))
+    return rest.select("bucket", "id", "component").join(most, "bucket").withColumn("minor", F.col("component") != F.col("major")).drop("major").join(known, "id")
+
+
+def _across_small(rest: DataFrame, heads: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
+    """(a, b): pairs that share a bucket, across components, that the sketches let through."""
+    full = _sides(rest, heads.select("id", "sketch", "n_shingles"))
+    a, b = (full.select("bucket", *[F.col(c).alias(f"{n}{x}") for c, n in (("id", "i"), ("component", "c"), ("sketch", "s"), ("n_shingles", "n"), ("minor", "m"))]) for x in "ab")
+    meet = F.col("ma") & (F.col("ca") != F.col("cb")) & (~F.col("mb") | (F.col("ia") < F.col("ib")))
+    return a.join(b, "bucket").where(meet & _sizes_fit(percent) & _likely(percent, bands * rows)).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
+
+
+def _across_large(rest: DataFrame, heads: DataFrame, sets: DataFrame, percent: int, bands: int, rows: int, part: int) -> DataFrame:
+    """The same for buckets of any size, by a finer sketch too. A bucket's members are dealt to parts, and every two parts meet in a group;
+    a pair is given by the first bucket that it shares alone."""
+    fine = sets.mapInArrow(_fine(bands, rows), "id long, fine array<long>")
+    full = _sides(rest, heads.select("id", "sketch", "n_shingles", "keys").join(fine, "id"))
+    full = full.withColumn("parts", F.ceil(F.col("members") / part).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    full = full.select("bucket", "x", "y", "own", "id", "component", "minor", "n_shingles", "sketch", "fine", "keys")
+    bounds = _bound(percent, bands * rows), _bound(percent, bands * rows * FINE, 64 * LONGS * FINE)
+    return full.groupBy("bucket", "x", "y").applyInArrow(_met(percent, *bounds), "a long, b long").distinct()
+
+
+def _met(percent: int, most: int, most_fine: int):
+    def work(table):
+        import pyarrow as pa
+
+        col = lambda c: table.column(c).combine_chunks()
+        own, ids, component, minor, n = (col(c).to_numpy(zero_copy_only=False) for c in ("own", "id", "component", "minor", "n_shingles"))
+        sketch, fine, keys = (col(c).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) for c in ("sketch", "fine", "keys"))
+        bucket, x, y = (table.column(c)[0].as_py() for c in ("bucket", "x", "y"))
+        one, other = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        found = []
+        for i in one.tolist():
+            # of the two rows of a pair within a part, the later one
+            j = other if x != y else other[other > i]
+            j = j[(minor[i] | minor[j]) & (component[j] != component[i]) & (ids[j] != ids[i])]
+            j = j[np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent]
+            j = j[np.bitwise_count((sketch[j] ^ sketch[i]).view(np.uint64)).sum(1, dtype=np.int64) <= most]
+            j = j[np.bitwise_count((fine[j] ^ fine[i]).view(np.uint64)).sum(1, dtype=np.int64) <= most_fine]
+            same = keys[j] == keys[i]
+            j = j[keys[i][same.argmax(1)] == bucket] if len(j) else j
+            found.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])]))
+        a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return work
