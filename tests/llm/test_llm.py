@@ -344,6 +344,15 @@ def test_token_file_gives_documents_in_order(spark, docs, none, tmp_path, block_
     assert token_file.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_a_large_block_is_coded_in_many_lanes():
+    """A step's fixed work is shared by as many ids as a block's 256 steps leave for it."""
+    ids = np.random.default_rng(1).geometric(0.01, 1 << 21).astype("<u4")
+    block = coder.write_block([7], ids, np.array([len(ids)]), 50_000)
+    assert coder.HEAD.unpack_from(block)[3] == 1 << 13
+    names, got, sizes = coder.read_block(block)
+    assert names == [7] and sizes.tolist() == [len(ids)] and np.array_equal(got, ids)
+
+
 # SentencePiece
 
 

@@ -28,7 +28,7 @@ import numpy as np
 MAGIC = b"TLC2"
 #: crc32 of all that follows; then ids, lanes, vocabulary, documents, crc32 of ids, bytes of the documents' table.
 HEAD = struct.Struct("<4sIIIIIII")
-LANES = 4096
+LANES = 16384
 _SLOTS = 1 << 18
 _BITS = 20  # the order-0 counts are scaled to a total of 1 << _BITS
 _BOTTOM, _U = np.uint64(1 << 32), np.uint64

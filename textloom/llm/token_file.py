@@ -22,7 +22,7 @@ from .tokens import encoder, runs
 BLOCKS = "part int, block int, documents int, tokens long, payload binary"
 
 
-def blocks(docs: DataFrame, tokenizer: str, *, end_id: int = 0, block_tokens: int = 1 << 20) -> DataFrame:
+def blocks(docs: DataFrame, tokenizer: str, *, end_id: int = 0, block_tokens: int = 1 << 22) -> DataFrame:
     """The blocks of the documents, each closed by the first document that fills it.
 
     Null text: the end id alone. Documents are in order of doc_id (null first), those that repeat a doc_id in
