@@ -734,6 +734,34 @@ def test_scores_are_sums_over_n_grams():
     assert lengths.tolist() == [len(found), 0, 0, 3] and (lab.table[numbers[: len(found)]] == got).all()
 
 
+def test_language_workers_hold_little(spark, monkeypatch):
+    """Workers get a model as arrays, not as an object for each n-gram, and give texts back in parts."""
+    import pickle
+    import tracemalloc
+
+    import pyarrow as pa
+
+    grams = ["".join(g) for g in itertools.product("abcdefghijklmnopqr", repeat=4)][:100_000]
+    model = languages.Model(["x", "y"], {g: np.array([-1.0, -2.0], np.float32) for g in grams}, np.array([-9.0, -9.0]), {}, 4)
+    texts = ["abcd efgh " * 20_000, None, "12", ""] * 40
+    rows = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    docs = spark.range(1).selectExpr("id doc_id", "'' text")
+    sent, work = [], []
+    send = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or send(self, x))
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **k: work.append(f) or self)
+    languages.accepted(docs, model)
+    blob = pickle.dumps(sent[0])
+    tracemalloc.start()
+    held = pickle.loads(blob)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held.langs == ["x", "y"] and size < 40 * len(grams)
+    parts = list(work[0](iter([rows])))
+    assert [d for p in parts for d in p.column(0).to_pylist()] == list(range(0, len(texts), 4))
+    assert max(p.get_total_buffer_size() for p in parts) < 3 * languages.RUN < rows.nbytes
+
+
 def test_viterbi_matches_brute_force(monkeypatch):
     weights = {"a": np.array([0.0, -1.0], np.float32), "b": np.array([-1.0, 0.0], np.float32)}
     lab = languages.Labeller(languages.Model(["x", "y"], weights, np.array([-0.5, -0.5]), {}, 1), 1.2)

@@ -78,15 +78,16 @@ def sliced(batches, at: int, least: int = 4_000_000):
             i = j
 
 
-def spare() -> None:
-    """In a worker: gives back what earlier stages' caches and allocators hold, for a stage that doesn't use them."""
+def spare(forget: bool = True) -> None:
+    """In a worker: gives back what earlier stages' caches and allocators hold, for a stage that doesn't use them; without
+    `forget`, the tokenizers' caches stay."""
     import ctypes
     import gc
     import sys
 
     import pyarrow as pa
 
-    if tokens := sys.modules.get("textloom.llm.tokens"):
+    if forget and (tokens := sys.modules.get("textloom.llm.tokens")):
         tokens.forget()
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -90,37 +90,50 @@ class Model:
     most: int
 
 
-class Labeller:
-    """Keeps the scores of the words it has seen, about CACHE, and the words of the units between spaces."""
+def _packed(places: np.ndarray, n: int) -> np.ndarray:
+    """Each n neighbouring characters as one number."""
+    out = np.zeros(max(0, len(places) - n + 1), np.uint64)
+    for k in range(n):
+        out = (out << np.uint64(16)) | places[k : len(places) - n + 1 + k].astype(np.uint64)
+    return out
 
-    CACHE = 150_000
 
-    def __init__(self, model: Model, switch: float):
-        self.m, self.switch = model, switch
+class Tables:
+    """A model as a few arrays, which is what workers get: an object for each n-gram would take them tens of MB."""
+
+    def __init__(self, model: Model):
+        self.langs, self.most = model.langs, model.most
         self.users = {k: u for k, u in model.scripts.items() if u.any()}
         self.rows = np.stack([*model.weights.values(), model.missing]).astype(np.float32)  # the last for what isn't known
         # n-grams as numbers, 16 bits for each of their characters, in order, with their rows
         letters = sorted({c for g in model.weights for c in g})
         if model.most > 4 or len(letters) > 0xFFFF:
             raise ValueError("n-grams of more than 4 letters, or of too many different ones")
-        self.place = np.zeros(0x110000, np.uint16)
-        self.place[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        self.grams = []
+        self.letters = np.array([ord(c) for c in letters], np.int64)
+        place, self.grams = self.places(), []
         for n in range(1, model.most + 1):
             own = [(i, g) for i, g in enumerate(model.weights) if len(g) == n]
-            keys = self._packed(self.place[np.array([[ord(c) for c in g] for _, g in own], np.int64).reshape(-1)], n)[::n] if own else np.zeros(0, np.uint64)
+            keys = _packed(place[np.frombuffer("".join(g for _, g in own).encode("utf-32-le", "surrogatepass"), np.uint32)], n)[::n]
             by = np.argsort(keys)
-            self.grams.append((keys[by], np.array([i for i, _ in own], np.int64)[by]))
-        self._forget()
+            self.grams.append((keys[by], np.array([i for i, _ in own], np.int32)[by]))
 
-    @staticmethod
-    def _packed(places: np.ndarray, n: int) -> np.ndarray:
-        """Each n neighbouring characters as one number."""
-        out = np.zeros(max(0, len(places) - n + 1), np.uint64)
-        for k in range(n):
-            out = (out << np.uint64(16)) | places[k : len(places) - n + 1 + k].astype(np.uint64)
+    def places(self) -> np.ndarray:
+        """The number of each character, 0 for those in no n-gram."""
+        out = np.zeros(0x110000, np.uint16)
+        out[self.letters] = np.arange(1, len(self.letters) + 1)
         return out
 
+
+class Labeller:
+    """Keeps the scores of the words it has seen, about CACHE, and the words of the units between spaces."""
+
+    CACHE = 150_000
+
+    def __init__(self, model: Model | Tables, switch: float):
+        self.m, self.switch = Tables(model) if isinstance(model, Model) else model, switch
+        self.users, self.rows, self.grams, self.place = self.m.users, self.m.rows, self.m.grams, self.m.places()
+        self._forget()
+
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
         self.table, self.letters = np.zeros((1024, len(self.m.langs)), np.float32), np.zeros(1024, np.int32)
@@ -149,7 +162,7 @@ class Labeller:
         ends = np.repeat(np.cumsum(sizes), sizes)
         s = np.zeros((len(found), self.rows.shape[1]), np.float32)
         for n, (known, rows) in enumerate(self.grams, 1):
-            keys = self._packed(places, n)[np.arange(1, max(0, len(places) - n + 1) + 1) + n - 1 <= ends[: max(0, len(places) - n + 1)]]
+            keys = _packed(places, n)[np.arange(1, max(0, len(places) - n + 1) + 1) + n - 1 <= ends[: max(0, len(places) - n + 1)]]
             at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
             row = np.where(known[at] == keys, rows[at], len(self.rows) - 1) if len(known) else np.full(len(keys), len(self.rows) - 1)
             each = np.maximum(sizes - n + 1, 0)
@@ -249,12 +262,15 @@ def fit(docs: DataFrame, *, per_language: int = 300, most: int = 4, most_grams:
     4 isn't 2; of each language about `per_language` whole texts (those whose
     hash lies under that share). Each language keeps its most frequent n-grams: its part of `most_grams`, at least `least_grams`, and
     so every language of which a sampled text has letters can be predicted. More than `most_langs` values of lang are an error."""
+    import pyarrow as pa
+
     rows = pick(docs, doc_id="doc_id", text="text", lang="lang").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang")
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out("doc_id"), F.lit(False)))
     share = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_langs + 1).toPandas()
     if len(share) > most_langs:
         raise ValueError(f"more than {most_langs} values of lang")
-    sizes = docs.sparkSession.createDataFrame([(x, per_language / n) for x, n in zip(share["lang"], share["n"])], "lang string, least double")
+    # from Arrow, as rows of Python objects would start Python workers of another kind, which stay beside the others for a minute
+    sizes = docs.sparkSession.createDataFrame(pa.table([pa.array(share["lang"].tolist(), pa.string()), pa.array([per_language / n for n in share["n"]], pa.float64())], names=["lang", "least"]))
     picked = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) < F.col("least") * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator) -> Iterator:
@@ -292,6 +308,11 @@ def fit(docs: DataFrame, *, per_language: int = 300, most: int = 4, most_grams:
     return Model(langs, weights, missing, {s: v >= 0.01 * letters for s, v in scripts.items()}, most)
 
 
+def _sent(docs: DataFrame, model: Model):
+    """The model's tables for the workers; at most most_grams n-grams."""
+    return docs.sparkSession.sparkContext.broadcast(Tables(model))
+
+
 def held_out(doc_id: str):
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
 
@@ -305,14 +326,15 @@ def label(docs: DataFrame, model: Model, *, switch: float = 6.0, spans: bool = F
     labelled each, alike; equal shares go to the first language by name. No rows give none; other columns play no part.
     """
     docs = pick(docs, doc_id="doc_id", text="text").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most most_grams n-grams
+    sent = _sent(docs, model)
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<lang:string,start:int,length:int>>" * spans
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         spare()
-        labeller, langs = Labeller(sent.value, switch), sent.value.langs
+        langs = sent.value.langs
+        labeller = Labeller(sent.value, switch)
         for batch in batches:
             out: dict[str, list] = {"lang_pred": [], "score": [], "spans": []}
             for _, _, texts in runs(batch.column(1), RUN):
@@ -347,19 +369,20 @@ def accepted(docs: DataFrame, model: Model, *, least: float = 0.4, switch: float
     """The rows, with all columns, whose text has letters and a language that holds at least that share
     of them. Where there was nothing to learn from, none are."""
     at = docs.columns.index("text")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = _sent(docs, model)
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         spare()
-        labeller, langs = Labeller(sent.value, switch), sent.value.langs
+        langs = sent.value.langs
+        labeller = Labeller(sent.value, switch)
         for batch in batches:
-            keep = []
-            for _, _, texts in runs(batch.column(at), RUN):
+            for i, j, texts in runs(batch.column(at), RUN):
                 share = labeller.shares(texts)[0] if langs else np.zeros((len(texts), 1))
                 total = share.sum(1)
-                keep += ((share.max(1) >= least * total) & (total > 0)).tolist()
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                # part by part, so that no second copy of a batch's texts is made, here or where they go
+                yield batch.slice(i, j - i).filter(pa.array((share.max(1) >= least * total) & (total > 0)))
+                pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(work, docs.schema)

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, spare
 from .tokens import encoder, runs
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -111,14 +111,17 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 0, window: int = 1024
         import pyarrow as pa
         from pyspark import TaskContext
 
+        spare(forget=False)
         packer, number = Packer(tokenizer, end_id, window, sentence, hard, stride), TaskContext.get().partitionId() << 32
         held_docs, held_ids, held_sizes, size = [], [], [], 0
         schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
         def settle():
             nonlocal number, size
-            columns, number = packer.pack(held_docs, np.concatenate(held_ids), np.concatenate(held_sizes), number)
-            held_docs.clear(), held_ids.clear(), held_sizes.clear()
+            ids, sizes = np.concatenate(held_ids), np.concatenate(held_sizes)
+            held_ids.clear(), held_sizes.clear()
+            columns, number = packer.pack(held_docs, ids, sizes, number)
+            held_docs.clear()
             size = 0
             return pa.RecordBatch.from_pydict(columns, schema=schema)
 
@@ -130,6 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 0, window: int = 1024
                 held_ids.append(ids)
                 held_sizes.append(sizes)
                 size += len(ids)
+                del ids, sizes, texts
                 if size >= segment:
                     yield settle()
         if held_docs:
