@@ -344,6 +344,32 @@ def test_token_file_gives_documents_in_order(spark, docs, none, tmp_path, block_
     assert token_file.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_the_compiled_coder_makes_the_same_blocks(spark):
+    from textloom.llm import compiled
+
+    write, read = (compiled.instance(spark, "TokenCoder", part) for part in ("Write", "Read"))
+    rng, parts = np.random.default_rng(7), lambda ids: spark._jvm.scala.jdk.javaapi.CollectionConverters.asScala([ids[i : i + 60_000].tobytes() for i in range(0, len(ids), 60_000)]).toSeq()
+    for n, high, vocabulary in ((0, 1, 9), (1, 9, 9), (300, 50, 50257), (5001, 50257, 50257), (70_000, 4, 50257), (200_003, 1000, 1000), (2000, 1, 1), (9000, 1 << 19, 1 << 19)):
+        ids = (rng.integers(0, high, n) * rng.random(n)).astype("<u4")  # small ids are the commoner ones
+        sizes = np.array([n - n // 3, 0, n // 3])
+        block = coder.write_block([3, None, -(1 << 60)], ids, sizes, vocabulary)
+        assert bytes(write.call(coder.table([3, None, -(1 << 60)], sizes), parts(ids), 3, vocabulary)) == block
+        got = [(r.get(0), r.get(1), r.get(2), bytes(r.get(3))) for r in read.call(block)]
+        assert got == [(3, 0, int(sizes[0]), ids[: sizes[0]].tobytes()), (None, int(sizes[0]), 0, b""), (-(1 << 60), int(sizes[0]), n // 3, ids[sizes[0] :].tobytes())]
+    block = coder.write_block([3, None, -1], np.array([0, 9, 9, 1], "<u4"), np.array([3, 0, 1]), 100)
+    for bad in [block[:i] + bytes([block[i] ^ 1]) + block[i + 1 :] for i in range(len(block))] + [block[:0], block[:4], block[:-1]]:
+        with pytest.raises(Exception, match="a block|not a block"):
+            read.call(bad)
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        write.call(coder.table([1], np.array([1])), parts(np.array([9], "<u4")), 1, 9)
+
+
+def test_a_token_file_is_coded_by_the_jvm(spark, docs, tmp_path):
+    token_file.write(docs, str(tmp_path / "f"), tokenizer_path())
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in (token_file.blocks(docs, tokenizer_path()), token_file.read(spark, str(tmp_path / "f")))]
+    assert [p.count("MapInArrow") for p in plans] == [1, 0]  # Python tokenizes and does nothing else
+
+
 def test_a_large_block_is_coded_in_many_lanes():
     """A step's fixed work is shared by as many ids as a block's 256 steps leave for it."""
     ids = np.random.default_rng(1).geometric(0.01, 1 << 21).astype("<u4")

@@ -14,6 +14,8 @@ that neither order predicts is coded by the order-0 counts. All of it narrows on
 each lane (carries are added when the block ends). All arithmetic is on integers, so a block reads
 the same on any machine.
 
+The operator codes in Spark's JVM, with TokenCoder.java, which makes the same blocks bit for bit; this form needs no Spark.
+
 A block starts from nothing and holds whole documents. A crc32 covers its header, table and digits, another its ids.
 """
 
@@ -281,16 +283,20 @@ def decode(data: bytes, n: int, vocabulary: int, lanes: int) -> np.ndarray:
     return grid.T.reshape(-1)[:n].astype("<u4")
 
 
+def table(doc_ids: list[int | None], sizes: np.ndarray) -> bytes:
+    """A block's table of documents: which have a doc_id, these, and their numbers of ids."""
+    known = np.array([d is not None for d in doc_ids], "u1")
+    return zlib.compress(known.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.asarray(sizes, "<u4").tobytes())
+
+
 def write_block(doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> bytes:
     """A block of documents: their ids end to end, and how many each has."""
     ids = np.ascontiguousarray(ids, "<u4")
     if len(ids) and int(ids.max()) >= vocabulary:
         raise ValueError("an id outside the vocabulary")
-    known = np.array([d is not None for d in doc_ids], "u1")
-    table = zlib.compress(known.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.asarray(sizes, "<u4").tobytes())
-    lanes = _lanes(len(ids))
-    body = table + (encode(ids, vocabulary, lanes) if len(ids) else b"")
-    fields = (len(ids), lanes, vocabulary, len(doc_ids), zlib.crc32(ids), len(table))
+    lanes, documents = _lanes(len(ids)), table(doc_ids, sizes)
+    body = documents + (encode(ids, vocabulary, lanes) if len(ids) else b"")
+    fields = (len(ids), lanes, vocabulary, len(doc_ids), zlib.crc32(ids), len(documents))
     whole = zlib.crc32(body, zlib.crc32(HEAD.pack(MAGIC, 0, *fields)))
     return HEAD.pack(MAGIC, whole, *fields) + body
 
@@ -305,10 +311,10 @@ def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if zlib.crc32(memoryview(block)[HEAD.size :], zlib.crc32(HEAD.pack(MAGIC, 0, *fields))) != whole:
         raise ValueError("a block's checksum is wrong")
     n, lanes, vocabulary, docs, crc, size = fields
-    table = zlib.decompress(block[HEAD.size : HEAD.size + size])
-    known = np.frombuffer(table, "u1", docs)
-    names = np.frombuffer(table, "<i8", docs, docs)
-    sizes = np.frombuffer(table, "<u4", docs, 9 * docs).astype(np.int64)
+    documents = zlib.decompress(block[HEAD.size : HEAD.size + size])
+    known = np.frombuffer(documents, "u1", docs)
+    names = np.frombuffer(documents, "<i8", docs, docs)
+    sizes = np.frombuffer(documents, "<u4", docs, 9 * docs).astype(np.int64)
     ids = decode(block[HEAD.size + size :], n, vocabulary, lanes) if n else np.zeros(0, "<u4")
     if zlib.crc32(ids) != crc or int(sizes.sum()) != n:
         raise ValueError("a block's ids don't have its checksum")

@@ -1,7 +1,7 @@
 """Documents as blocks of coded token ids, in ascending doc_id order, and back.
 
 write() range-partitions documents by doc_id, tokenizes them with the tokenizers library and codes them
-in blocks (see coder). A file is a Parquet file of rows (part, block, documents, tokens, payload), where each payload is a
+in blocks. Coding and decoding run in Spark's JVM (TokenCoder.java); coder has the same in numpy, for readers without Spark. A file is a Parquet file of rows (part, block, documents, tokens, payload), where each payload is a
 block that can be read by itself; Spark's writer commits files whole, so a lost
 executor leaves none in part. read() decodes and checks every block and places its documents in the whole: the sums before a
 part are gathered by part, those before a block by a running sum within its part.
@@ -9,20 +9,23 @@ part are gathered by part, those before a block by a running sum within its part
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType
 
-from .common import pick
+from .common import pick, spare
+from .compiled import function
 from .tokens import encoder, runs
 
 BLOCKS = "part int, block int, documents int, tokens long, payload binary"
+#: Ids that go to the JVM in one piece.
+PART = 1 << 16
 
 
-def blocks(docs: DataFrame, tokenizer: str, *, end_id: int = 0, block_tokens: int = 1 << 22) -> DataFrame:
+def blocks(docs: DataFrame, tokenizer: str, *, end_id: int = 0, block_tokens: int = 1 << 20) -> DataFrame:
     """The blocks of the documents, each closed by the first document that fills it.
 
     Null text: the end id alone. Documents are in order of doc_id (null first), those that repeat a doc_id in
@@ -34,11 +37,11 @@ def blocks(docs: DataFrame, tokenizer: str, *, end_id: int = 0, block_tokens: in
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .coder import write_block
+        from .coder import table
 
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer)
         vocabulary = max(enc.tok.get_vocab_size(), end_id + 1)
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("documents", pa.int32()), ("tokens", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("documents", pa.int32()), ("tokens", pa.int64()), ("table", pa.binary()), ("ids", pa.list_(pa.binary())), ("vocabulary", pa.int32())])
         held_docs, held_ids, held_sizes, held, number = [], [], [], 0, 0
 
         def settled(last: bool):
@@ -52,8 +55,11 @@ def blocks(docs: DataFrame, tokenizer: str, *, end_id: int = 0, block_tokens: in
                     break
                 stop = min(stop, len(docs))
                 own, to = sizes[first:stop], int(ends[stop - 1])
-                row = {"part": [part], "block": [number], "documents": [stop - first], "tokens": [to - at], "payload": [write_block(docs[first:stop], ids[at:to], own, vocabulary)]}
-                yield pa.RecordBatch.from_pydict(row, schema=schema)
+                # from buffers: pyarrow doesn't give back what it makes of memoryviews
+                cuts = np.append(np.arange(at, to, PART), to)
+                parts = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((4 * (cuts - at)).astype(np.int32)), pa.py_buffer(ids[at:to].tobytes())])
+                row = [[part], [number], [stop - first], [to - at], [table(docs[first:stop], own)], pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts), [vocabulary]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if isinstance(x, list) else x for x, f in zip(row, schema)], schema=schema)
                 first, at, number = stop, to, number + 1
             held_docs[:], held_ids[:], held_sizes[:] = docs[first:], [ids[at:]], [sizes[first:]]
             held = len(ids) - at
@@ -70,9 +76,12 @@ def blocks(docs: DataFrame, tokenizer: str, *, end_id: int = 0, block_tokens: in
                     yield from settled(False)
         if held_docs:
             yield from settled(True)
+        spare(forget=False)  # the JVM needs it
 
     docs = pick(docs, doc_id="doc_id", text="text").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(work, BLOCKS)
+    plain = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(work, "part int, block int, documents int, tokens long, table binary, ids array<binary>, vocabulary int")
+    coded = function(docs.sparkSession, "TokenCoder", "Write", BinaryType())
+    return plain.select("part", "block", "documents", "tokens", coded(plain.table, plain.ids, plain.documents, plain.vocabulary).alias("payload"))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, **options) -> None:
@@ -92,18 +101,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     place = rows.select("part", "block", "tokens").withColumn("within", F.sum("tokens").over(Window.partitionBy("part").orderBy("block")) - F.col("tokens"))
     start = place.join(base, "part").select("part", "block", (F.col("base") + F.col("within")).alias("start"))
 
-    def work(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        from .coder import read_block
-
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
-        for batch in batches:
-            for first, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                names, ids, n = read_block(payload.as_py())
-                ends, view = np.cumsum(n), memoryview(ids).cast("B")
-                crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip((ends - n).tolist(), ends.tolist())]
-                blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(0, 4 * ends)), pa.py_buffer(ids)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(first + ends - n), pa.array(n), pa.array(crc, pa.int64()), blobs], schema=schema)
-
-    return rows.join(start, ["part", "block"]).select("start", "payload").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    documents = function(spark, "TokenCoder", "Read", DataType.fromDDL("array<struct<doc_id: long, before: long, n_tokens: long, ids: binary>>"))
+    found = rows.join(start, ["part", "block"])
+    found = found.select("start", F.inline(documents(found.payload)))
+    return found.select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", F.crc32("ids").alias("ids_crc32"), "ids")
